@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, functions as F
 
@@ -21,7 +21,7 @@ def file_ext(filename: Column) -> Column:
 
 def is_code_file(filename: Column) -> Column:
     """A known code suffix and no skipped path part (a plain, case-sensitive substring test)."""
-    skipped = reduce(Column.__or__, [F.contains(filename, F.lit(p)) for p in catalog.SKIPPED_PATHS])
+    skipped = filename.rlike("|".join(re.escape(part) for part in catalog.SKIPPED_PATHS))
     return file_ext(filename).isin(*catalog.CODE_EXTENSIONS) & ~skipped
 
 
@@ -34,6 +34,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, STRIP, "")
 
 
+def strip_sql(column: str) -> str:
+    """``strip`` as SQL text."""
+    return f"regexp_replace({column}, r'{STRIP}', '')"
+
+
 def split_lines(content: Column) -> Column:
     """Lines by ``\\n`` alone; a trailing newline gives a last, empty line."""
     return F.split(content, "\n")

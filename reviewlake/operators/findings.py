@@ -34,22 +34,11 @@ def one_if(condition: Column, hit: Column) -> Column:
     return F.when(condition, F.array(hit)).otherwise(no_findings())
 
 
-def for_each(hits: Column, build) -> Column:
-    """``build(hit, index)`` for every element; no work where there are no hits."""
-    return F.when(F.size(hits) > 0, F.transform(hits, lambda hit, at: build(hit, at))).otherwise(
-        no_findings()
-    )
-
-
 def file_keys(df: DataFrame) -> list[str]:
     return [name for name in FILE_KEYS if name in df.columns]
 
 
 def explode_findings(df: DataFrame, findings: Column) -> DataFrame:
-    """One row per finding.
-
-    The outer form plus a filter on its output is deliberate: Catalyst adds a ``size(..) > 0`` filter
-    below an inner explode, which would evaluate every detector a second time.
-    """
+    """One row per finding; see ``scan`` for why the explode is an outer one."""
     exploded = df.select(*file_keys(df), F.explode_outer(findings).alias("finding"))
     return exploded.where(F.col("finding").isNotNull()).select(*file_keys(df), "finding.*")

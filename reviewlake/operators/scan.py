@@ -3,11 +3,17 @@
 Every detector is a column expression, so a scan is: read files -> split into lines -> build the
 array of hits of each line -> explode. There is no shuffle, the text is split once however many
 rules there are, and neither texts nor lines outlive the pass: only findings leave it.
+
+A hit is small: the number of its check, the matched text, and a description where that depends on
+the line. What is fixed about a check (severity, texts, place in the order) is filled in after the
+explode from one constant array.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,9 +22,7 @@ from reviewlake import catalog
 from reviewlake.catalog import RULES, Rule
 from reviewlake.functions import text
 from reviewlake.functions.regex import java_pattern
-from reviewlake.operators.findings import (
-    check_finding, explode_findings, file_keys, finding, for_each, no_findings, one_if,
-)
+from reviewlake.operators.findings import file_keys
 
 PATTERN_PHASE, FILE_PHASE = 0, 1  # security
 LANGUAGE_PHASE, GENERAL_PHASE = 0, 1  # quality
@@ -45,114 +49,137 @@ def select_rules(rules: Sequence[Rule] = RULES, wildcard: str = "documented") ->
     raise ValueError(f"wildcard must be 'documented' or 'as_coded', not {wildcard!r}")
 
 
-# --- line level ----------------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Detector:
+    """A check within a scan. ``hits`` is SQL for the array of its hits on a line, ``found`` SQL for
+    whether there are any; both read the columns in ``facts``.
+    """
 
+    check: Rule | catalog.Check
+    type: str
+    phase: int
+    rule_ord: int
+    found: str
+    hits: str
+    facts: dict[str, Column]
+    by_line: bool = True
+    code: str | None = None  # 'stripped' or 'plain' line, or no code
+
+    def constants(self) -> dict:
+        return {
+            "type": self.type, "tool": catalog.PATTERN_TOOL if self.type == "security" else None,
+            "severity": self.check.severity, "issue": self.check.name,
+            "description": self.check.description, "recommendation": self.check.recommendation,
+            "phase": self.phase, "rule_ord": self.rule_ord, "by_line": self.by_line,
+            "code": self.code,
+        }
+
+
+_CONSTANTS = (
+    "array<struct<type string, tool string, severity string, issue string, description string, "
+    "recommendation string, phase int, rule_ord int, by_line boolean, code string>>"
+)
 
-def _applies(rule: Rule) -> Column:
-    return F.lit(True) if rule.extensions is None else F.col("ext").isin(*rule.extensions)
 
+def _hit(matched: str = "null", description: str = "null", match_ord: str = "0") -> str:
+    """SQL for one hit; ``{check}`` is replaced by the number of its detector."""
+    return (
+        f"named_struct('check', {{check}}, 'matched', cast({matched} as string), "
+        f"'description', cast({description} as string), 'match_ord', {match_ord})"
+    )
 
-def _script() -> Column:
+
+def _single(found: str, description: str = "null") -> dict[str, str]:
+    return {"found": found, "hits": f"if({found}, array({_hit(description=description)}), array())"}
+
+
+def _repeated(count: str) -> dict[str, str]:
+    """``count`` equal hits, for checks that report no text."""
+    at = _hit(match_ord="at")
+    return {
+        "found": f"{count} > 0",
+        "hits": f"if({count} > 0, transform(sequence(0, {count} - 1), at -> {at}), array())",
+    }
+
+
+def _is_script() -> Column:
     return F.col("ext").isin(*catalog.SCRIPT_EXTENSIONS)
 
 
-def _rule_pattern(rule: Rule) -> Column:
-    return F.lit(java_pattern(rule.pattern, ignore_case=True, multiline=rule.multiline))
+def _contains_any(column: str, parts: Sequence[str]) -> Column:
+    return reduce(Column.__or__, [F.contains(column, F.lit(part)) for part in parts])
 
 
-def _rule_matches(rule: Rule) -> Column:
-    """All matches of a rule on the line; NULL where the rule does not apply."""
-    matches = F.regexp_extract_all(F.col("line_text"), _rule_pattern(rule), F.lit(0))
-    condition = None if rule.extensions is None else _applies(rule)
-    if rule.literals:
-        # Exact for ASCII lines; any other line goes to the pattern, whose case folding is wider.
-        possible = reduce(Column.__or__, [
-            F.contains(F.col("lower_text"), F.lit(literal)) for literal in rule.literals
-        ]) | ~F.col("is_ascii")
-        condition = possible if condition is None else condition & possible
-    return matches if condition is None else F.when(condition, matches)
+# --- line level ----------------------------------------------------------------------------------
 
 
-def _rule_hits(rule: Rule, rule_ord: int, matches: Column) -> Column:
-    line = F.col("line_text")
-    code = line if rule.multiline else text.strip(line)
+def _matches(rule: Rule) -> Column:
+    """All matches of a rule on the line; NULL where it does not apply."""
+    pattern = java_pattern(rule.pattern, ignore_case=True, multiline=rule.multiline)
+    matches = F.regexp_extract_all("line_text", F.lit(pattern), F.lit(0))
+    conditions = []
+    if rule.extensions is not None:
+        conditions.append(F.col("ext").isin(*rule.extensions))
+    if rule.literals:
+        # Exact for ASCII lines; any other line goes to the pattern, whose case folding is wider.
+        conditions.append(_contains_any("lower_text", rule.literals) | ~F.col("is_ascii"))
+    return F.when(reduce(Column.__and__, conditions), matches) if conditions else matches
 
-    def build(match, at):
-        return finding(
-            type="security", tool=catalog.PATTERN_TOOL, severity=rule.severity, issue=rule.name,
-            description=rule.description, recommendation=rule.recommendation,
-            line=F.col("line_no"), code=code, matched=match,
-            phase=PATTERN_PHASE, rule_ord=rule_ord, pos=F.col("line_no"), match_ord=at,
-        )
 
-    return for_each(matches, build)
+def _rule_detector(rule: Rule, rule_ord: int) -> Detector:
+    name = f"rule_{rule_ord}"
+    hit = _hit(matched="matched", match_ord="at")
+    return Detector(
+        rule, "security", PATTERN_PHASE, rule_ord,
+        found=f"size({name}) > 0", hits=f"transform({name}, (matched, at) -> {hit})",
+        facts={name: _matches(rule)}, code="plain" if rule.multiline else "stripped",
+    )
 
 
-def _magic_number() -> Column:
+def _first_number() -> Column:
     """First number on the line that is not one of the allowed ones; NULL on ``#`` lines."""
     literals = F.regexp_extract_all(
-        F.col("line_text"), F.lit(java_pattern(catalog.NUMBER_PATTERN)), F.lit(1)
+        "line_text", F.lit(java_pattern(catalog.NUMBER_PATTERN)), F.lit(1)
     )
     first = F.get(F.filter(literals, lambda number: ~number.isin(*catalog.ALLOWED_NUMBERS)), 0)
     hash_line = F.col("line_text").rlike(r"(?U)\A[\s\x1c-\x1f]*+#")
     return F.when(F.col("line_text").rlike(r"\p{Nd}") & ~hash_line, first)
 
 
-def _quality_facts() -> dict[str, Column]:
-    """What the quality checks need to know about a line, by column name."""
+def _quality_detectors() -> list[Detector]:
     line = F.col("line_text")
-    marks = [F.when(F.col("marked").isNotNull(), F.regexp_count(F.col("marked"), F.lit(mark)))
-             for mark in ("\x01", "\x02")]
-    return {
-        "consoles": F.when(
-            _script() & F.contains(line, F.lit("console.")),
-            F.regexp_count(line, F.lit(java_pattern(catalog.CONSOLE_PATTERN)))),
-        "vars": marks[0],
-        "equalities": marks[1],
-        "line_length": F.length(line),
-        "todo": F.contains(line, F.lit(":")) & line.rlike(java_pattern(catalog.TODO_PATTERN, ignore_case=True)),
-        "number": _magic_number(),
-    }
-
-
-def _quality_line(check, rule_ord, phase=GENERAL_PHASE, **values) -> Column:
-    return check_finding(check, **{
-        "type": "quality", "line": F.col("line_no"), "phase": phase, "rule_ord": rule_ord,
-        "pos": F.col("line_no"), "match_ord": 0, **values,
-    })
 
+    def count(pattern_column: str, pattern: str) -> Column:
+        return F.regexp_count(pattern_column, F.lit(pattern))
 
-def _repeated(check, rule_ord, count: Column) -> Column:
-    """``count`` equal findings for the line, as script checks carry no text."""
-    return F.when(
-        count > 0,
-        F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda at: _quality_line(check, rule_ord, LANGUAGE_PHASE, match_ord=at),
-        ),
-    ).otherwise(no_findings())
+    def detector(check, phase, rule_ord, shape, facts, **options):
+        return Detector(check, "quality", phase, rule_ord, **shape, facts=facts, **options)
 
-
-def _quality_line_hits() -> list[tuple[Column, Column]]:
-    """Pairs of a condition and the findings that go with it."""
-    long_line, magic = F.col("line_length") > catalog.MAX_LINE_LENGTH, F.col("number").isNotNull()
-    length_text = F.format_string(
-        catalog.LONG_LINE.description.replace("{}", "%d"), F.col("line_no"), F.col("line_length")
+    consoles = F.when(
+        _is_script() & F.contains("line_text", F.lit("console.")),
+        count("line_text", java_pattern(catalog.CONSOLE_PATTERN)),
     )
-    number_text = F.format_string(
-        catalog.MAGIC_NUMBER.description.replace("{}", "%s"), F.col("number")
+    todo = F.contains("line_text", F.lit(":")) & line.rlike(
+        java_pattern(catalog.TODO_PATTERN, ignore_case=True)
     )
-    todo = _quality_line(catalog.TODO_COMMENT, 1, code=text.strip(F.col("line_text")))
-    repeated = [(catalog.CONSOLE_LOG, "consoles"), (catalog.VAR_USAGE, "vars"),
-                (catalog.LOOSE_EQUALITY, "equalities")]
+    length_text = "format_string('{}', line_no, line_length)".format(
+        catalog.LONG_LINE.description.replace("{}", "%d"))
+    number_text = "format_string('{}', number)".format(
+        catalog.MAGIC_NUMBER.description.replace("{}", "%s"))
     return [
-        (F.col(count) > 0, _repeated(check, at, F.col(count)))
-        for at, (check, count) in enumerate(repeated)
-    ] + [
-        (long_line, one_if(long_line, _quality_line(
-            catalog.LONG_LINE, 0, description=length_text))),
-        (F.col("todo"), one_if(F.col("todo"), todo)),
-        (magic, one_if(magic, _quality_line(catalog.MAGIC_NUMBER, 3, description=number_text))),
+        detector(catalog.CONSOLE_LOG, LANGUAGE_PHASE, 0, _repeated("consoles"),
+                 {"consoles": consoles}),
+        detector(catalog.VAR_USAGE, LANGUAGE_PHASE, 1, _repeated("vars"),
+                 {"vars": count("marked", "\x01")}),
+        detector(catalog.LOOSE_EQUALITY, LANGUAGE_PHASE, 2, _repeated("equalities"),
+                 {"equalities": count("marked", "\x02")}),
+        detector(catalog.LONG_LINE, GENERAL_PHASE, 0,
+                 _single(f"line_length > {catalog.MAX_LINE_LENGTH}", length_text),
+                 {"line_length": F.length(line)}),
+        detector(catalog.TODO_COMMENT, GENERAL_PHASE, 1, _single("todo"), {"todo": todo},
+                 code="stripped"),
+        detector(catalog.MAGIC_NUMBER, GENERAL_PHASE, 3,
+                 _single("number is not null", number_text), {"number": _first_number()}),
     ]
 
 
@@ -172,7 +199,7 @@ def _marked_lines(content: Column) -> Column:
 # --- file level ----------------------------------------------------------------------------------
 
 
-def file_checks() -> list[tuple[catalog.Check, int, Column]]:
+def _file_checks() -> list[tuple[catalog.Check, int, Column]]:
     """Whole-file security checks: what, its place in the order, and the condition."""
     content, ext = F.col("content"), F.col("ext")
     python = ext.isin(*catalog.PYTHON_EXTENSIONS)
@@ -181,8 +208,9 @@ def file_checks() -> list[tuple[catalog.Check, int, Column]]:
          python & F.contains(content, F.lit("pickle")) & ~F.contains(F.lower(content), F.lit("safe"))),
         (catalog.MISSING_HTTPS, 1,
          python & F.contains(content, F.lit("Flask")) & ~F.contains(content, F.lit("ssl_context"))),
-        (catalog.EVAL_USAGE, 0, _script() & content.rlike(java_pattern(catalog.EVAL_PATTERN))),
-        (catalog.INNER_HTML, 1, _script() & content.rlike(java_pattern(catalog.INNER_HTML_PATTERN))),
+        (catalog.EVAL_USAGE, 0, _is_script() & content.rlike(java_pattern(catalog.EVAL_PATTERN))),
+        (catalog.INNER_HTML, 1,
+         _is_script() & content.rlike(java_pattern(catalog.INNER_HTML_PATTERN))),
         (catalog.SELECT_STAR, 0, ext.isin(*catalog.SQL_EXTENSIONS)
          & content.rlike(java_pattern(catalog.SELECT_STAR_PATTERN, ignore_case=True))),
     ]
@@ -190,16 +218,16 @@ def file_checks() -> list[tuple[catalog.Check, int, Column]]:
 
 def _file_flags() -> Column:
     """The whole-file checks as one bit mask, so that lines carry an integer and not the text."""
-    bits = [F.when(hit, 1 << at).otherwise(0) for at, (_, _, hit) in enumerate(file_checks())]
+    bits = [F.when(hit, 1 << at).otherwise(0) for at, (_, _, hit) in enumerate(_file_checks())]
     return reduce(Column.__add__, bits)
 
 
-def _flag_hits() -> list[Column]:
+def _file_detectors() -> list[Detector]:
+    """Whole-file findings are built on the first line, which every file has."""
     return [
-        one_if(F.getbit(F.col("flags"), F.lit(at)) == 1, check_finding(
-            check, type="security", tool=catalog.PATTERN_TOOL,
-            phase=FILE_PHASE, rule_ord=rule_ord, pos=0, match_ord=0))
-        for at, (check, rule_ord, _) in enumerate(file_checks())
+        Detector(check, "security", FILE_PHASE, rule_ord,
+                 **_single(f"pos = 0 and getbit(flags, {at}) = 1"), facts={}, by_line=False)
+        for at, (check, rule_ord, _) in enumerate(_file_checks())
     ]
 
 
@@ -207,19 +235,22 @@ def comment_ratio(comments: Column, non_blank: Column) -> Column:
     return F.when(non_blank > 0, comments / non_blank).otherwise(F.lit(0.0))
 
 
-def _file_quality_hits() -> list[Column]:
+def _file_quality_detectors() -> list[Detector]:
     ratio = comment_ratio(F.col("comment_lines"), F.col("non_blank_lines"))
-    high_ratio = F.concat(
-        F.lit(catalog.COMMENT_RATIO.description.split("{}")[0]), text.percent(ratio), F.lit(")")
-    )
-    long_file = F.format_string(
-        catalog.LONG_FILE.description.replace("{}", "%d"), F.col("lines_of_code")
+    before, after = catalog.COMMENT_RATIO.description.split("{}")
+    high = F.when(
+        (F.col("pos") == 0) & (ratio > catalog.MAX_COMMENT_RATIO),
+        F.concat(F.lit(before), text.percent(ratio), F.lit(after)),
     )
+    lines_text = "format_string('{}', lines_of_code)".format(
+        catalog.LONG_FILE.description.replace("{}", "%d"))
     return [
-        one_if(ratio > catalog.MAX_COMMENT_RATIO,
-               _quality_line(catalog.COMMENT_RATIO, 2, line=None, pos=0, description=high_ratio)),
-        one_if(F.col("lines_of_code") > catalog.MAX_FILE_LINES,
-               _quality_line(catalog.LONG_FILE, 4, line=None, pos=0, description=long_file)),
+        Detector(catalog.COMMENT_RATIO, "quality", GENERAL_PHASE, 2,
+                 **_single("ratio_text is not null", "ratio_text"), facts={"ratio_text": high},
+                 by_line=False),
+        Detector(catalog.LONG_FILE, "quality", GENERAL_PHASE, 4,
+                 **_single(f"pos = 0 and lines_of_code > {catalog.MAX_FILE_LINES}", lines_text),
+                 facts={}, by_line=False),
     ]
 
 
@@ -241,86 +272,112 @@ def scan(
     """
     rules = select_rules(rules, wildcard) if security else ()
     source = reviewable(files)
-    keys = file_keys(source)
-    line_rules = [(at, r) for at, r in enumerate(rules) if not r.multiline or r.within_line]
-    text_rules = [(at, r) for at, r in enumerate(rules) if r.multiline and not r.within_line]
-
-    carried, parts = [], [text.split_lines(F.col("content")).alias("line_text")]
-    facts = {f"rule_{at}": _rule_matches(rule) for at, rule in line_rules}
-    hits = [(F.size(f"rule_{at}") > 0, _rule_hits(rule, at, F.col(f"rule_{at}")))
-            for at, rule in line_rules]
-    file_hits = []
+    detectors, carried = [], []
+    parts = [text.split_lines(F.col("content")).alias("line_text")]
+    detectors += [
+        _rule_detector(rule, at) for at, rule in enumerate(rules)
+        if not rule.multiline or rule.within_line
+    ]
     if security and whole_file:
         carried.append(_file_flags().alias("flags"))
-        file_hits += _flag_hits()
+        detectors += _file_detectors()
     if quality:
-        marked = F.when(_script(), _marked_lines(F.col("content")))
+        marked = F.when(_is_script(), _marked_lines(F.col("content")))
         parts.append(F.coalesce(marked, F.array().cast("array<string>")).alias("marked"))
         carried += [
             text.comment_lines(F.col("content"), F.col("ext")).alias("comment_lines"),
             text.non_blank_lines(F.col("content")).alias("non_blank_lines"),
         ]
-        facts |= _quality_facts()
-        hits += _quality_line_hits()
-        file_hits += _file_quality_hits()
-    if file_hits:
-        # File findings are built on the first line, which every file has.
-        first = F.col("pos") == 0
-        hits.append((first, F.when(first, F.concat(*file_hits)).otherwise(no_findings())))
-
-    findings = None
-    if hits:
-        by_file = source.select(*keys, *carried, F.arrays_zip(*parts).alias("lines"))
-        # The line count is taken here, so that the array itself stops at the explode.
-        counted = by_file.withColumn("lines_of_code", F.size("lines"))
-        kept = [name for name in counted.columns if name != "lines"]
-        by_line = counted.select(*kept, F.posexplode_outer("lines").alias("pos", "entry"))
-        by_line = by_line.select(*kept, "pos", (F.col("pos") + 1).alias("line_no"), "entry.*")
-        line = F.col("line_text")
-        by_line = by_line.select(
-            "*", F.lower(line).alias("lower_text"),
-            (F.octet_length(line) == F.length(line)).alias("is_ascii"),
-        )
-        # Each detector runs once, as a column; a line without a hit goes no further than that.
-        known = by_line.select("*", *[fact.alias(name) for name, fact in facts.items()])
-        any_hit = reduce(Column.__or__, [F.coalesce(hit, F.lit(False)) for hit, _ in hits])
-        found = F.when(any_hit, F.concat(*[built for _, built in hits]))
-        findings = explode_findings(known.select(*keys, found.alias("found")), F.col("found"))
-    for at, rule in text_rules:
-        whole = scan_whole_text(source, rule, at)
-        findings = whole if findings is None else findings.unionByName(whole)
-    return findings
-
-
-def scan_whole_text(source: DataFrame, rule: Rule, rule_ord: int) -> DataFrame:
+        detectors += _quality_detectors() + _file_quality_detectors()
+
+    by_file = source.select(*file_keys(source), *carried, F.arrays_zip(*parts).alias("lines"))
+    found = [_line_scan(by_file, detectors)] if detectors else []
+    found += [
+        _whole_text_scan(source, rule, at) for at, rule in enumerate(rules)
+        if rule.multiline and not rule.within_line
+    ]
+    if not found:
+        raise ValueError("nothing to scan for: no rules and no checks are selected")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _line_scan(by_file: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
+    keys = file_keys(by_file)
+    # The line count is taken here, so that the array itself stops at the explode.
+    counted = by_file.withColumn("lines_of_code", F.size("lines"))
+    kept = [name for name in counted.columns if name != "lines"]
+    by_line = counted.select(*kept, F.posexplode_outer("lines").alias("pos", "entry"))
+    by_line = by_line.selectExpr(
+        *kept, "pos", "pos + 1 as line_no", "entry.*", "lower(entry.line_text) as lower_text",
+        "octet_length(entry.line_text) = length(entry.line_text) as is_ascii",
+    )
+    # Each detector runs once, as a column; a line without a hit goes no further than that.
+    facts = {name: fact for detector in detectors for name, fact in detector.facts.items()}
+    known = by_line.select("*", *[fact.alias(name) for name, fact in facts.items()])
+    any_found = " or ".join(f"coalesce({detector.found}, false)" for detector in detectors)
+    hits = ", ".join(
+        f"coalesce({detector.hits.replace('{check}', str(at))}, array())"
+        for at, detector in enumerate(detectors)
+    )
+    hit_lines = known.selectExpr(*keys, "line_no", "line_text", f"if({any_found}, concat({hits}), null) as hits")
+    return _to_findings(hit_lines, detectors)
+
+
+def _to_findings(hit_lines: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
+    """Explodes ``hits`` and fills in what is fixed about each check.
+
+    The outer explode plus a filter on its output is deliberate: below an inner explode Catalyst adds
+    a ``size(..) > 0`` filter, which would evaluate every detector a second time.
+    """
+    keys = file_keys(hit_lines)
+    constants = F.from_json(
+        F.lit(json.dumps([detector.constants() for detector in detectors])), _CONSTANTS
+    )
+    exploded = hit_lines.select(*keys, "line_no", "line_text", F.explode_outer("hits").alias("hit"))
+    exploded = exploded.where("hit is not null")
+    known = exploded.select("*", F.get(constants, F.col("hit.check")).alias("fixed"))
+    return known.selectExpr(
+        *keys, "fixed.type", "fixed.tool", "fixed.severity", "fixed.issue",
+        "coalesce(hit.description, fixed.description) as description",
+        "if(fixed.by_line, line_no, null) as line",
+        f"case fixed.code when 'plain' then line_text when 'stripped' then {text.strip_sql('line_text')} end as code",
+        "hit.matched", "cast(null as string) as confidence", "fixed.recommendation",
+        "fixed.phase", "fixed.rule_ord",
+        "cast(if(fixed.by_line, line_no, 0) as bigint) as pos", "hit.match_ord",
+    )
+
+
+def _whole_text_scan(source: DataFrame, rule: Rule, rule_ord: int) -> DataFrame:
     """Hits of a rule that may match across line breaks.
 
     Spark gives all matches but not their positions, so the lines come from a second copy of the text
     with a mark before every match: the i-th mark belongs to the i-th match.
     """
-    mark = F.lit("\x01")
     pattern = java_pattern(rule.pattern, ignore_case=True, multiline=True)
-    markable = F.translate(F.col("content"), "\x01", "\x02")
+    markable = F.translate("content", "\x01", "\x02")
     marked = text.split_lines(F.regexp_replace(markable, pattern, "\x01$0"))
     line_of_match = F.flatten(F.transform(
-        marked, lambda line, at: F.array_repeat(at + 1, F.regexp_count(line, mark))
+        marked, lambda line, at: F.array_repeat(at + 1, F.regexp_count(line, F.lit("\x01")))
     ))
-    matches = F.regexp_extract_all(F.col("content"), F.lit(pattern), F.lit(0))
-    scoped = source.where(_applies(rule)).select(
+    if rule.extensions is not None:
+        source = source.where(F.col("ext").isin(*rule.extensions))
+    matched = source.select(
+        *file_keys(source), text.split_lines(F.col("content")).alias("lines"),
+        F.arrays_zip(
+            line_of_match.alias("line_no"),
+            F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("matched"),
+        ).alias("matches"),
+    )
+    # Lines are looked up before the explode, so that it copies one line per match and not all.
+    hit = _hit(matched="m.matched", match_ord="at").replace("{check}", "0")
+    located = matched.selectExpr(
         *file_keys(source),
-        text.split_lines(F.col("content")).alias("lines"),
-        F.arrays_zip(line_of_match.alias("line_no"), matches.alias("matched")).alias("hits"),
+        "transform(matches, (m, at) -> named_struct('line_no', m.line_no, "
+        f"'line_text', get(lines, m.line_no - 1), 'hits', array({hit}))) as found",
     )
-
-    def build(hit, at):
-        return finding(
-            type="security", tool=catalog.PATTERN_TOOL, severity=rule.severity, issue=rule.name,
-            description=rule.description, recommendation=rule.recommendation,
-            line=hit.line_no, code=F.get(F.col("lines"), hit.line_no - 1), matched=hit.matched,
-            phase=PATTERN_PHASE, rule_ord=rule_ord, pos=hit.line_no, match_ord=at,
-        )
-
-    return explode_findings(scoped, for_each(F.col("hits"), build))
+    by_match = located.select(*file_keys(source), F.explode_outer("found").alias("entry"))
+    detector = Detector(rule, "security", PATTERN_PHASE, rule_ord, "", "", {}, code="plain")
+    return _to_findings(by_match.selectExpr(*file_keys(source), "entry.*"), [detector])
 
 
 def security_findings(files: DataFrame, rules: Sequence[Rule] = RULES, wildcard: str = "documented"):
