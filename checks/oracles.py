@@ -98,13 +98,19 @@ def all_rule_hits(rules=tuple(enumerate(catalog.RULES)), keys: str = KEYS) -> st
     return " UNION ALL ".join(rule_hits(rule, at, keys) for at, rule in rules)
 
 
+# A report is about a code file by its name; that it is there says that the file had content.
+_REPORT_CTES = f"""
+reports AS ({corpora.REPORTS}),
+named AS (SELECT {KEYS}, filename, {EXT} AS ext FROM files WHERE {IS_CODE})"""
+
+
 def report_hits(tool: str) -> str:
     """Findings of one scanner, by DuckDB's own JSON functions."""
     items = f"""
 SELECT r.file_id, s.change_id, s.file_ord, s.filename, unnest(json_extract(r.report, '$.results[*]')) AS item,
        generate_subscripts(json_extract(r.report, '$.results[*]'), 1) - 1 AS idx
 FROM (SELECT file_id, report FROM reports WHERE tool = '{tool}' AND json_valid(report)) r
-JOIN src s ON r.file_id = s.file_id {"WHERE s.ext = '.py'" if tool == "bandit" else ""}"""
+JOIN named s ON r.file_id = s.file_id {"WHERE s.ext = '.py'" if tool == "bandit" else ""}"""
 
     def get(path):
         return f"json_extract_string(item, '$.{path}')"
@@ -158,7 +164,7 @@ FROM ({items})"""
 def security() -> str:
     """CTE ``sec``: every security finding of the changed files."""
     return f"""
-reports AS ({corpora.REPORTS}),
+{_REPORT_CTES},
 sec AS ({all_rule_hits()} UNION ALL {file_check_hits()} UNION ALL {report_hits("bandit")}
         UNION ALL {report_hits("semgrep")})"""
 
@@ -607,7 +613,7 @@ GROUP BY p.file_id""",
     report_columns = (
         "file_id, filename, tool, severity, issue, description, line, code, confidence, recommendation"
     )
-    with_reports = _with(_files(), f"reports AS ({corpora.REPORTS})")
+    with_reports = _with(_files(), _REPORT_CTES)
     for tool in catalog.REPORT_TOOLS:
         found[f"{tool}_findings"] = with_reports + f" SELECT {report_columns} FROM ({report_hits(tool)})"
     found |= {

@@ -13,6 +13,7 @@ from reviewlake.operators import (
     verdict,
 )
 from reviewlake.plans import review
+from reviewlake.session import spread
 from reviewlake.sources import changes as change_source, files as file_source, snapshots
 from reviewlake.streaming import scan as streaming
 
@@ -35,7 +36,8 @@ _LINE = ("file_id", "filename", "severity", "line", "code", "matched", "descript
 def _sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     for table in TABLES:
         if f" {table}" in query or f"\n{table}" in query:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            spread(rows).createOrReplaceTempView(table)
     return spark.sql(query)
 
 
@@ -76,7 +78,7 @@ def file_ext(spark, sf_dir):
 
 
 def code_files(spark, sf_dir):
-    return summaries.code_files(files(spark, sf_dir)).select("file_id", "filename", "ext")
+    return scan.code_files(files(spark, sf_dir)).select("file_id", "filename", "ext")
 
 
 def has_content(spark, sf_dir):
@@ -219,7 +221,7 @@ def patch_lines(spark, sf_dir):
 
 def report_query(tool):
     def query(spark, sf_dir):
-        found = reports.report_findings(_all_reports(spark, sf_dir), files(spark, sf_dir), tool)
+        found = reports.tool_findings(_all_reports(spark, sf_dir), files(spark, sf_dir), [tool])
         return found.select(
             "file_id", "filename", "tool", "severity", "issue", "description", "line", "code",
             "confidence", "recommendation",
@@ -264,9 +266,9 @@ def change_totals(spark, sf_dir):
 
 
 def _change_counts(spark, sf_dir):
-    return summaries.change_summary(
-        files(spark, sf_dir), _security(spark, sf_dir), _quality(spark, sf_dir)
-    )
+    source = files(spark, sf_dir)
+    found = review.all_findings(source, _all_reports(spark, sf_dir))
+    return summaries.change_summary(source, found)
 
 
 def change_quality(spark, sf_dir):

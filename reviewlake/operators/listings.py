@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reviewlake import catalog
-from reviewlake.operators.summaries import code_files
+from reviewlake.operators.scan import code_files
 from reviewlake.schemas import ORDER_KEY
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake import catalog
 from reviewlake.functions import text
 from reviewlake.operators.findings import explode_findings, file_keys, finding
-from reviewlake.operators.scan import reviewable
-from reviewlake.schemas import BANDIT_REPORT, SEMGREP_REPORT
+from reviewlake.operators.scan import code_files
+from reviewlake.schemas import BANDIT_REPORT, FINDINGS, SEMGREP_REPORT
 
 REPORT_PHASES = {"bandit": 2, "semgrep": 3}
 
@@ -96,28 +98,24 @@ _READERS = {
 }
 
 
-def report_findings(reports: DataFrame, files: DataFrame, tool: str) -> DataFrame:
-    """Findings of one scanner. A report that is not JSON, or has no results, gives none.
+def tool_findings(
+    reports: DataFrame, files: DataFrame, tools: Sequence[str] = catalog.REPORT_TOOLS
+) -> DataFrame:
+    """Findings of the scanners. A report that is not JSON, or has no results, gives none.
 
-    Reports are parsed and emptied ones dropped before the join; the files side brings its keys only.
-    Bandit reports count for Python files alone, as only those are given to it.
+    All tools are read in one pass and joined once. Reports are parsed and emptied ones dropped before
+    the join; the files side brings the names of code files and no text, as a report is there only for
+    a file that had one. Bandit reports count for Python files alone, as only those are given to it.
     """
-    schema, build = _READERS[tool]
-    parsed = reports.where(F.col("tool") == tool).select(
-        "file_id", F.from_json("report", schema).alias("parsed")
+    found = F.lit(None).cast(FINDINGS)
+    for tool in tools:
+        schema, build = _READERS[tool]
+        results = F.from_json("report", schema)["results"]
+        found = F.when(F.col("tool") == tool, F.transform(results, build)).otherwise(found)
+    parsed = reports.where(F.col("tool").isin(*tools)).select(
+        "file_id", (F.col("tool") == "bandit").alias("python_only"), found.alias("found")
     )
-    filled = parsed.where(F.size("parsed.results") > 0)
-    found = filled.select("file_id", F.transform("parsed.results", build).alias("found"))
-    scanned = reviewable(files)
-    if tool == "bandit":
-        scanned = scanned.where(F.col("ext").isin(*catalog.PYTHON_EXTENSIONS))
-    joined = found.join(scanned.select(*file_keys(scanned)), "file_id")
-    return explode_findings(joined, F.col("found"))
-
-
-def tool_findings(reports: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings of all known scanners, in the order they are run in."""
-    first, *others = [report_findings(reports, files, tool) for tool in catalog.REPORT_TOOLS]
-    for other in others:
-        first = first.unionByName(other)
-    return first
+    scanned = code_files(files)
+    joined = parsed.where(F.size("found") > 0).join(scanned.select(*file_keys(scanned)), "file_id")
+    kept = joined.where(~F.col("python_only") | F.col("ext").isin(*catalog.PYTHON_EXTENSIONS))
+    return explode_findings(kept, F.col("found"))

@@ -32,11 +32,13 @@ def with_ext(files: DataFrame) -> DataFrame:
     return files if "ext" in files.columns else files.withColumn("ext", text.file_ext(F.col("filename")))
 
 
+def code_files(files: DataFrame) -> DataFrame:
+    return with_ext(files).where(text.is_code_file(F.col("filename")))
+
+
 def reviewable(files: DataFrame) -> DataFrame:
     """Code files that have content; the columns the detectors need and no others."""
-    files = with_ext(files).where(
-        text.is_code_file(F.col("filename")) & text.has_content(F.col("content"))
-    )
+    files = code_files(files).where(text.has_content(F.col("content")))
     return files.select(*file_keys(files), "content")
 
 

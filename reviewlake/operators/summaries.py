@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake import catalog
-from reviewlake.functions import text
-from reviewlake.operators.scan import with_ext
+from reviewlake.operators.scan import code_files
 from reviewlake.schemas import ORDER_KEY
 
 SECURITY_SEVERITIES = catalog.SEVERITIES[:4]
@@ -103,10 +102,6 @@ def quality_summary(metrics: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def code_files(files: DataFrame) -> DataFrame:
-    return with_ext(files).where(text.is_code_file(F.col("filename")))
-
-
 def change_totals(files: DataFrame) -> DataFrame:
     """Added and removed lines and number of files per change, over its code files only."""
     return code_files(files).groupBy("change_id").agg(
@@ -116,13 +111,6 @@ def change_totals(files: DataFrame) -> DataFrame:
     )
 
 
-def _counted(df: DataFrame, **flags: Column) -> DataFrame:
-    """``change_id`` and one number per counter; counters that are not given are 0."""
-    return df.select("change_id", *[
-        flags.get(name, F.lit(0)).cast("long").alias(name) for name in CHANGE_COUNTERS
-    ])
-
-
 CHANGE_COUNTERS = (
     "files_changed", "total_additions", "total_deletions",
     "security_issues", *SECURITY_SEVERITIES,
@@ -130,26 +118,35 @@ CHANGE_COUNTERS = (
 )
 
 
-def change_summary(files: DataFrame, security: DataFrame, quality: DataFrame) -> DataFrame:
+def _counted(df: DataFrame, **counters: Column) -> DataFrame:
+    """``change_id`` and one number per counter; counters that are not given are 0."""
+    return df.select("change_id", *[
+        counters.get(name, F.lit(0)).cast("long").alias(name) for name in CHANGE_COUNTERS
+    ])
+
+
+def change_summary(files: DataFrame, findings: DataFrame) -> DataFrame:
     """Everything counted about a change, one row per change with code files.
 
-    Files, security findings and quality findings are stacked as rows of counters and summed by
-    change: one shuffle of pre-aggregated rows, and changes without findings get zeros.
-    ``functions`` counts the quality findings that are about functions, and ``lines_of_code`` is the
-    number of added lines.
+    Files and findings of both types are stacked as rows of counters and summed by change: the
+    findings are read once, one shuffle moves pre-aggregated rows, and changes without findings get
+    zeros. ``functions`` counts the quality findings that are about functions, and ``lines_of_code``
+    is the number of added lines.
     """
-    one = F.lit(1)
+    security, quality = F.col("type") == "security", F.col("type") == "quality"
+
+    def number(condition):
+        return F.when(condition, 1).otherwise(0)
+
     stacked = _counted(
-        code_files(files), files_changed=one,
+        code_files(files), files_changed=F.lit(1),
         total_additions=F.coalesce("additions", F.lit(0)),
         total_deletions=F.coalesce("deletions", F.lit(0)),
     ).unionByName(_counted(
-        security, security_issues=one,
-        **{name: F.when(_severity("low") == name, 1).otherwise(0) for name in SECURITY_SEVERITIES},
-    )).unionByName(_counted(
-        quality, quality_issues=one,
-        functions=F.when(F.contains("issue", F.lit("function")), 1).otherwise(0),
-        quality_medium_high=F.when(F.col("severity").isin("high", "medium"), 1).otherwise(0),
+        findings, security_issues=number(security), quality_issues=number(quality),
+        **{name: number(security & (_severity("low") == name)) for name in SECURITY_SEVERITIES},
+        functions=number(quality & F.contains("issue", F.lit("function"))),
+        quality_medium_high=number(quality & F.col("severity").isin("high", "medium")),
     ))
     sums = stacked.groupBy("change_id").agg(*[F.sum(name).alias(name) for name in CHANGE_COUNTERS])
     return sums.withColumn("lines_of_code", F.col("total_additions"))

@@ -15,31 +15,36 @@ from reviewlake.operators.scan import scan
 from reviewlake.session import materialize
 
 
-@dataclass(frozen=True)
-class Findings:
-    """Written findings of a set of files."""
-
-    security: DataFrame
-    quality: DataFrame
-
-
-def find(
+def all_findings(
     files: DataFrame, reports: DataFrame | None = None, rules: Sequence[Rule] = RULES,
     wildcard: str = "documented",
-) -> Findings:
-    """All findings, computed once and written, for the summaries and listings that follow.
+) -> DataFrame:
+    """Findings of every kind.
 
     Security and quality come from the same pass over the texts; only Python files are read again,
     by the structure checks.
     """
     found = scan(files, rules, wildcard=wildcard).unionByName(python_findings(python_trees(files)))
-    if reports is not None:
-        found = found.unionByName(tool_findings(reports, files))
-    written = materialize(found, "findings")
-    return Findings(
-        security=written.where(F.col("type") == "security"),
-        quality=written.where(F.col("type") == "quality"),
-    )
+    return found if reports is None else found.unionByName(tool_findings(reports, files))
+
+
+@dataclass(frozen=True)
+class Findings:
+    """Findings of a set of files, computed once and written for the steps that follow."""
+
+    written: DataFrame
+
+    @property
+    def security(self) -> DataFrame:
+        return self.written.where(F.col("type") == "security")
+
+    @property
+    def quality(self) -> DataFrame:
+        return self.written.where(F.col("type") == "quality")
+
+
+def find(files: DataFrame, reports: DataFrame | None = None, **options) -> Findings:
+    return Findings(materialize(all_findings(files, reports, **options), "findings"))
 
 
 @dataclass(frozen=True)
@@ -82,7 +87,7 @@ def review_changes(
 ) -> ChangeReview:
     """Review of many change requests at once, each with its own listing, verdict and prompt."""
     found = find(files, reports, **options)
-    counters = summaries.change_summary(files, found.security, found.quality)
+    counters = summaries.change_summary(files, found.written)
     verdicts = verdict.with_verdict(counters)
     gated = verdict.needs_review(counters, prompts_enabled)
     return ChangeReview(

@@ -32,3 +32,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Gives a small table as many partitions as there are cores; a larger one is left alone.
+
+    Scanning is bound by CPU, and a small file is otherwise one task however much text it holds.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
