@@ -595,6 +595,15 @@ FROM ({_binary()}) WHERE file_id % 4 = 1 OR file_id % 17 = 3""",
         "lines_of_code": textqual + " SELECT file_id, lines_of_code FROM sizes",
         "js_functions": _with(_files()) + f" SELECT file_id, CAST({js_functions} AS INTEGER) AS functions"
         f" FROM src WHERE {SCRIPT}",
+        "file_metrics": _quality() + f"""
+, counts AS (SELECT file_id, CAST({js_functions} AS INTEGER) AS functions, CAST(NULL AS INTEGER) AS classes
+             FROM src WHERE {SCRIPT}
+  UNION ALL
+  SELECT file_id, CAST(count(*) FILTER (kind = 'function') AS INTEGER),
+         CAST(count(*) FILTER (kind = 'class') AS INTEGER)
+  FROM (SELECT DISTINCT file_id FROM placed WHERE NOT broken) LEFT JOIN nodes USING (file_id)
+  GROUP BY file_id)
+SELECT file_id, lines_of_code, functions, classes, comment_ratio FROM sizes LEFT JOIN counts USING (file_id)""",
         "py_counts": facts + """
 SELECT p.file_id, CAST(count(*) FILTER (kind = 'function') AS INTEGER) AS functions,
        CAST(count(*) FILTER (kind = 'class') AS INTEGER) AS classes

@@ -13,7 +13,7 @@ from reviewlake.operators import (
     verdict,
 )
 from reviewlake.plans import review
-from reviewlake.session import spread
+from reviewlake.session import materialize, new_folder, spread
 from reviewlake.sources import changes as change_source, files as file_source, snapshots
 from reviewlake.streaming import scan as streaming
 
@@ -41,8 +41,21 @@ def _sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     return spark.sql(query)
 
 
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived corpus as a table, written once per application by the first query that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    rows = _sql(spark, sf_dir, getattr(corpora, name))
+    if key not in _written:
+        _written[key] = new_folder(spark, name.lower())
+        rows.write.parquet(_written[key])
+    return spark.read.schema(rows.schema).parquet(_written[key])
+
+
 def files(spark, sf_dir):
-    return _sql(spark, sf_dir, corpora.FILES)
+    return corpus(spark, sf_dir, "FILES")
 
 
 def changes(spark, sf_dir):
@@ -54,7 +67,7 @@ def raw_files(spark, sf_dir):
 
 
 def _all_reports(spark, sf_dir):
-    return _sql(spark, sf_dir, corpora.REPORTS)
+    return corpus(spark, sf_dir, "REPORTS")
 
 
 def _security(spark, sf_dir):
@@ -143,7 +156,7 @@ def quality_query(check, whole_file=False):
 
 
 def long_file(spark, sf_dir):
-    found = scan.text_quality_findings(_sql(spark, sf_dir, corpora.LONG_FILES))
+    found = scan.text_quality_findings(corpus(spark, sf_dir, "LONG_FILES"))
     return found.where(F.col("issue") == "long_file").select("file_id", "severity", "description")
 
 
@@ -162,16 +175,16 @@ def file_check_query(check):
 
 
 def comment_ratio(spark, sf_dir):
-    rows = quality.file_metrics(files(spark, sf_dir))
+    rows = quality.text_metrics(files(spark, sf_dir))
     return rows.select("file_id", "comment_lines", "non_blank_lines", "comment_ratio")
 
 
 def lines_of_code(spark, sf_dir):
-    return quality.file_metrics(files(spark, sf_dir)).select("file_id", "lines_of_code")
+    return quality.text_metrics(files(spark, sf_dir)).select("file_id", "lines_of_code")
 
 
 def js_functions(spark, sf_dir):
-    rows = quality.file_metrics(files(spark, sf_dir))
+    rows = quality.text_metrics(files(spark, sf_dir))
     rows = rows.where(F.col("ext").isin(*catalog.SCRIPT_EXTENSIONS))
     return rows.select("file_id", "functions")
 
@@ -205,7 +218,7 @@ def structure_query(issue, columns):
 
 
 def _patches(spark, sf_dir):
-    return _sql(spark, sf_dir, corpora.PATCHES)
+    return corpus(spark, sf_dir, "PATCHES")
 
 
 def hunks(spark, sf_dir):
@@ -250,7 +263,16 @@ def security_summary_rollup(spark, sf_dir):
 
 def quality_summary(spark, sf_dir):
     source = files(spark, sf_dir)
-    return summaries.quality_summary(quality.file_metrics(source), quality.quality_findings(source))
+    trees = materialize(_trees(spark, sf_dir), "trees")
+    return summaries.quality_summary(
+        quality.text_metrics(source), python_structure.python_counts(trees),
+        quality.quality_findings(source, trees),
+    )
+
+
+def file_metrics(spark, sf_dir):
+    rows = quality.file_metrics(files(spark, sf_dir))
+    return rows.select("file_id", "lines_of_code", "functions", "classes", "comment_ratio")
 
 
 def severity_histogram(spark, sf_dir):
@@ -397,11 +419,10 @@ def snippet_prompt(spark, sf_dir):
 
 
 def _arrivals(spark, sf_dir):
-    """The events table as a stream, through the same SQL as the batch corpus."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(sf_dir, pathGlobFilter="events.parquet")
-    stream.createOrReplaceTempView("events")
-    return spark.sql(corpora.ARRIVALS)
+    """The arriving files as a stream: every file of the folder is picked up once."""
+    batch = corpus(spark, sf_dir, "ARRIVALS")
+    folder = _written[spark.sparkContext.applicationId, sf_dir, "ARRIVALS"]
+    return spark.readStream.schema(batch.schema).parquet(folder)
 
 
 def stream_scan(spark, sf_dir):
@@ -451,6 +472,7 @@ def queries():
         "comment_ratio": comment_ratio,
         "lines_of_code": lines_of_code,
         "js_functions": js_functions,
+        "file_metrics": file_metrics,
         "py_counts": py_counts,
         "py_complexity": py_complexity,
         "py_high_complexity": structure_query(

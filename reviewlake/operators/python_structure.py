@@ -8,8 +8,6 @@ the branches they contain (m x k pairs per file), the parse keeps one running to
 text order and notes it when a function starts and ends; the complexity is the difference.
 """
 
-from collections.abc import Sequence
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -37,36 +35,46 @@ TREE = T.StructType([
 def _parser():
     """The parse function, nested so that it travels to the workers by value."""
 
-    def tree_of(content):
-        import ast
+    import ast
+
+    kinds = {ast.FunctionDef: "function", ast.ClassDef: "class"}
+    branches = {ast.If, ast.While, ast.For, ast.ExceptHandler}
+    leaves = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.cmpop,
+              ast.boolop)
 
-        kinds = {ast.FunctionDef: "function", ast.ClassDef: "class"}
-        tree = ast.parse(content)
-        found = [node for node in ast.walk(tree) if type(node) in kinds]
-        before, after, total = {}, {}, 0
-        todo = [(tree, False)]
+    def nodes_of(content):
+        """Functions and classes, top level first and then by nesting, in text order."""
+        found, total = [], 0
+        todo = [(ast.parse(content), 0)]
         while todo:
-            node, done = todo.pop()
-            if done:
-                after[node] = total
+            node, depth = todo.pop()
+            if depth < 0:  # everything inside this function or class is done
+                node["weight_after"] = total
                 continue
-            if isinstance(node, (ast.If, ast.While, ast.For, ast.ExceptHandler)):
+            kind = type(node)
+            if kind in branches:
                 total += 1
-            elif isinstance(node, ast.BoolOp):
+            elif kind is ast.BoolOp:
                 total += len(node.values) - 1
-            if type(node) in kinds:
-                before[node] = total
-                todo.append((node, True))
-            todo.extend((child, False) for child in ast.iter_child_nodes(node))
-        return [
-            {
-                "kind": kinds[type(node)], "name": node.name,
-                "line": node.lineno, "end_line": node.end_lineno, "walk_ord": at,
-                "weight_before": before[node], "weight_after": after[node],
-                "documented": bool(ast.get_docstring(node)),
-            }
-            for at, node in enumerate(found)
-        ]
+            elif kind in kinds:
+                row = {
+                    "kind": kinds[kind], "name": node.name, "line": node.lineno,
+                    "end_line": node.end_lineno, "walk_ord": depth, "weight_before": total,
+                    "weight_after": total, "documented": bool(ast.get_docstring(node)),
+                }
+                found.append(row)
+                todo.append((row, -1))
+            children = []
+            for name in node._fields:
+                value = getattr(node, name, None)
+                for child in value if isinstance(value, list) else (value,):
+                    if isinstance(child, ast.AST) and not isinstance(child, leaves):
+                        children.append((child, depth + 1))
+            todo.extend(reversed(children))
+        found.sort(key=lambda row: row["walk_ord"])
+        for at, row in enumerate(found):
+            row["walk_ord"] = at
+        return found
 
     def parse_batch(contents: pd.Series) -> pd.DataFrame:
         import warnings
@@ -76,7 +84,7 @@ def _parser():
             warnings.simplefilter("ignore")
             for content in contents:
                 try:
-                    rows.append((tree_of(content), None, None))
+                    rows.append((nodes_of(content), None, None))
                 except SyntaxError as error:
                     rows.append((None, str(error), error.lineno))
                 except (ValueError, RecursionError, MemoryError) as error:
@@ -90,16 +98,15 @@ def _parser():
     return F.pandas_udf(parse_batch, TREE)
 
 
-def python_trees(files: DataFrame, measures: Sequence[Column] = ()) -> DataFrame:
+def python_trees(files: DataFrame) -> DataFrame:
     """One row per Python file: its functions and classes, or its syntax error.
 
-    Texts of other languages are filtered out before the Python worker. ``measures`` are further
-    columns to take from the text on the way.
+    Texts of other languages are filtered out before the Python worker, and no text comes back.
     """
     source = reviewable(files).where(F.col("ext").isin(*catalog.PYTHON_EXTENSIONS))
     tree = _parser()(F.col("content"))
-    kept = [*file_keys(source), *measures]
-    return source.select(*kept, tree.alias("tree")).select("*", "tree.*").drop("tree")
+    keys = file_keys(source)
+    return source.select(*keys, tree.alias("tree")).select(*keys, "tree.*")
 
 
 def _of_kind(kind: str) -> Column:

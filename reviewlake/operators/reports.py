@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake import catalog
 from reviewlake.functions import text
-from reviewlake.operators.findings import explode_findings, file_keys, finding
+from reviewlake.operators.findings import file_keys, finding
 from reviewlake.operators.scan import code_files
-from reviewlake.schemas import BANDIT_REPORT, FINDINGS, SEMGREP_REPORT
+from reviewlake.schemas import BANDIT_REPORT, FINDING, SEMGREP_REPORT
 
 REPORT_PHASES = {"bandit": 2, "semgrep": 3}
 
@@ -103,19 +103,26 @@ def tool_findings(
 ) -> DataFrame:
     """Findings of the scanners. A report that is not JSON, or has no results, gives none.
 
-    All tools are read in one pass and joined once. Reports are parsed and emptied ones dropped before
-    the join; the files side brings the names of code files and no text, as a report is there only for
-    a file that had one. Bandit reports count for Python files alone, as only those are given to it.
+    All tools are read in one pass and joined once. Reports are parsed and taken apart before the
+    join; the files side brings the names of code files and no text, as a report is there only for a
+    file that had one. Bandit reports count for Python files alone, as only those are given to it.
     """
-    found = F.lit(None).cast(FINDINGS)
+    items = reports.where(F.col("tool").isin(*tools)).select("file_id", "tool", *[
+        F.when(F.col("tool") == tool, F.from_json("report", _READERS[tool][0])["results"]).alias(tool)
+        for tool in tools
+    ])
+    # Both arrays are zipped so that one explode serves all tools; only one of them is ever filled.
+    zipped = F.arrays_zip(*[F.coalesce(tool, F.array()).alias(tool) for tool in tools])
+    exploded = items.select("file_id", "tool", F.posexplode_outer(zipped).alias("idx", "item"))
+    exploded = exploded.where(F.col("item").isNotNull())
+    scanned = code_files(files)
+    joined = exploded.join(scanned.select(*file_keys(scanned)), "file_id").where(
+        (F.col("tool") != "bandit") | F.col("ext").isin(*catalog.PYTHON_EXTENSIONS)
+    )
+    found = F.lit(None).cast(FINDING)
     for tool in tools:
-        schema, build = _READERS[tool]
-        results = F.from_json("report", schema)["results"]
-        found = F.when(F.col("tool") == tool, F.transform(results, build)).otherwise(found)
-    parsed = reports.where(F.col("tool").isin(*tools)).select(
-        "file_id", (F.col("tool") == "bandit").alias("python_only"), found.alias("found")
+        built = _READERS[tool][1](F.col("item")[tool], F.col("idx"))
+        found = F.when(F.col("tool") == tool, built).otherwise(found)
+    return joined.select(*file_keys(scanned), found.alias("finding")).select(
+        *file_keys(scanned), "finding.*"
     )
-    scanned = code_files(files)
-    joined = parsed.where(F.size("found") > 0).join(scanned.select(*file_keys(scanned)), "file_id")
-    kept = joined.where(~F.col("python_only") | F.col("ext").isin(*catalog.PYTHON_EXTENSIONS))
-    return explode_findings(kept, F.col("found"))

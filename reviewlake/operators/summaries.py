@@ -81,21 +81,26 @@ def tool_summary(
     )
 
 
-def quality_summary(metrics: DataFrame, findings: DataFrame) -> DataFrame:
+def quality_summary(metrics: DataFrame, counts: DataFrame, findings: DataFrame) -> DataFrame:
     """Per file: number of findings, lines, functions, classes and findings per severity.
 
-    Metrics and findings are stacked and grouped once, which needs one shuffle and no join.
+    Text metrics, Python counts and findings are stacked and grouped once: one shuffle and no join.
     """
     sizes = ("lines_of_code", "functions", "classes")
-    per_file = metrics.select(
-        "file_id", *[F.coalesce(name, F.lit(0)).alias(name) for name in sizes],
-        F.lit(None).cast("string").alias("severity"), F.lit(0).alias("is_finding"),
-    )
-    per_finding = findings.select(
-        "file_id", *[F.lit(0).alias(name) for name in sizes],
-        _severity("info").alias("severity"), F.lit(1).alias("is_finding"),
+
+    def rows(df, severity, is_finding):
+        return df.select(
+            "file_id",
+            *[F.coalesce(name, F.lit(0)).alias(name) if name in df.columns else F.lit(0).alias(name)
+              for name in sizes],
+            severity.alias("severity"), F.lit(is_finding).alias("is_finding"),
+        )
+
+    none = F.lit(None).cast("string")
+    stacked = rows(metrics, none, 0).unionByName(rows(counts, none, 0)).unionByName(
+        rows(findings, _severity("info"), 1)
     )
-    return per_file.unionByName(per_finding).groupBy("file_id").agg(
+    return stacked.groupBy("file_id").agg(
         F.sum("is_finding").alias("total_issues"),
         *[F.sum(name).alias(name) for name in sizes],
         *[F.count_if(F.col("severity") == name).alias(name) for name in catalog.SEVERITIES],
