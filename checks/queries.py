@@ -15,6 +15,7 @@ from reviewlake.operators import (
 from reviewlake.plans import review
 from reviewlake.session import materialize, new_folder, spread
 from reviewlake.sources import changes as change_source, files as file_source, snapshots
+from reviewlake.sources.corpus import read_corpus, write_corpus
 from reviewlake.streaming import scan as streaming
 
 TABLES = (
@@ -48,13 +49,18 @@ def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived corpus as a table, written once per application by the first query that needs it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     rows = _sql(spark, sf_dir, getattr(corpora, name))
+    by_suffix = name == "FILES"
     if key not in _written:
-        _written[key] = new_folder(spark, name.lower())
-        rows.write.parquet(_written[key])
+        folder = new_folder(spark, name.lower())
+        write_corpus(rows, folder) if by_suffix else rows.write.parquet(folder)
+        _written[key] = folder
+    if by_suffix:
+        return read_corpus(spark, _written[key], rows.schema)
     return spark.read.schema(rows.schema).parquet(_written[key])
 
 
 def files(spark, sf_dir):
+    """The changed files, as a corpus by suffix."""
     return corpus(spark, sf_dir, "FILES")
 
 

@@ -19,10 +19,14 @@ def file_ext(filename: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(?s)\A.+(\.[^.]+)\z", 1))
 
 
+def is_skipped_path(filename: Column) -> Column:
+    """Any of the skipped path parts anywhere in the name (a plain, case-sensitive substring test)."""
+    return filename.rlike("|".join(re.escape(part) for part in catalog.SKIPPED_PATHS))
+
+
 def is_code_file(filename: Column) -> Column:
-    """A known code suffix and no skipped path part (a plain, case-sensitive substring test)."""
-    skipped = filename.rlike("|".join(re.escape(part) for part in catalog.SKIPPED_PATHS))
-    return file_ext(filename).isin(*catalog.CODE_EXTENSIONS) & ~skipped
+    """A known code suffix and no skipped path part."""
+    return file_ext(filename).isin(*catalog.CODE_EXTENSIONS) & ~is_skipped_path(filename)
 
 
 def has_content(content: Column) -> Column:

@@ -39,8 +39,10 @@ def _parser():
 
     kinds = {ast.FunctionDef: "function", ast.ClassDef: "class"}
     branches = {ast.If, ast.While, ast.For, ast.ExceptHandler}
-    leaves = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.cmpop,
-              ast.boolop)
+    # Values and nodes that cannot have a branch below them.
+    leaves = {type(None), str, int, bool, ast.Name, ast.Constant}
+    for group in (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop):
+        leaves.update(group.__subclasses__())
 
     def nodes_of(content):
         """Functions and classes, top level first and then by nesting, in text order."""
@@ -67,9 +69,10 @@ def _parser():
             children = []
             for name in node._fields:
                 value = getattr(node, name, None)
-                for child in value if isinstance(value, list) else (value,):
-                    if isinstance(child, ast.AST) and not isinstance(child, leaves):
-                        children.append((child, depth + 1))
+                if type(value) is list:
+                    children += [(child, depth + 1) for child in value if type(child) not in leaves]
+                elif type(value) not in leaves:
+                    children.append((value, depth + 1))
             todo.extend(reversed(children))
         found.sort(key=lambda row: row["walk_ord"])
         for at, row in enumerate(found):

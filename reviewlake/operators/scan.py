@@ -33,7 +33,10 @@ def with_ext(files: DataFrame) -> DataFrame:
 
 
 def code_files(files: DataFrame) -> DataFrame:
-    return with_ext(files).where(text.is_code_file(F.col("filename")))
+    """The test on ``ext`` prunes partitions where that is a column of the table."""
+    return with_ext(files).where(
+        F.col("ext").isin(*catalog.CODE_EXTENSIONS) & ~text.is_skipped_path(F.col("filename"))
+    )
 
 
 def reviewable(files: DataFrame) -> DataFrame:

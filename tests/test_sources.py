@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
+from reviewlake.operators.python_structure import python_trees
 from reviewlake.sources import changes, files, reports, snapshots
+from reviewlake.sources.corpus import read_corpus, write_corpus
 
 
 def test_folder_to_files_and_rejects(spark, tmp_path):
@@ -57,6 +59,19 @@ def test_local_changes(spark):
     assert {(r.status, r.patch) for r in rows} == {("modified", "")}
 
 
+def test_corpus_by_suffix_prunes(spark, make_files, tmp_path):
+    rows = make_files([("a.py", "def f(): pass"), ("b.js", "var a = 1"), ("c.md", "x"), ("d", "y")])
+    path = str(tmp_path / "corpus")
+    write_corpus(rows, path)
+    files = read_corpus(spark, path, rows.schema)
+    assert {(r.filename, r.ext) for r in files.select("filename", "ext").collect() if r.ext} == {
+        ("a.py", ".py"), ("b.js", ".js"), ("c.md", ".md")}
+    trees = python_trees(files)
+    assert [r.filename for r in trees.collect()] == ["a.py"]
+    plan = trees._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ext" in plan
+
+
 def test_report_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"results":\n []}')
     row = reports.read_reports(spark, str(tmp_path), "bandit").first()
