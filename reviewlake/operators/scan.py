@@ -33,7 +33,7 @@ def with_ext(files: DataFrame) -> DataFrame:
 
 
 def code_files(files: DataFrame) -> DataFrame:
-    """The test on ``ext`` prunes partitions where that is a column of the table."""
+    """The test on ``ext`` reaches the storage where that is a column of the table."""
     return with_ext(files).where(
         F.col("ext").isin(*catalog.CODE_EXTENSIONS) & ~text.is_skipped_path(F.col("filename"))
     )

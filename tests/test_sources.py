@@ -59,17 +59,20 @@ def test_local_changes(spark):
     assert {(r.status, r.patch) for r in rows} == {("modified", "")}
 
 
-def test_corpus_by_suffix_prunes(spark, make_files, tmp_path):
-    rows = make_files([("a.py", "def f(): pass"), ("b.js", "var a = 1"), ("c.md", "x"), ("d", "y")])
+def test_corpus_by_suffix_is_pushed_down(spark, make_files, tmp_path):
+    rows = make_files([("c.md", "x"), ("a.py", "def f(): pass"), ("b.js", "var a = 1"), ("d", "y")])
     path = str(tmp_path / "corpus")
-    write_corpus(rows, path)
+    write_corpus(rows.coalesce(1), path)
     files = read_corpus(spark, path, rows.schema)
-    assert {(r.filename, r.ext) for r in files.select("filename", "ext").collect() if r.ext} == {
-        ("a.py", ".py"), ("b.js", ".js"), ("c.md", ".md")}
+    assert [(r.filename, r.ext) for r in files.collect()] == [
+        ("d", ""), ("b.js", ".js"), ("c.md", ".md"), ("a.py", ".py")]
     trees = python_trees(files)
     assert [r.filename for r in trees.collect()] == ["a.py"]
-    plan = trees._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(ext" in plan
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    scanned = next(line for line in trees._jdf.queryExecution().executedPlan().toString().split("\n")
+                   if "FileScan" in line)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(ext,.py)" in scanned
 
 
 def test_report_files(spark, tmp_path):
