@@ -1,0 +1,8 @@
+"""Operators for training-data pipelines, one module each; nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in tasks travel by value, so that executors need no copy of the library
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
