@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from reviewlake.llm.common import NULL_ID, real_id, whole
 from reviewlake.llm.hashing import _BASE, _BYTE, mix
+from reviewlake.llm.packing import by_bucket, flat, groups, halves, joined, lists
+from reviewlake.session import materialize
 
 LENGTH, PREFIX = 50, 20
 SAMPLES = LENGTH - PREFIX + 1
-CHUNK, UNIT, BUCKET_BYTES = 1 << 16, 12 << 20, 24 << 20
+CHUNK, UNIT, BUCKET_BYTES, PARTITION_BYTES = 1 << 16, 6 << 20, 12 << 20, 24 << 20
 _U = np.uint64
 _EXPAND = 64  # added to the width of a run that round two is to look at
 SPANS = "doc_id long, tag int, lo array<int>, width array<tinyint>"
@@ -36,16 +38,16 @@ SPANS = "doc_id long, tag int, lo array<int>, width array<tinyint>"
 
 def prefix_ranks(raw: np.ndarray, n: int) -> np.ndarray:
     """Rank of the n bytes from each position on: equal for equal bytes."""
-    ranks = {1: _BYTE[raw]}
-
-    def of(m):
-        if m not in ranks:
-            a, b = m // 2, m - m // 2
-            size = max(0, len(raw) - m + 1)
-            ranks[m] = of(a)[:size] * _U(pow(_BASE, b, 2**64)) + of(b)[a : a + size]
-        return ranks[m]
-
-    return mix(of(n))
+    ranks, width = _BYTE[raw], 1
+    for bit in bin(n)[3:]:  # the binary digits after the first: double, and add one where the digit says so
+        size = max(0, len(raw) - 2 * width + 1)
+        ranks = ranks[:size] * _U(pow(_BASE, width, 2**64)) + ranks[width : width + size]
+        width *= 2
+        if bit == "1":
+            size = max(0, len(raw) - width)
+            ranks = ranks[:size] * _U(_BASE) + _BYTE[raw[width : width + size]]
+            width += 1
+    return mix(ranks)
 
 
 def sampled(ranks: np.ndarray) -> np.ndarray:
@@ -126,18 +128,12 @@ def settle(key: np.ndarray, value: np.ndarray, doc: np.ndarray, marks: np.ndarra
     return later_, several_
 
 
-def _lists(order, cut, columns):
-    offsets = pa.array(np.append(cut, len(order)).astype(np.int32))
-    return [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(c[order]))) for c in columns]
-
-
-def _spans(bucket, doc, tag, lo, width):
-    """Rows (bucket, doc_id, tag, lo, width), one per document, of runs in any order."""
+def _spans(doc, tag, lo, width):
+    """Columns doc_id, tag, lo, width of one row per document, from runs in any order."""
     order = np.lexsort((lo, tag, doc))
     d, t = doc[order], tag[order]
     cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))) if len(d) else np.empty(0, np.int64)
-    lists = _lists(order, cut, [lo.astype(np.int32), width.astype(np.int8)])
-    return [pa.array(np.full(len(cut), bucket, np.int32)), pa.array(d[cut]), pa.array(t[cut]), *lists]
+    return [pa.array(d[cut]), pa.array(t[cut]), *lists(order, cut, [lo.astype(np.int32), width.astype(np.int8)])]
 
 
 _SENT = [
@@ -160,31 +156,25 @@ def _batch(n, **columns):
 def _settled(buckets, doc, tag, lo, width):
     """Rows of runs that need no other task; they pass through the next shuffle as they are, spread by document."""
     if len(doc):
-        columns = _spans(0, doc, tag, lo, width)
-        spread = pa.array((mix(columns[1].to_numpy().view(_U)) % _U(buckets)).astype(np.int32))
-        yield _batch(len(spread), bucket=spread, **dict(zip(("doc_id", "tag", "lo", "width"), columns[1:])))
+        columns = _spans(doc, tag, lo, width)
+        spread = pa.array((mix(columns[0].to_numpy().view(_U)) % _U(buckets)).astype(np.int32))
+        yield _batch(len(spread), bucket=spread, **dict(zip(("doc_id", "tag", "lo", "width"), columns)))
 
 
 def _to_send(buckets, key, doc, tag, lo, width, whole_range=None, context=None):
     """One row per bucket: of the key the part above the bucket number, then all that the other side needs."""
     bucket = (key % _U(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    b = bucket[order]
-    cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.empty(0, np.int64)
+    order, cut = by_bucket(bucket)
     if not len(cut):
         return
     more = {}
     if whole_range is not None:
-        more["high"], more["low"] = _lists(order, cut, [
-            (whole_range >> _U(32)).astype(np.uint32).view(np.int32), (whole_range & _U(0xFFFF)).astype(np.uint16).view(np.int16)
-        ])
+        more["high"], more["low"] = lists(order, cut, [*halves(whole_range)])
     if context is not None:
         ends = np.append(cut, len(order))
         more["bytes"] = pa.array([b"".join(context[i] for i in order[s:e].tolist()) for s, e in zip(ends[:-1], ends[1:])], pa.binary())
-    lists = _lists(order, cut, [
-        (key >> _U(32)).astype(np.uint32).view(np.int32), doc, tag.astype(np.int32), lo.astype(np.int32), width.astype(np.int8)
-    ])
-    yield _batch(len(cut), bucket=pa.array(b[cut]), **dict(zip(("key", "doc", "tags", "lo", "width"), lists)), **more)
+    sent = lists(order, cut, [halves(key)[0], doc, tag.astype(np.int32), lo.astype(np.int32), width.astype(np.int8)])
+    yield _batch(len(cut), bucket=pa.array(bucket[order][cut]), **dict(zip(("key", "doc", "tags", "lo", "width"), sent)), **more)
 
 
 def _units(batch):
@@ -223,42 +213,30 @@ def _round_one(buckets: int):
     return run
 
 
-def _flat(rows, name, kind):
-    return np.concatenate([r[name].values.to_numpy(zero_copy_only=False) for r in rows]).astype(kind, copy=False)
-
-
 def _by_bucket(batches, judge):
-    """Settled rows go through; the others are gathered by bucket, rows coming in order of their bucket."""
+    """Settled rows go through; the others are judged bucket by bucket, rows coming in order of their bucket."""
+    through = []
 
-    def spans(columns):
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "lo", "width"])
+    def rest():
+        for batch in batches:
+            through.append(batch.filter(batch.column("key").is_null()).select(["doc_id", "tag", "lo", "width"]))
+            yield batch.filter(batch.column("key").is_valid())
 
-    bucket, rows = None, []
-    for batch in batches:
-        through = batch.filter(batch.column("key").is_null())
-        if through.num_rows:
-            yield spans([through.column(x) for x in ("doc_id", "tag", "lo", "width")])
-        batch = batch.filter(batch.column("key").is_valid())
-        for at in range(batch.num_rows):
-            row = {name: batch.column(name)[at] for name in batch.schema.names}
-            if row["bucket"].as_py() != bucket:
-                if rows:
-                    yield spans(judge(rows)[1:])
-                bucket, rows = row["bucket"].as_py(), []
-            rows.append(row)
-    if rows:
-        yield spans(judge(rows)[1:])
+    for _, rows in groups(rest()):
+        yield pa.RecordBatch.from_arrays(judge(rows), names=["doc_id", "tag", "lo", "width"])
+        while through:
+            yield through.pop()
+    yield from through
 
 
 def _judge_one(rows):
-    key, doc, tag = _flat(rows, "key", np.int32).view(np.uint32).astype(_U), _flat(rows, "doc", np.int64), _flat(rows, "tags", np.int32)
-    lo, width = _flat(rows, "lo", np.int64), _flat(rows, "width", np.int64)
-    value = (_flat(rows, "high", np.int32).view(np.uint32).astype(_U) << _U(16)) | _flat(rows, "low", np.int16).view(np.uint16).astype(_U)
+    key, doc, tag, lo, width = (flat(rows, name) for name in ("key", "doc", "tags", "lo", "width"))
+    value = joined(flat(rows, "high"), flat(rows, "low"))
     marks = width < 0
     later, several = settle(key, value, doc, marks)
     more = several & ~later & ~marks
     pick = (later & ~marks) | more
-    return _spans(0, doc[pick], tag[pick], lo[pick], width[pick] + _EXPAND * more[pick])
+    return _spans(doc[pick], tag[pick], lo[pick], width[pick] + _EXPAND * more[pick].astype(np.int8))
 
 
 def _windows(doc, tag, lo, width, context):
@@ -273,14 +251,14 @@ def _windows(doc, tag, lo, width, context):
 
 
 def _judge_two(rows):
-    doc, tag = _flat(rows, "doc", np.int64), _flat(rows, "tags", np.int32)
-    lo, width = _flat(rows, "lo", np.int64), _flat(rows, "width", np.int64)
-    joined = b"".join(r["bytes"].as_py() for r in rows)
+    doc, tag, lo, width = (flat(rows, name) for name in ("doc", "tags", "lo", "width"))
+    lo, width = lo.astype(np.int64), width.astype(np.int64)
+    together = b"".join(r["bytes"].as_py() for r in rows)
     ends = np.cumsum(width + LENGTH)
-    context = [joined[e - w : e] for e, w in zip(ends.tolist(), (width + LENGTH).tolist())]
+    context = [together[e - w : e] for e, w in zip(ends.tolist(), (width + LENGTH).tolist())]
     _, doc, tag, at, a, b = _windows(doc, tag, lo, width, context)
     later, _ = settle(a, b, doc, np.zeros(len(a), bool))
-    return _spans(0, doc[later], tag[later], at[later], np.zeros(int(later.sum()), np.int64))
+    return _spans(doc[later], tag[later], at[later], np.zeros(int(later.sum()), np.int64))
 
 
 def _round_two(buckets: int):
@@ -353,21 +331,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + total // BUCKET_BYTES
-    texts = rows.repartition(1 + total // (2 * UNIT), "doc_id", "tag")
+    partitions = 1 + total // PARTITION_BYTES
+    lists_ = [F.flatten(F.collect_list(x)).alias(x) for x in ("lo", "width")]
 
     def exchange(sent, judge):
-        dealt = sent.repartition(1 + total // (2 * UNIT), "bucket").sortWithinPartitions("bucket")
-        found = dealt.mapInArrow(lambda batches: _by_bucket(batches, judge), SPANS)
-        return found.groupBy("doc_id", "tag").agg(
-            F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("width")).alias("width")
-        )
+        dealt = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+        return dealt.mapInArrow(lambda batches: _by_bucket(batches, judge), SPANS)
 
-    one = exchange(texts.mapInArrow(_round_one(buckets), _SENT_SQL), _judge_one)
-    left = texts.join(one, ["doc_id", "tag"])
-    two = exchange(left.mapInArrow(_round_two(buckets), _SENT_SQL), _judge_two)
-    spans = one.unionByName(two).groupBy("doc_id", "tag").agg(
-        F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("width")).alias("width")
+    # written, as round two and the cut both read it; texts are dealt once for both
+    one = materialize(
+        exchange(rows.mapInArrow(_round_one(buckets), _SENT_SQL), _judge_one).groupBy("doc_id", "tag").agg(*lists_), "runs"
     )
+    texts = rows.repartition(partitions, "doc_id", "tag")
+    open_ = one.where(F.exists("width", lambda w: w >= _EXPAND)).hint("merge")
+    two = exchange(texts.join(open_, ["doc_id", "tag"]).mapInArrow(_round_two(buckets), _SENT_SQL), _judge_two)
+    spans = one.unionByName(two).groupBy("doc_id", "tag").agg(*lists_).hint("merge")
     cut = texts.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "lo", "width").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
