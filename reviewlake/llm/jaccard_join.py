@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from reviewlake.llm.common import NULL_ID, real_id, whole
 from reviewlake.llm.components import connected
 from reviewlake.llm.hashing import mix, shingles, word_hashes
+from reviewlake.llm.packing import by_bucket, flat, groups, halves, joined, lists
 from reviewlake.session import materialize
 
 BLOCK, FANOUT, BITMAP_WORDS, PAIRS = 8192, 8, 16, 1 << 14
+BUCKET_BYTES, PARTITION_BYTES = 12 << 20, 24 << 20
 _U = np.uint64
 
 
@@ -100,30 +102,91 @@ def _sets(texts, n):
         yield shingles(words, n)
 
 
-def _signatures(n: int, percent: int):
+def _parts_of(batches, size: int = 512):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, size):
+            yield batch.slice(lo, size)
+
+
+def _set_hash(own: np.ndarray, salt: int) -> int:
+    return int(mix(own ^ _U(salt)).sum(dtype=_U).view(np.int64))
+
+
+def _signatures(n: int):
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                sizes, h1, h2, keys = [], [], [], []
-                for own in _sets(part.column("text").to_pylist(), n):
-                    sizes.append(len(own))
-                    h1.append(int(mix(own ^ _U(0x51)).sum(dtype=_U)))
-                    h2.append(int(mix(own ^ _U(0xA2)).sum(dtype=_U)))
-                    keys.append(keys_of(own, percent).view(np.int64))
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        for part in _parts_of(batches):
+            own = list(_sets(part.column("text").to_pylist(), n))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"), pa.array([len(s) for s in own], pa.int64()),
+                    *(pa.array([_set_hash(s, salt) for s in own], pa.int64()) for salt in (0x51, 0xA2)),
+                ],
+                names=["doc_id", "n", "h1", "h2"],
+            )
+
+    return run
+
+
+_KEYED = [
+    ("bucket", pa.int32()), ("high", pa.list_(pa.int32())), ("low", pa.list_(pa.int16())), ("set", pa.list_(pa.int64())),
+    ("u", pa.int64()), ("v", pa.int64()),
+]
+
+
+def _edges(keys: np.ndarray, sets: np.ndarray):
+    """Sets (by their hash) that share a key, as edges from each to the next, and which rows are the first of their key."""
+    order = np.lexsort((sets, keys))
+    k, d = keys[order], sets[order]
+    again = k[1:] == k[:-1]
+    pairs = np.stack([d[:-1], d[1:]], axis=1)[again]
+    first = np.empty(len(k), bool)
+    first[order] = np.append(True, ~again) if len(k) else again
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0), first
+
+
+def _keys(n: int, percent: int, buckets: int):
+    """Keys by bucket, of each key in a task's part only the first set; the others become edges here."""
+
+    def run(batches):
+        for part in _parts_of(batches, 4096):
+            own = {_set_hash(s, 0x51): s for s in _sets(part.column("text").to_pylist(), n) if len(s)}
+            found = [keys_of(s, percent) for s in own.values()]
+            sets = np.repeat(np.fromiter(own, np.int64, len(own)), [len(x) for x in found])
+            keys = np.concatenate([np.empty(0, _U), *found])
+            pairs, first = _edges(keys, sets)
+            keys, sets = keys[first], sets[first]
+            bucket = (keys % _U(buckets)).astype(np.int32)
+            order, cut = by_bucket(bucket)
+            m = len(pairs)
+            empty = [pa.nulls(m, kind) for _, kind in _KEYED[1:4]]
+            spread = pa.array((np.arange(m) % buckets).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([spread, *empty, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=pa.schema(_KEYED))
+            if len(cut):
+                none = [pa.nulls(len(cut), pa.int64())] * 2
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), pa.array(np.array(sizes, np.int64)),
-                        pa.array(np.array(h1, _U).view(np.int64)), pa.array(np.array(h2, _U).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys]))),
-                    ],
-                    names=["doc_id", "n", "h1", "h2", "keys"],
+                    [pa.array(bucket[order][cut]), *lists(order, cut, [*halves(keys), sets]), *none], schema=pa.schema(_KEYED)
                 )
 
     return run
 
 
+def _match(batches):
+    """Edges of each bucket, and those that came along."""
+    through = []
+
+    def rest():
+        for batch in batches:
+            through.append(batch.filter(batch.column("u").is_valid()).select(["u", "v"]))
+            yield batch.filter(batch.column("u").is_null())
+
+    for _, rows in groups(rest()):
+        pairs, _ = _edges(joined(flat(rows, "high"), flat(rows, "low")), flat(rows, "set"))
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        while through:
+            yield through.pop()
+    yield from through
+
+
 class Tree:
     """A signature tree: level 0 are the sets in order, a node above covers ``FANOUT`` nodes below."""
 
@@ -283,19 +346,24 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOC
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), whole(F.col("text")).alias("text")
     )
-    signed = materialize(
-        texts.mapInArrow(_signatures(n, percent), "doc_id long, n long, h1 long, h2 long, keys array<long>"), "signatures"
-    )
-    classes = materialize(
-        signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys")),
-        "classes",
+    signed = materialize(texts.mapInArrow(_signatures(n), "doc_id long, n long, h1 long, h2 long"), "signatures")
+    classes = signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"))
+    # a document with its class, named by the smallest doc_id
+    classed = materialize(signed.join(classes, ["n", "h1", "h2"], "left").select("doc_id", "n", "h1", "node"), "classes")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, partitions = 1 + total // BUCKET_BYTES, 1 + total // PARTITION_BYTES
+    keyed = texts.mapInArrow(
+        _keys(n, percent, buckets), "bucket int, high array<int>, low array<smallint>, set array<long>, u long, v long"
     )
-    keyed = classes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("top")).where("u <> top").select("key", "u")
-    together = keyed.join(shared, "key").where("node <> u").select("u", F.col("node").alias("v"))
-    groups = connected(together, "candidates").select("node", F.col("label").alias("c"))
-    sizes = groups.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = texts.join(groups.join(sizes, "c"), texts["doc_id"] == groups["node"]).select("c", "node", "blocks", "text")
+    pairs = keyed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, "u long, v long").distinct()
+    name = classed.where("node is not null").groupBy("h1").agg(F.min("node").alias("node"))
+    together = pairs.join(name.select(F.col("h1").alias("u"), F.col("node").alias("nu")), "u").join(
+        name.select(F.col("h1").alias("v"), F.col("node").alias("nv")), "v"
+    ).select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+    groups_ = connected(together, "candidates").select("node", F.col("label").alias("c"))
+    sizes = groups_.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sized = groups_.join(sizes, "c").hint("merge")  # grows with the corpus: never broadcast, at any size
+    member = texts.join(sized, texts["doc_id"] == sized["node"]).select("c", "node", "blocks", "text")
     rows = member.mapInArrow(_set_rows(n), "c long, node long, blocks int, own binary").where(F.octet_length("own") > 0)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -305,7 +373,6 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOC
     )
     stars = rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(_groups(percent), "u long, v long")
     found = connected(stars, "links")
-    classed = signed.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "node"), ["n", "h1", "h2"], "left")
     labelled = classed.join(found, "node", "left")
     return labelled.select(
         real_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"),
