@@ -6,7 +6,7 @@ ceil((n - k) / (k + 1)) words), so item-sized windows are laid where a run of th
 is embedded by the CGK random walk, which turns edit distance into Hamming distance; bit samples of the embeddings,
 repeated until ``RECALL`` is reached at an agreement of ``AGREEMENT``, give the candidates; word edit distance decides.
 
-Words are maximal runs of letters, digits and underscores, lower-cased. Benchmarks go through in blocks of ``BLOCK_BYTES``,
+Words are maximal runs of ASCII letters, digits and underscores and of characters beyond ASCII, with A-Z lower-cased. Benchmarks go through in blocks of ``BLOCK_BYTES``,
 each broadcast, so a benchmark of any size works. Nulls: null texts and items, and those without words, match nothing; null
 ids are kept as null. Items that repeat a text each match. Repeated documents are each matched; several windows of a
 document and item give the nearest, then first. Empty tables give no rows. Other columns are neither read nor in the way.
@@ -15,19 +15,16 @@ document and item give the nearest, then first. Empty tables give no rows. Other
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reviewlake.llm.hashing import mix
+from reviewlake.llm.hashing import PUNCTUATION, mix, word_hashes
 
 EDIT_SHARE, RECALL, AGREEMENT, SAMPLED, BLOCK_BYTES, SEED = 0.2, 0.99, 0.5, 3, 4 << 20, 11
-WORD = re.compile(r"\w+")
-PIECE, PAD = 1 << 20, -1
+PAD = -1
 _U = np.uint64
 
 
@@ -90,66 +87,59 @@ def edit_distance(item: list[int], region: list[int], most: int) -> int:
     return min(row)
 
 
+def numbers(texts: list[str | None]) -> list[np.ndarray]:
+    """The words of each text as numbers (their hashes)."""
+    return [w.view(np.int64) for w in word_hashes([(t or "").encode().lower() for t in texts], PUNCTUATION)]
+
+
 class Index:
     """A block of items: their words as numbers, and where each sure run of an item begins."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.words: dict[str, int] = {}
         self.items, self.ids = [], []
         runs: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in items:
-            words = [self.words.setdefault(w, len(self.words) + 1) for w in WORD.findall((text or "").lower())]
-            if words:
+        for (item_id, _), words in zip(items, numbers([text for _, text in items])):
+            if len(words):
                 g = sure_run(len(words))
-                for at, h in enumerate(run_hashes(np.array(words, np.int64), g)):
-                    runs[g][int(h)].append((len(self.items), at))
-                self.items.append(words)
+                for at, h in enumerate(run_hashes(words, g).tolist()):
+                    runs[g][h].append((len(self.items), at))
+                self.items.append(words.tolist())
                 self.ids.append(item_id)
-        self.runs = {g: (np.array(sorted(found), _U), found) for g, found in runs.items()}
-        self.runs = {g: (keys, dict(found)) for g, (keys, found) in self.runs.items()}
-
-    def number(self, text: str | None) -> np.ndarray:
-        """The text's words as numbers, 0 for words that no item has."""
-        low, parts, start = text or "", [], 0
-        while start < len(low):
-            end = start + PIECE
-            if end < len(low):
-                gap = re.compile(r"\W").search(low, end)
-                end = gap.start() if gap else len(low)
-            found = WORD.findall(low[start:end].lower())
-            parts.append(np.fromiter(map(self.words.get, found, repeat(0)), np.int64, len(found)))
-            start = end
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
-
-    def starts(self, words: np.ndarray):
-        """(item, where its window starts) for all matching runs."""
+        self.runs = {}
+        for g, found in runs.items():
+            keys = np.array(sorted(found), _U)
+            seen = np.zeros(1 << 20, bool)  # settles most runs of documents at once
+            seen[(keys >> _U(44)).astype(np.int64)] = True
+            self.runs[g] = keys, seen, dict(found)
+
+    def starts(self, words: list[np.ndarray]):
+        """(text number, item, where its window starts) for all matching runs."""
         found = set()
-        for g, (keys, where) in self.runs.items():
-            if len(words) < g:
+        together = np.concatenate([np.empty(0, np.int64), *words])
+        ends = np.cumsum([len(w) for w in words])
+        for g, (keys, seen, where) in self.runs.items():
+            if len(together) < g:
                 continue
-            known = words > 0
-            ok = known[: len(words) - g + 1].copy()
-            for k in range(1, g):
-                ok &= known[k : len(words) - g + 1 + k]
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            h = _hash_at(words, at, g)
+            h = run_hashes(together, g)
+            at = np.flatnonzero(seen[(h >> _U(44)).astype(np.int64)])
+            h = h[at]
             place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            for p, key in zip(at[keys[place] == h].tolist(), h[keys[place] == h].tolist()):
-                found.update((item, p - q) for item, q in where[key])
-        return found
+            at, h = at[keys[place] == h], h[keys[place] == h]
+            text = np.searchsorted(ends, at, side="right")
+            inside = at + g <= ends[text]
+            first = at - (ends - [len(w) for w in words])[text]
+            for i, p, key in zip(text[inside].tolist(), first[inside].tolist(), h[inside].tolist()):
+                found.update((i, item, p - q) for item, q in where[key])
+        return sorted(found)
 
     def matches(self, words: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
         """(text number, item number, edits, first word of the window), nearest window of each text and item."""
-        tried, windows, items = [], [], []
-        for i, own in enumerate(words):
-            for item, start in self.starts(own):
-                n = len(self.items[item])
-                lo, hi = max(0, start), min(len(own), start + n)
-                tried.append((i, item, start))
-                windows.append(own[lo:hi])
-                items.append(self.items[item])
+        tried = self.starts(words)
+        windows, items = [], []
+        for i, item, start in tried:
+            n = len(self.items[item])
+            windows.append(words[i][max(0, start) : max(0, start + n)])
+            items.append(self.items[item])
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for lo in range(0, len(tried), 4096):
             some = slice(lo, lo + 4096)
@@ -166,17 +156,15 @@ class Index:
         return [(i, item, edits, max(0, start)) for (i, item), (edits, start) in sorted(best.items())]
 
 
-def _hash_at(words: np.ndarray, at: np.ndarray, g: int) -> np.ndarray:
-    h = np.full(len(at), g, _U)
+def run_hashes(words: np.ndarray, g: int) -> np.ndarray:
+    """Hashes of the g words from each position on."""
+    n = max(0, len(words) - g + 1)
+    h = np.full(n, g, _U)
     for k in range(g):
-        h = mix(h * _U(0x9E3779B97F4A7C15) + words[at + k].astype(_U))
+        h = mix(h * _U(0x9E3779B97F4A7C15) + words[k : k + n].view(_U))
     return h
 
 
-def run_hashes(words: np.ndarray, g: int) -> np.ndarray:
-    return _hash_at(words, np.arange(len(words) - g + 1), g)
-
-
 def _padded(rows, width: int) -> np.ndarray:
     out = np.full((len(rows), width), PAD, np.int64)
     for i, row in enumerate(rows):
@@ -190,7 +178,7 @@ def _run(shared):
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for lo in range(0, len(texts), 256):
-                found = index.matches([index.number(text.as_py()) for text in texts.slice(lo, 256)])
+                found = index.matches(numbers(texts.slice(lo, 256).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array([lo + i for i, *_ in found], pa.int64())),

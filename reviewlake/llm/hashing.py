@@ -12,6 +12,8 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII but letters, digits and the underscore; what lies beyond ASCII belongs to words.
+PUNCTUATION = np.array([i < 128 and not (chr(i).isalnum() or i == 95) for i in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,11 +39,11 @@ def _powers_and_inverses() -> list[np.ndarray]:
     return _tables
 
 
-def _hash_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of other bytes than blanks) and where they start."""
+def _hash_chunk(data: bytes, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of other bytes than those ``between``) and where they start."""
     raw = np.frombuffer(data, np.uint8)
     blank = np.ones(len(raw) + 2, np.int8)
-    blank[1:-1] = _BLANK[raw]
+    blank[1:-1] = between[raw]
     change = np.diff(blank)
     starts, ends = np.flatnonzero(change == -1), np.flatnonzero(change == 1)
     power, inverse = _powers_and_inverses()
@@ -50,7 +52,7 @@ def _hash_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U)), starts
 
 
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+def word_hashes(texts: list[bytes], between: np.ndarray = _BLANK) -> list[np.ndarray]:
     """For each text the hashes of its words, in order."""
     out: list[np.ndarray] = [np.empty(0, _U)] * len(texts)
     block: list[int] = []
@@ -59,7 +61,7 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     def flush():
         nonlocal size
         if block:
-            hashes, starts = _hash_chunk(b"\n".join(texts[i] for i in block))
+            hashes, starts = _hash_chunk(b"\n".join(texts[i] for i in block), between)
             ends = np.cumsum([len(texts[i]) + 1 for i in block])
             cut = np.searchsorted(starts, ends)
             for i, part in zip(block, np.split(hashes, cut[:-1])):
@@ -69,7 +71,7 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
 
     for i, text in enumerate(texts):
         if len(text) >= CHUNK:
-            out[i] = np.concatenate(list(_long_text(text)))
+            out[i] = np.concatenate(list(_long_text(text, between)))
             continue
         if size + len(text) + 1 > CHUNK:
             flush()
@@ -79,7 +81,7 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _long_text(text: bytes):
+def _long_text(text: bytes, between: np.ndarray):
     start = 0
     while start < len(text):
         end = min(start + CHUNK, len(text))
@@ -94,7 +96,7 @@ def _long_text(text: bytes):
                 yield np.array([int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")], _U)
                 start = end
                 continue
-        yield _hash_chunk(text[start:end])[0]
+        yield _hash_chunk(text[start:end], between)[0]
         start = end
 
 

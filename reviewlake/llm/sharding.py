@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from reviewlake.llm.common import whole
 
-BUCKET_BYTES, PARTITION_BYTES = 32 * 2**20, 64 * 2**20
+BUCKET_BYTES, PARTITION_BYTES = 8 * 2**20, 32 * 2**20
 SHARDS, SEED = 16, 20240229
 
 
