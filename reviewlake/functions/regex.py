@@ -23,7 +23,8 @@ _INSIDE = {r"\s": _SPACE, r"\w": _WORD, r"\d": r"\p{Nd}", r"\D": r"\P{Nd}", r"\b
 _WORD_NEXT = re.compile(r"[A-Za-z0-9_](?![?*{])")
 
 SPACE_CLASS = f"[{_SPACE}]"
-STRIP = rf"(?U)\A[{_SPACE}]+|[{_SPACE}]+\z"
+# Only the start of a run of blanks is tried, so that a long run inside a line stays linear.
+STRIP = rf"(?U)\A[{_SPACE}]+|(?<![{_SPACE}])[{_SPACE}]+\z"
 
 
 def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:

@@ -98,7 +98,8 @@ def _parser():
             "error_line": pd.Series(lines, dtype="Int32"),
         })
 
-    return F.pandas_udf(parse_batch, TREE)
+    # not deterministic to Catalyst, which would else copy the parse below filters on its result
+    return F.pandas_udf(parse_batch, TREE).asNondeterministic()
 
 
 def python_trees(files: DataFrame) -> DataFrame:

@@ -106,7 +106,10 @@ def tool_findings(
     All tools are read in one pass and joined once. Reports are parsed and taken apart before the
     join; the files side brings the names of code files and no text, as a report is there only for a
     file that had one. Bandit reports count for Python files alone, as only those are given to it.
+    Reports without ``file_id``, as read from disk, belong to the file of their ``filename``.
     """
+    if "file_id" not in reports.columns:
+        reports = reports.join(files.select("filename", "file_id"), "filename")
     items = reports.where(F.col("tool").isin(*tools)).select("file_id", "tool", *[
         F.when(F.col("tool") == tool, F.from_json("report", _READERS[tool][0])["results"]).alias(tool)
         for tool in tools

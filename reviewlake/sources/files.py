@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlake.functions import text
@@ -13,12 +15,15 @@ MAX_BYTES = 2**31 - 1
 def read_folder(spark: SparkSession, root: str) -> DataFrame:
     """``filename``, ``size`` and ``data`` of every file below ``root``.
 
-    The name is taken relative to nothing: it is the path as Spark lists it.
+    The name is relative to ``root``, so that the root's own name never decides what is a code file.
     """
+    plain = re.sub(r"\A[a-zA-Z0-9]+:/+", "/", root).rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     small = found.where(F.col("length") <= MAX_BYTES)
     large = found.where(F.col("length") > MAX_BYTES)
-    name = F.regexp_replace("path", r"\A[a-zA-Z0-9]+:/+", "/").alias("filename")
+    path = F.regexp_replace("path", r"\A[a-zA-Z0-9]+:/+", "/")
+    at = F.instr(path, plain)
+    name = F.when(at > 0, F.substring(path, at + len(plain), F.length(path))).otherwise(path).alias("filename")
     return small.select(name, F.col("length").alias("size"), F.col("content").alias("data")).unionByName(
         large.select(name, F.col("length").alias("size"), F.lit(None).cast("binary").alias("data"))
     )
@@ -27,9 +32,14 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
 def source_files(raw: DataFrame) -> DataFrame:
     """Code files with decoded text, ``status='review'`` and an empty patch.
 
-    ``raw`` has ``filename`` and ``data``; further columns go through. Files that are not UTF-8 are
-    left to ``skipped_files``.
+    ``raw`` has ``filename`` and ``data``; further columns go through. Without a ``file_id`` a file is
+    known by a hash of its name, and without a ``file_ord`` files are in order of their names, which
+    needs no global sort. Files that are not UTF-8 are left to ``skipped_files``.
     """
+    if "file_id" not in raw.columns:
+        raw = raw.withColumn("file_id", F.xxhash64("filename"))
+    if "file_ord" not in raw.columns:
+        raw = raw.withColumn("file_ord", F.col("filename"))
     decoded = _decoded(raw.where(text.is_code_file(F.col("filename"))))
     return decoded.where(F.col("content").isNotNull()).withColumns({
         "ext": text.file_ext(F.col("filename")), "status": F.lit("review"), "patch": F.lit(""),

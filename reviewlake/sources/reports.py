@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_reports(spark: SparkSession, path: str, tool: str) -> DataFrame:
-    """``filename``, ``tool`` and ``report`` of every file below ``path``, one report per file."""
+    """``filename``, ``tool`` and ``report`` of every file below ``path``, one report per scanned file.
+
+    The name is the one the report gives for what it scanned; a report without results has none to
+    give, and no findings either, so it keeps its own.
+    """
     texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    results = F.from_json("value", "results array<struct<filename: string, path: string>>")["results"]
+    scanned = F.coalesce(F.get(results, F.lit(0))["filename"], F.get(results, F.lit(0))["path"])
     return texts.select(
-        F.col("_metadata.file_name").alias("filename"), F.lit(tool).alias("tool"),
+        F.coalesce(scanned, F.col("_metadata.file_name")).alias("filename"), F.lit(tool).alias("tool"),
         F.col("value").alias("report"),
     )

@@ -1,9 +1,14 @@
+import json
+import time
 from contextlib import redirect_stdout
 from io import StringIO
 
 from pyspark.sql import functions as F
 
+from reviewlake.functions import text
+from reviewlake.operators import python_structure, reports as report_operators
 from reviewlake.operators.python_structure import python_trees
+from reviewlake.plans import review
 from reviewlake.sources import changes, files, reports, snapshots
 from reviewlake.sources.corpus import read_corpus, write_corpus
 
@@ -16,12 +21,12 @@ def test_folder_to_files_and_rejects(spark, tmp_path):
     raw = files.read_folder(spark, str(tmp_path))
     found = files.source_files(raw).collect()
     assert [(r.filename, r.content, r.ext, r.status, r.patch) for r in found] == [
-        (f"{tmp_path}/src/a.py", "x\ny\nz", ".py", "review", "")]
+        ("src/a.py", "x\ny\nz", ".py", "review", "")]
     assert {(r.filename, r.reason) for r in files.skipped_files(raw).collect()} == {
-        (f"{tmp_path}/src/b.sql", "not UTF-8"), (f"{tmp_path}/c.txt", "not a code file")}
-    wanted = spark.createDataFrame([(f"{tmp_path}/gone.py", 0), (f"{tmp_path}/src/a.py", 1)],
+        ("src/b.sql", "not UTF-8"), ("c.txt", "not a code file")}
+    wanted = spark.createDataFrame([("gone.py", 0), ("src/a.py", 1)],
                                    "filename string, file_ord long")
-    assert [r.filename for r in files.missing_files(wanted, raw).collect()] == [f"{tmp_path}/gone.py"]
+    assert [r.filename for r in files.missing_files(wanted, raw).collect()] == ["gone.py"]
     assert [r.file_ord for r in files.source_files(files.listed_files(wanted, raw)).collect()] == [1]
 
 
@@ -80,3 +85,34 @@ def test_report_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"results":\n []}')
     row = reports.read_reports(spark, str(tmp_path), "bandit").first()
     assert (row.filename, row.tool, row.report) == ("a.json", "bandit", '{"results":\n []}')
+
+
+def test_folder_review_and_reports_from_disk(spark, tmp_path):
+    root = tmp_path / "out"  # a name that would reject a file below it
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "a.py").write_text("password = 'abcdefgh'\n")
+    (root / "build").mkdir()
+    (root / "build" / "b.py").write_text("password = 'abcdefgh'\n")
+    sources = files.source_files(files.read_folder(spark, str(root)))
+    assert [r.filename for r in sources.collect()] == ["src/a.py"]
+    assert review.review_files(sources).security_summary.first().high == 1
+    made = tmp_path / "reports"
+    made.mkdir()
+    (made / "1.json").write_text(json.dumps({"results": [{
+        "filename": "src/a.py", "issue_severity": "HIGH", "test_id": "B105", "issue_text": "t", "line_number": 1}]}))
+    (made / "2.json").write_text('{"results": []}')
+    found = report_operators.tool_findings(reports.read_reports(spark, str(made), "bandit"), sources)
+    assert [(r.filename, r.tool) for r in found.collect()] == [("src/a.py", "bandit")]
+
+
+def test_strip_is_linear(spark):
+    line = spark.createDataFrame([("x" + " " * 100_000 + "y",)], "s string")
+    start = time.time()
+    assert line.select(text.strip(F.col("s")).alias("s")).first().s == line.first().s
+    assert time.time() - start < 10
+
+
+def test_one_parse_per_file(make_files):
+    counts = python_structure.python_counts(python_structure.python_trees(make_files([("a.py", "def f(): pass")])))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
