@@ -2,8 +2,8 @@
 
 A document's set is that of its distinct ``n``-word shingles; two link when 100 * intersection >= percent * union. Documents
 with the same set are one class, compared once. Classes that could link share a key (pigeonhole over parts of the hash
-range, by size level: sets that differ in at most d shingles agree on one of d + 1 parts), so unlike classes are never
-brought together. What keys connect is joined by signature trees: leaves are classes, nodes hold the OR of their token
+range, by size level: sets that differ in at most d shingles agree on all but d parts), so unlike classes are seldom
+brought together. What keys of one size level connect is joined by signature trees: leaves are classes, nodes hold the OR of their token
 bitmaps and their size range, and a traversal of two trees at once drops node pairs whose maximum possible overlap is
 below what the sizes ask for. Pairs that are left are verified on whole sets. A task yields the classes it linked as a
 star, never all pairs. Groups of more than ``BLOCK`` classes are cut into blocks, every two of which meet in a task.
@@ -15,8 +15,6 @@ neither read nor in the way.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -28,21 +26,23 @@ from reviewlake.llm.packing import by_bucket, flat, groups, halves, joined, list
 from reviewlake.session import materialize
 
 BLOCK, FANOUT, BITMAP_WORDS, PAIRS = 8192, 8, 16, 1 << 14
+#: One spare part for so many differences.
+SPARE = 4
 BUCKET_BYTES, PARTITION_BYTES = 12 << 20, 24 << 20
 _U = np.uint64
 
 
-_known_levels: dict[tuple[int, int], tuple[tuple[int, int, int, int], ...]] = {}
+_known_levels: dict[tuple[int, int], tuple[tuple[int, int, int], ...]] = {}
 
 
-def levels(percent: int, size: int) -> tuple[tuple[int, int, int, int], ...]:
+def levels(percent: int, size: int) -> tuple[tuple[int, int, int], ...]:
     if (percent, size) not in _known_levels:
         _known_levels[percent, size] = _levels(percent, size)
     return _known_levels[percent, size]
 
 
-def _levels(percent: int, size: int) -> tuple[tuple[int, int, int, int], ...]:
-    """(level, parts, differences, spare parts) of the two levels at which a set of this size has keys.
+def _levels(percent: int, size: int) -> tuple[tuple[int, int, int], ...]:
+    """(level, parts, spare parts) of the two levels at which a set of this size has keys.
 
     Level c compares sizes of class c with each other and with class c + 1; a linked pair is at most one class apart.
     """
@@ -57,44 +57,30 @@ def _levels(percent: int, size: int) -> tuple[tuple[int, int, int, int], ...]:
     for level in (own - 1, own):
         if level < 0:
             continue
-        small, most = bounds[level], (bounds[level + 1] - 1)
+        most = bounds[level + 1] - 1
         d = (most + most * 100 // percent) * (100 - percent) // (100 + percent)
         if d:
-            parts, spare = _parts(small, d)
-            out.append((level, parts, d, spare))
+            spare = -(-d // SPARE)
+            out.append((level, d + 1 + spare, spare))
     return tuple(out)
 
 
-def _parts(small: int, d: int) -> tuple[int, int]:
-    """Parts for d differences: enough spare ones that sets with more empty parts than that are rare."""
-    best = None
-    for spare in range(16):
-        m = d + 1 + spare
-        mean = m * math.exp(-small / m)
-        over = 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(spare + 1))
-        if best is None or over < best[0]:
-            best = over, m, spare
-        if over < 1e-3:
-            break
-    return best[1], best[2]
-
-
-def keys_of(own: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a sorted set: at each level a hash of every part that has shingles.
+def keys_of(own: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """Per level the keys of a sorted set: hashes of its parts, but for the ``spare`` smallest ones.
 
-    With d differences at most, at least ``parts - d`` parts agree; if a set has fewer than that empty parts, one of these
-    has shingles. Sets with more empty parts also get a key for each empty one, so that two such sets meet there.
+    Of d + 1 + spare parts at least spare + 1 agree when sets differ in at most d shingles. The largest of these, by size
+    and then number, has ``spare`` others below it in both sets, so both keep it. Small parts are left out because they
+    bring sets together that share little.
     """
     found = []
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(own))])
-    for level, parts, d, _ in levels(percent, len(own)):
+    for level, parts, spare in levels(percent, len(own)):
         part = ((own >> _U(32)) * _U(parts)) >> _U(32)
         cut = np.searchsorted(part, np.arange(parts + 1, dtype=_U))
-        n = np.diff(cut)
         value = sums[cut[1:]] - sums[cut[:-1]]
         key = mix(value + mix(np.arange(parts, dtype=_U) + _U(level * 1_000_003)))
-        found.append(key if (n == 0).sum() >= parts - d else key[n > 0])
-    return np.concatenate(found) if found else np.empty(0, _U)
+        found.append((level, key[np.argsort(np.diff(cut), kind="stable")[spare:]]))
+    return found
 
 
 def _sets(texts, n):
@@ -112,16 +98,23 @@ def _set_hash(own: np.ndarray, salt: int) -> int:
     return int(mix(own ^ _U(salt)).sum(dtype=_U).view(np.int64))
 
 
-def _signatures(n: int):
+def _at_level(set_hash: int, level: int) -> int:
+    """The number of a set at a level: what meets at one level isn't brought together with what meets at the next."""
+    return int(mix(np.array([set_hash], np.int64).view(_U) + _U(level) * _U(0x9E3779B97F4A7C15)).view(np.int64)[0])
+
+
+def _signatures(n: int, percent: int):
     def run(batches):
         for part in _parts_of(batches):
             own = list(_sets(part.column("text").to_pylist(), n))
+            h1, h2 = ([_set_hash(s, salt) for s in own] for salt in (0x51, 0xA2))
+            at = [[_at_level(h, level) for level, *_ in levels(percent, len(s))] for h, s in zip(h1, own)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"), pa.array([len(s) for s in own], pa.int64()),
-                    *(pa.array([_set_hash(s, salt) for s in own], pa.int64()) for salt in (0x51, 0xA2)),
+                    part.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array(h1, pa.int64()),
+                    pa.array(h2, pa.int64()), pa.array(at, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "h1", "h2"],
+                names=["doc_id", "n", "h1", "h2", "at"],
             )
 
     return run
@@ -134,7 +127,7 @@ _KEYED = [
 
 
 def _edges(keys: np.ndarray, sets: np.ndarray):
-    """Sets (by their hash) that share a key, as edges from each to the next, and which rows are the first of their key."""
+    """Sets (by their number at a level) that share a key, as edges from each to the next, and which rows are the first of their key."""
     order = np.lexsort((sets, keys))
     k, d = keys[order], sets[order]
     again = k[1:] == k[:-1]
@@ -150,9 +143,9 @@ def _keys(n: int, percent: int, buckets: int):
     def run(batches):
         for part in _parts_of(batches, 4096):
             own = {_set_hash(s, 0x51): s for s in _sets(part.column("text").to_pylist(), n) if len(s)}
-            found = [keys_of(s, percent) for s in own.values()]
-            sets = np.repeat(np.fromiter(own, np.int64, len(own)), [len(x) for x in found])
-            keys = np.concatenate([np.empty(0, _U), *found])
+            found = [(_at_level(h, level), keys) for h, s in own.items() for level, keys in keys_of(s, percent)]
+            sets = np.repeat(np.array([at for at, _ in found], np.int64), [len(keys) for _, keys in found])
+            keys = np.concatenate([np.empty(0, _U), *(keys for _, keys in found)])
             pairs, first = _edges(keys, sets)
             keys, sets = keys[first], sets[first]
             bucket = (keys % _U(buckets)).astype(np.int32)
@@ -346,21 +339,19 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOC
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), whole(F.col("text")).alias("text")
     )
-    signed = materialize(texts.mapInArrow(_signatures(n), "doc_id long, n long, h1 long, h2 long"), "signatures")
-    classes = signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"))
+    signed = materialize(texts.mapInArrow(_signatures(n, percent), "doc_id long, n long, h1 long, h2 long, at array<long>"), "signatures")
+    classes = signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), F.first("at").alias("at"))
     # a document with its class, named by the smallest doc_id
-    classed = materialize(signed.join(classes, ["n", "h1", "h2"], "left").select("doc_id", "n", "h1", "node"), "classes")
+    classed = materialize(signed.drop("at").join(classes, ["n", "h1", "h2"], "left").select("doc_id", "n", "node", "at"), "classes")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, partitions = 1 + total // BUCKET_BYTES, 1 + total // PARTITION_BYTES
     keyed = texts.mapInArrow(
         _keys(n, percent, buckets), "bucket int, high array<int>, low array<smallint>, set array<long>, u long, v long"
     )
     pairs = keyed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, "u long, v long").distinct()
-    name = classed.where("node is not null").groupBy("h1").agg(F.min("node").alias("node"))
-    together = pairs.join(name.select(F.col("h1").alias("u"), F.col("node").alias("nu")), "u").join(
-        name.select(F.col("h1").alias("v"), F.col("node").alias("nv")), "v"
-    ).select(F.col("nu").alias("u"), F.col("nv").alias("v"))
-    groups_ = connected(together, "candidates").select("node", F.col("label").alias("c"))
+    name = classed.where("doc_id = node").select("node", F.explode("at").alias("at")).distinct()
+    together = connected(pairs, "candidates").select(F.col("node").alias("at"), F.col("label").alias("c"))
+    groups_ = together.join(name, "at").select("node", "c")
     sizes = groups_.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sized = groups_.join(sizes, "c").hint("merge")  # grows with the corpus: never broadcast, at any size
     member = texts.join(sized, texts["doc_id"] == sized["node"]).select("c", "node", "blocks", "text")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,22 @@ def test_jaccard(spark, block):
         assert found == _components(rows, n, percent)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_linked_sets_share_a_key(percent):
+    random = np.random.default_rng(5)
+    for size in [*range(1, 60), 300, 2000]:
+        for _ in range(20):
+            one = np.unique(random.integers(0, 2**64, size, np.uint64))
+            gone = int(random.integers(0, size * (100 - percent) // 100 + 1))
+            new = int(random.integers(0, size * (100 - percent) // percent + 1))
+            two = np.unique(np.append(random.permutation(one)[gone:], random.integers(0, 2**64, new, np.uint64)))
+            shared = len(np.intersect1d(one, two))
+            if (one.tolist() == two.tolist()) or 100 * shared < percent * (len(one) + len(two) - shared):
+                continue
+            keys = [{(level, k) for level, own in jaccard_join.keys_of(s, percent) for k in own.tolist()} for s in (one, two)]
+            assert keys[0] & keys[1]
+
+
 def test_jaccard_edges(docs, none):
     assert jaccard_join.components(docs).count() == len(ROWS) and jaccard_join.components(none).count() == 0
     kept = jaccard_join.one_of_each(docs)
