@@ -100,7 +100,7 @@ def _set_hash(own: np.ndarray, salt: int) -> int:
 
 def _at_level(set_hash: int, level: int) -> int:
     """The number of a set at a level: what meets at one level isn't brought together with what meets at the next."""
-    return int(mix(np.array([set_hash], np.int64).view(_U) + _U(level) * _U(0x9E3779B97F4A7C15)).view(np.int64)[0])
+    return int(mix(np.array([set_hash], np.int64).view(_U) + _U(level * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)[0])
 
 
 def _signatures(n: int, percent: int):
