@@ -34,6 +34,15 @@ def words(text: Column) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, BLANK_RUN))
 
 
+def n_words(text: Column) -> Column:
+    """Number of words of a stripped, non-empty text; single spaces only take the faster way to the same result."""
+    odd = F.contains(text, F.lit("  "))
+    for blank in BLANKS[1:]:
+        odd = odd | F.contains(text, F.lit(blank))
+    spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(odd, F.size(F.split(text, BLANK_RUN))).otherwise(spaces + 1)
+
+
 def lines(text: Column) -> Column:
     """Split at line feeds; an empty text is one empty line."""
     return F.split(whole(text), "\n")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake.llm.common import (
-    BLANK_RUN, NULL_ID, ascii_lower, lines, real_id, row_key, strip, whole, without_lines, words,
+    NULL_ID, ascii_lower, lines, n_words, real_id, row_key, strip, whole, without_lines, words,
 )
 
 WINDOW = 5
@@ -66,7 +66,7 @@ def host_lines(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("line", ascii_lower(strip(F.col("line")))).where("line <> ''")
     return rows.select(
         *KEY, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
-        F.size(F.split("line", BLANK_RUN)).alias("line_words"),
+        n_words(F.col("line")).alias("line_words"),
     )
 
 
@@ -115,8 +115,8 @@ def apply_rules(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     rows = keyed.join(kept, [f"_{c}" for c in KEY])
     intact = F.col("_gone").isNull()
     text = F.when(intact, F.col("text")).otherwise(without_lines(F.col("text"), F.col("_gone")))
-    changed = {"text": text}
+    rows, changed = rows.withColumn("_left", text), {"text": F.col("_left")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(intact, F.col("n_chars")).otherwise(F.char_length(text).cast(kind))
+        changed["n_chars"] = F.when(intact, F.col("n_chars")).otherwise(F.char_length("_left").cast(kind))
     return rows.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
