@@ -202,11 +202,11 @@ SELECT p_partkey AS file_id, {_filename("p_partkey")} AS filename,
 FROM part
 """
 
-# The prose and web tables as they are, under a source suffix.
+# The prose, web, chat and benchmark tables as they are, under a source suffix.
 RAW_FILES = """
 SELECT doc_id AS file_id,
        concat('docs/', CAST(doc_id AS STRING), CASE doc_id % 4 WHEN 0 THEN '.php'
-              WHEN 1 THEN '.js' WHEN 2 THEN '.sql' ELSE '.md' END) AS filename,
+              WHEN 1 THEN '.js' WHEN 2 THEN '.sql' ELSE '.ts' END) AS filename,
        text AS content
 FROM documents
 UNION ALL
@@ -215,6 +215,14 @@ SELECT page_id + 1000000000000 AS file_id,
          AS filename,
        html AS content
 FROM pages
+UNION ALL
+SELECT conv_id * 1000000 + turn + 2000000000000 AS file_id,
+       concat('chats/', CAST(conv_id AS STRING), '/', CAST(turn AS STRING), '.ts') AS filename, text AS content
+FROM conversations
+UNION ALL
+SELECT item_id + 1000000000000000 AS file_id, concat('items/', CAST(item_id AS STRING), '.php') AS filename,
+       text AS content
+FROM benchmark
 """
 
 # Files that arrive over time.
@@ -282,7 +290,7 @@ IN_SNAPSHOT = ["doc_id % 10 <> 0", "doc_id % 11 <> 3 AND doc_id % 17 <> 5", "doc
 STAGED, EDITED = "doc_id % 7 = 1", "doc_id % 5 = 2"
 SNAPSHOT_NAME = (
     "concat('src/d_', CAST(doc_id AS STRING), "
-    "CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.txt' ELSE '.sql' END)"
+    "CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.sql' END)"
 )
 SNAPSHOT_CONTENT = [
     "text",

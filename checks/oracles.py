@@ -508,7 +508,7 @@ def _change_content() -> str:
 SELECT change_id, filename, status, '' AS patch,
        CASE WHEN status = 'removed' OR file_id % 23 = 2 THEN NULL ELSE content END AS content,
        status <> 'removed' AND file_id % 23 = 2 AND content IS NOT NULL AS decode_error
-FROM files WHERE {IS_CODE} AND file_id % 19 <> 1"""
+FROM files WHERE {IS_CODE}"""
 
 
 def _snapshot_diff() -> str:
@@ -516,11 +516,11 @@ def _snapshot_diff() -> str:
     content = f"CASE WHEN {work} THEN {corpora.SNAPSHOT_CONTENT[2]} END AS content"
     columns = f"{corpora.SNAPSHOT_NAME} AS filename, {{stage}} AS stage, 'modified' AS status, '' AS patch, {content}"
     return f"""
-SELECT {columns.format(stage=0)} FROM documents WHERE doc_id % 3 <> 1
-  AND (({head}) <> ({index}) OR (({head}) AND ({index}) AND {corpora.STAGED}))
+SELECT {columns.format(stage=0)} FROM documents
+WHERE (({head}) <> ({index}) OR (({head}) AND ({index}) AND {corpora.STAGED}))
 UNION ALL
-SELECT {columns.format(stage=1)} FROM documents WHERE doc_id % 3 <> 1
-  AND ({index}) AND (NOT ({work}) OR {corpora.EDITED})"""
+SELECT {columns.format(stage=1)} FROM documents
+WHERE ({index}) AND (NOT ({work}) OR {corpora.EDITED})"""
 
 
 def _stream() -> str:
@@ -553,6 +553,7 @@ FROM ({_binary()}) WHERE file_id % 4 = 1 OR file_id % 17 = 3""",
         "scan_rules_as_coded": _with(_files()) + f" SELECT issue, {_LINE} FROM ("
         + all_rule_hits([(at, rule) for at, rule in enumerate(catalog.RULES) if rule.extensions]) + ")",
         "scan_user_rules": _user_rules(),
+        "scan_rules_table": f"SELECT * FROM ({_user_rules()}) WHERE severity <> 'unusual'",
     }
     for rule in catalog.RULES:
         found[f"rule_{rule.name}"] = _with(_files()) + f" SELECT {_LINE} FROM ({rule_hits(rule, 0)})"
@@ -653,6 +654,10 @@ FROM sizes LEFT JOIN found USING (file_id) LEFT JOIN functions USING (file_id)""
         "severity_histogram": _quality()
         + " SELECT severity, count(*) AS findings FROM qual GROUP BY severity",
         "findings_by_tool": _security() + " SELECT tool, count(*) AS findings FROM sec GROUP BY tool",
+        "change_severity_histogram": _quality()
+        + " SELECT change_id, severity, count(*) AS findings FROM qual GROUP BY change_id, severity",
+        "change_findings_by_tool": _security()
+        + " SELECT change_id, tool, count(*) AS findings FROM sec GROUP BY change_id, tool",
         "change_totals": _with(f"files AS ({corpora.FILES})") + f"""
 SELECT change_id, CAST(sum(additions) AS BIGINT) AS total_additions,
        CAST(sum(deletions) AS BIGINT) AS total_deletions, count(*) AS files_changed

@@ -14,7 +14,7 @@ from reviewlake.operators import (
 )
 from reviewlake.plans import review
 from reviewlake.session import materialize, new_folder, spread
-from reviewlake.sources import changes as change_source, files as file_source, snapshots
+from reviewlake.sources import changes as change_source, files as file_source, rules as rule_source, snapshots
 from reviewlake.sources.corpus import read_corpus, write_corpus
 from reviewlake.streaming import scan as streaming
 
@@ -133,6 +133,16 @@ def scan_user_rules(spark, sf_dir):
     return found.select("issue", "file_id", "severity", "line", "code", "matched")
 
 
+def scan_rules_table(spark, sf_dir):
+    listed = [
+        (r.name, r.pattern, r.severity, r.description, r.recommendation, r.extensions, r.multiline)
+        for r in USER_RULES if r.severity in catalog.SEVERITIES
+    ]
+    rules = rule_source.rules_from_table(spark.createDataFrame(listed, rule_source.RULES))
+    found = scan.scan(files(spark, sf_dir), rules, quality=False, whole_file=False)
+    return found.select("issue", "file_id", "severity", "line", "code", "matched")
+
+
 def rule_query(rule: Rule):
     def query(spark, sf_dir):
         found = scan.scan(files(spark, sf_dir), [rule], quality=False, whole_file=False)
@@ -289,6 +299,15 @@ def findings_by_tool(spark, sf_dir):
     return summaries.findings_by_tool(_security(spark, sf_dir))
 
 
+def change_severity_histogram(spark, sf_dir):
+    return summaries.severity_histogram(_quality(spark, sf_dir), by=["change_id"])
+
+
+def change_findings_by_tool(spark, sf_dir):
+    counts = summaries.findings_by_tool(_security(spark, sf_dir), by=["change_id"])
+    return counts.select("change_id", "tool", "findings")
+
+
 def change_totals(spark, sf_dir):
     return summaries.change_totals(files(spark, sf_dir))
 
@@ -372,7 +391,7 @@ def quality_listing(spark, sf_dir):
 
 def change_content(spark, sf_dir):
     source = files(spark, sf_dir)
-    listed = source.where(F.col("file_id") % 19 != 1).select(
+    listed = source.select(
         "change_id", "filename", "status", "additions", "deletions"
     ).withColumn("patch", F.lit(None).cast("string"))
     stored = source.where(F.col("content").isNotNull()).select(
@@ -380,6 +399,8 @@ def change_content(spark, sf_dir):
         F.when(F.col("file_id") % 23 == 2, F.unhex(F.lit("C328"))).otherwise(
             F.encode("content", "UTF-8")).alias("data"),
     )
+    unlisted = stored.withColumn("filename", F.concat(F.lit("unlisted/"), "filename"))
+    stored = stored.unionByName(unlisted)
     with_content = change_source.with_head_content(
         change_source.changed_code_files(listed), stored
     )
@@ -459,6 +480,7 @@ def queries():
         "scan_rules_documented": scan_rules_documented,
         "scan_rules_as_coded": scan_rules_as_coded,
         "scan_user_rules": scan_user_rules,
+        "scan_rules_table": scan_rules_table,
     }
     for rule in catalog.RULES:
         found[f"rule_{rule.name}"] = rule_query(rule)
@@ -499,6 +521,8 @@ def queries():
         "quality_summary": quality_summary,
         "severity_histogram": severity_histogram,
         "findings_by_tool": findings_by_tool,
+        "change_severity_histogram": change_severity_histogram,
+        "change_findings_by_tool": change_findings_by_tool,
         "change_totals": change_totals,
         "change_quality": change_quality,
         "prompt_counts": prompt_counts,

@@ -49,6 +49,10 @@ class Rule:
     within_line: bool = False
     literals: tuple[str, ...] = ()
 
+    def __post_init__(self):
+        if any(part != part.lower() or not part.isascii() for part in self.literals):
+            raise ValueError(f"rule {self.name!r}: literals are compared with lower-cased ASCII text: {self.literals}")
+
 
 # --- fixed values: pattern rules (matched without regard to case) -------------------------------
 

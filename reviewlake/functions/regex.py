@@ -17,9 +17,11 @@ _OUTSIDE = {
     r"\s": f"[{_SPACE}]", r"\S": f"[^{_SPACE}]",
     r"\w": f"[{_WORD}]", r"\W": f"[^{_WORD}]",
     r"\d": r"\p{Nd}", r"\D": r"\P{Nd}",
-    r"\b": _BOUNDARY, r"\B": _NO_BOUNDARY, r"\Z": r"\z",
+    r"\b": _BOUNDARY, r"\B": _NO_BOUNDARY, r"\Z": r"\z", r"\v": r"\x0b",
 }
-_INSIDE = {r"\s": _SPACE, r"\w": _WORD, r"\d": r"\p{Nd}", r"\D": r"\P{Nd}", r"\b": r"\x08"}
+_INSIDE = {r"\s": _SPACE, r"\w": _WORD, r"\d": r"\p{Nd}", r"\D": r"\P{Nd}", r"\b": r"\x08", r"\v": r"\x0b"}
+_QUANTIFIER = re.compile(r"\{(\d*)(,?)(\d*)\}")
+_SHARP_S = "\u00df\u1e9e"  # Java folds these two into each other in one direction only
 _WORD_NEXT = re.compile(r"[A-Za-z0-9_](?![?*{])")
 
 SPACE_CLASS = f"[{_SPACE}]"
@@ -30,7 +32,8 @@ STRIP = rf"(?U)\A[{_SPACE}]+|(?<![{_SPACE}])[{_SPACE}]+\z"
 def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
     """The Java spelling of a Python pattern, with its flags in front.
 
-    ``U`` gives Unicode classes and case folding, ``d`` makes ``\\n`` the only line break.
+    ``U`` gives Unicode classes and case folding, ``d`` makes ``\\n`` the only line break. What Java has no counterpart
+    for is refused.
     """
     re.compile(pattern)
     pieces, in_class, at = [], False, 0
@@ -48,6 +51,8 @@ def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = Fals
         if in_class:
             if char == "]":
                 in_class = False
+            if char in _SHARP_S and ignore_case and "-" not in pattern[at - 1:at + 2]:
+                char = _SHARP_S
             pieces.append("\\" + char if char in "[&" else char)
         elif char == "[":
             in_class = True
@@ -58,6 +63,21 @@ def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = Fals
             if pattern[at + 1:at + 2] == "]":
                 pieces.append(r"\]")
                 at += 1
+        elif char == "{":
+            found = _QUANTIFIER.match(pattern, at)
+            if found and (found[1] or found[2]):
+                pieces.append(f"{{{found[1] or 0}{found[2]}{found[3]}}}")
+                at = found.end()
+                continue
+            pieces.append(r"\{")
+        elif char == "^" and multiline:
+            pieces.append(r"(?:\A|(?<=\n))")  # Java's own finds no line at the end of the text
+        elif char in _SHARP_S and ignore_case:
+            pieces.append(f"[{_SHARP_S}]")
+        elif pattern.startswith("(?#", at):
+            at = pattern.index(")", at)
+        elif pattern.startswith("(?(", at):
+            raise ValueError(f"a condition on a group is not supported: {pattern!r}")
         elif pattern.startswith("(?P<", at):
             pieces.append("(?<")
             at += 3

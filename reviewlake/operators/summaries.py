@@ -47,21 +47,24 @@ def security_summary_rollup(findings: DataFrame) -> DataFrame:
     )
 
 
-def severity_histogram(findings: DataFrame) -> DataFrame:
-    """Number of quality findings per severity; a missing one counts as info."""
-    return findings.groupBy(_severity("info").alias("severity")).agg(F.count("*").alias("findings"))
+def severity_histogram(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Number of quality findings per severity; a missing one counts as info. Over everything or per ``by``."""
+    return findings.groupBy(*by, _severity("info").alias("severity")).agg(F.count("*").alias("findings"))
 
 
 def order_key(columns: Sequence[str] = ORDER_KEY) -> Column:
     return F.struct(*columns)
 
 
-def findings_by_tool(findings: DataFrame) -> DataFrame:
-    """Number of findings per tool, in the order the tools are first seen."""
-    tools = findings.groupBy(F.coalesce("tool", F.lit("unknown")).alias("tool")).agg(
+def findings_by_tool(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Number of findings per tool, in the order the tools are first seen.
+
+    Per ``by``, rows are in no order and ``first_seen`` tells the order within a group.
+    """
+    tools = findings.groupBy(*by, F.coalesce("tool", F.lit("unknown")).alias("tool")).agg(
         F.count("*").alias("findings"), F.min(order_key()).alias("first_seen")
     )
-    return tools.orderBy("first_seen").select("tool", "findings")
+    return tools if by else tools.orderBy("first_seen").select("tool", "findings")
 
 
 def tool_summary(

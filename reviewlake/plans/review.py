@@ -77,6 +77,8 @@ class ChangeReview:
     verdicts: DataFrame
     summaries: DataFrame
     prompts: DataFrame
+    severity_histogram: DataFrame
+    findings_by_tool: DataFrame
     first_security: DataFrame
     first_quality: DataFrame
 
@@ -96,6 +98,8 @@ def review_changes(
         verdicts=verdicts,
         summaries=render.summary_markdown(verdicts),
         prompts=render.review_prompts(changes, files, gated, found.security, found.quality),
+        severity_histogram=summaries.severity_histogram(found.quality, by=["change_id"]),
+        findings_by_tool=summaries.findings_by_tool(found.security, by=["change_id"]),
         first_security=listings.first_security(found.security, "change_id"),
         first_quality=listings.first_quality(found.quality, "change_id"),
     )

@@ -31,7 +31,9 @@ def with_head_content(files: DataFrame, contents: DataFrame) -> DataFrame:
     """
     keys = ["change_id", "filename"]
     removed = F.col("status") == "removed"
-    decoded = contents.where(text.is_code_file(F.col("filename"))).select(
+    wanted = files.where(F.coalesce(~removed, F.lit(True))).select(*keys).distinct()
+    stored = contents.where(text.is_code_file(F.col("filename"))).join(wanted, keys, "left_semi")
+    decoded = stored.select(
         *keys, text.decode_utf8(F.col("data")).alias("content"), F.lit(True).alias("looked_up")
     )
     joined = files.join(decoded, keys, "left")

@@ -9,11 +9,14 @@ from reviewlake.functions import text
 
 def _hashes(snapshot: DataFrame) -> DataFrame:
     code = snapshot.where(text.is_code_file(F.col("filename")))
-    return code.select("filename", F.sha2("content", 256).alias("hash"))
+    return code.select("filename", F.coalesce(F.sha2("content", 256), F.lit("no text")).alias("hash"))
 
 
 def changed_names(base: DataFrame, other: DataFrame) -> DataFrame:
-    """Names whose content differs, or that are on one side only. Joins hashes, not texts."""
+    """Names whose content differs, or that are on one side only. Joins hashes, not texts.
+
+    A file without content (undecodable) is there all the same, and equals another such.
+    """
     before = _hashes(base).select("filename", F.col("hash").alias("before"))
     after = _hashes(other).select("filename", F.col("hash").alias("after"))
     joined = before.join(after, "filename", "full_outer")
@@ -31,7 +34,8 @@ def local_changes(head: DataFrame, index: DataFrame, work: DataFrame) -> DataFra
         "filename", F.lit(1).alias("stage")
     )
     changed = staged.unionByName(unstaged)
-    contents = work.select("filename", "content")
+    wanted = changed.select("filename").distinct()
+    contents = work.select("filename", "content").join(wanted, "filename", "left_semi")
     return changed.join(contents, "filename", "left").select(
         "filename", "stage", F.concat_ws(" ", "stage", "filename").alias("file_ord"),
         F.lit("modified").alias("status"), F.lit("").alias("patch"), "content",

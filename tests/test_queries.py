@@ -9,7 +9,7 @@ CHECKED = [
     "file_ext", "binary_ingest", "scan_rules_documented", "scan_user_rules", "raw_quality", "raw_weak_crypto",
     "long_file", "py_complexity", "hunks", "semgrep_findings", "security_summary_rollup", "quality_summary",
     "change_first10_security", "clean_files", "snapshot_diff", "change_content", "verdict", "review_prompt",
-    "stream_windows",
+    "stream_windows", "scan_rules_table", "change_severity_histogram", "change_findings_by_tool",
 ]
 
 

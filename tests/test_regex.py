@@ -15,7 +15,7 @@ TOKENS = [
     "csrf", "var", "x==y", "==", "===", "!=", "<=", "console.log", "console.warn", "TODO:", "fixme:",
     "42", "1.", ".5", "0", "100", "1.0", "0x1F", "1e5", "v2", "é", "ſ", "İ", "K", " ",
     " ", "\r", "\t", "\x1c", "١", "_", "-", ".", "#", "function f", "const f = (a) =>",
-    "async function", ".innerHTML", "SELECT", "*",
+    "async function", ".innerHTML", "SELECT", "*", "aab", "k{", "{x}", "xyy", "\x0b", "\x0c", "ß", "ẞ", "ẞx", "ßx",
 ]
 CASES = [(rule.name, rule.pattern, True, 0) for rule in catalog.RULES] + [
     ("var", catalog.VAR_PATTERN, False, 0), ("equality", catalog.LOOSE_EQUALITY_PATTERN, False, 0),
@@ -24,6 +24,8 @@ CASES = [(rule.name, rule.pattern, True, 0) for rule in catalog.RULES] + [
     ("html", catalog.INNER_HTML_PATTERN, False, 0), ("star", catalog.SELECT_STAR_PATTERN, True, 0),
     ("class", r"[^]\w]+[[&\s]?", False, 0), ("edges", r"\B\w|\w\b|\d\Z", True, 0),
     ("named", r"(?P<q>[\"'])x(?P=q)", False, 0),
+    ("upto", "a{,2}b|x{1}y{2,}", False, 0), ("brace", "k{|{x}|(?#note)%", False, 0), ("tab", r"\v|[\v_]", False, 0),
+    ("sharp", "ß|[ẞ]x", True, 0),
     *[(f"function{at}", p, False, 0) for at, p in enumerate(catalog.SCRIPT_FUNCTION_PATTERNS)],
 ]
 
@@ -46,9 +48,19 @@ def test_same_matches_as_python(lines):
             assert row[name] == [m.group(group) for m in compiled.finditer(row.t)], (name, row.t)
 
 
-def test_unsupported_class_is_refused():
+def test_line_starts_as_in_python(spark):
+    texts = ["a\n\nb\n", "a\n", "\n", "", "a\r\n\x0bb", "\n\na"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (r"^$", r"^\s*$", r"^.", r"\w$", r"x|^"):
+        java = F.lit(java_pattern(pattern, ignore_case=True, multiline=True))
+        for row in rows.select("t", F.regexp_count("t", java).alias("n")).collect():
+            assert row.n == len(re.findall(pattern, row.t, re.I | re.M)), (pattern, row.t)
+
+
+@pytest.mark.parametrize("pattern", [r"[a\W]", r"(a)?(?(1)b|c)"])
+def test_unsupported_patterns_are_refused(pattern):
     with pytest.raises(ValueError):
-        java_pattern(r"[a\W]")
+        java_pattern(pattern)
 
 
 def test_literals_are_in_every_match(lines):

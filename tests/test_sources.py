@@ -1,15 +1,18 @@
 import json
+import re
 import time
 from contextlib import redirect_stdout
 from io import StringIO
 
+import pytest
 from pyspark.sql import functions as F
 
+from reviewlake.catalog import Rule
 from reviewlake.functions import text
 from reviewlake.operators import python_structure, reports as report_operators
 from reviewlake.operators.python_structure import python_trees
 from reviewlake.plans import review
-from reviewlake.sources import changes, files, reports, snapshots
+from reviewlake.sources import changes, files, reports, rules, snapshots
 from reviewlake.sources.corpus import read_corpus, write_corpus
 
 
@@ -67,6 +70,31 @@ def test_local_changes(spark):
     assert {(r.status, r.patch) for r in rows} == {("modified", "")}
 
 
+def test_local_changes_of_files_without_text(spark):
+    def tree(**texts):
+        return spark.createDataFrame([(f"{n}.py", t) for n, t in texts.items()], "filename string, content string")
+
+    rows = snapshots.local_changes(tree(a=None, b="1"), tree(a=None, b=None, c=None), tree(a=None, b=None, c="1")).collect()
+    assert sorted((r.filename, r.stage, r.content) for r in rows if r.content is None) == [("b.py", 0, None)]
+    assert sorted((r.filename, r.stage) for r in rows) == [("b.py", 0), ("c.py", 0), ("c.py", 1)]
+
+
+def test_rules_of_a_table(spark):
+    def table(*rows):
+        return spark.createDataFrame([(*row, "text", "advice", None, None) for row in rows], rules.RULES)
+
+    found = rules.rules_from_table(table(("b", r"^x{,2}", "high"), ("a", "y", "low")))
+    assert [(r.name, r.severity, r.extensions, r.multiline) for r in found] == [
+        ("a", "low", None, False), ("b", "high", None, False)]
+    for wrong in (("a", "x", "odd"), ("a", None, "low"), ("a", r"(a)(?(1)b|c)", "low"), ("a", "(?<=a*)b", "low")):
+        with pytest.raises((ValueError, re.error)):
+            rules.rules_from_table(table(wrong))
+    with pytest.raises(ValueError):
+        rules.rules_from_table(table(("a", "x", "low"), ("a", "y", "low")))
+    with pytest.raises(ValueError):
+        Rule("a", "x", "low", "text", "advice", literals=("DEBUG",))
+
+
 def test_corpus_by_suffix_is_pushed_down(spark, make_files, tmp_path):
     rows = make_files([("c.md", "x"), ("a.py", "def f(): pass"), ("b.js", "var a = 1"), ("d", "y")])
     path = str(tmp_path / "corpus")
