@@ -1,10 +1,11 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: windows laid at shared runs of words, exact edit verification of each.
 
 A document holds an item if some window of it is within ``floor(EDIT_SHARE * n)`` word edits of the item's n words.
 Windows that can be so close share a run of unchanged words with the item (edits leave one of at least
-ceil((n - k) / (k + 1)) words), so item-sized windows are laid where a run of that length matches. Each window and item
-is embedded by the CGK random walk, which turns edit distance into Hamming distance; bit samples of the embeddings,
-repeated until ``RECALL`` is reached at an agreement of ``AGREEMENT``, give the candidates; word edit distance decides.
+ceil((n - k) / (k + 1)) words), so item-sized windows are laid where a run of that length matches. Word edit distance
+decides on each of them, with k words more at both ends, so none is lost at any length. There is no filter in between: CGK
+embeddings with bit-sampling LSH, which stood here before, lost leaks of longer items, as every edit parts the random walks for
+longer, and their walks took more time than the distance in bits does.
 
 Words are maximal runs of ASCII letters, digits and underscores and of characters beyond ASCII, with A-Z lower-cased. Benchmarks go through in blocks of ``BLOCK_BYTES``,
 each broadcast, so a benchmark of any size works. Nulls: null texts and items, and those without words, match nothing; null
@@ -23,8 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from reviewlake.llm.hashing import PUNCTUATION, mix, word_hashes
 
-EDIT_SHARE, RECALL, AGREEMENT, SAMPLED, BLOCK_BYTES, SEED = 0.2, 0.99, 0.5, 3, 4 << 20, 11
-PAD = -1
+EDIT_SHARE, BLOCK_BYTES = 0.2, 4 << 20
 _U = np.uint64
 
 
@@ -38,53 +38,38 @@ def sure_run(n: int) -> int:
     return max(1, math.ceil((n - k) / (k + 1)))
 
 
-def repetitions(recall: float = RECALL, agreement: float = AGREEMENT, sampled: int = SAMPLED) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement**sampled))
+def places(item: list[int]) -> dict[int, int]:
+    """The positions of each word of the item, as bits."""
+    out: dict[int, int] = {}
+    for i, word in enumerate(item):
+        out[word] = out.get(word, 0) | 1 << i
+    return out
 
 
-def cgk(rows: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """Embeddings of the rows (word ids, padded by ``PAD``) by random walk ``walk``; each of ``steps`` numbers.
+def edit_distance(bits: dict[int, int], n: int, region: list[int], most: int) -> int:
+    """Least word edits between an item of n words, given by its ``places``, and any part of the region; ``most + 1`` if
+    more than ``most``.
 
-    A step writes the word it stands on and goes on to the next if a bit hashed from step and word says so.
+    A column of the distance matrix is held as bits of where it rises and falls (Myers), so a word of the region takes a
+    few operations on numbers of n bits.
     """
-    at = np.zeros(len(rows), np.int64)
-    padded = np.pad(rows, ((0, 0), (0, 1)), constant_values=PAD)
-    every, out = np.arange(len(rows)), np.empty((len(rows), steps), rows.dtype)
-    for step in range(steps):
-        word = padded[every, np.minimum(at, rows.shape[1])]
-        out[:, step] = word
-        bit = mix(word.astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15) + _U(walk * 1_000_003 + step)) >> _U(63)
-        at += bit.astype(np.int64)
-    return out
-
-
-def near(windows: np.ndarray, items: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Which windows agree with their items (both padded, of n words) in all sampled positions of some repetition."""
-    passed = np.zeros(len(windows), bool)
-    random = np.random.default_rng(SEED)
-    for walk in range(repetitions()):
-        places = random.random(SAMPLED)
-        left = np.flatnonzero(~passed)
-        if not len(left):
-            break
-        steps = 3 * windows.shape[1]
-        a, b = cgk(windows[left], steps, walk), cgk(items[left], steps, walk)
-        at = (places[None, :] * (2 * n[left])[:, None]).astype(np.int64)
-        rows = np.arange(len(left))[:, None]
-        passed[left] = (a[rows, at] == b[rows, at]).all(axis=1)
-    return passed
-
-
-def edit_distance(item: list[int], region: list[int], most: int) -> int:
-    """Least word edits between the item and any part of the region; ``most + 1`` if more than ``most``."""
-    row = [0] * (len(region) + 1)
-    for i, word in enumerate(item, 1):
-        last, row[0] = row[0], i
-        for j, other in enumerate(region, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (word != other))
-        if min(row) > most:
-            return most + 1
-    return min(row)
+    if sum(map(bits.__contains__, region)) < n - most:  # words that stay are in both
+        return most + 1
+    every, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, edits = every, 0, n
+    least = n
+    for word in region:
+        same = bits.get(word, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | (every & ~(across | up)), up & across
+        if rise & last:
+            edits += 1
+        elif fall & last:
+            edits -= 1
+            least = min(least, edits)
+        rise, same = rise << 1 & every, same | down
+        up, down = (fall << 1 & every) | (every & ~(same | rise)), rise & same
+    return min(least, most + 1)
 
 
 def numbers(texts: list[str | None]) -> list[np.ndarray]:
@@ -96,14 +81,15 @@ class Index:
     """A block of items: their words as numbers, and where each sure run of an item begins."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, self.ids = [], []
+        self.items, self.sizes, self.ids = [], [], []
         runs: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for (item_id, _), words in zip(items, numbers([text for _, text in items])):
             if len(words):
                 g = sure_run(len(words))
                 for at, h in enumerate(run_hashes(words, g).tolist()):
                     runs[g][h].append((len(self.items), at))
-                self.items.append(words.tolist())
+                self.items.append(places(words.tolist()))
+                self.sizes.append(len(words))
                 self.ids.append(item_id)
         self.runs = {}
         for g, found in runs.items():
@@ -134,25 +120,13 @@ class Index:
 
     def matches(self, words: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
         """(text number, item number, edits, first word of the window), nearest window of each text and item."""
-        tried = self.starts(words)
-        windows, items = [], []
-        for i, item, start in tried:
-            n = len(self.items[item])
-            windows.append(words[i][max(0, start) : max(0, start + n)])
-            items.append(self.items[item])
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for lo in range(0, len(tried), 4096):
-            some = slice(lo, lo + 4096)
-            n = np.array([len(x) for x in items[some]])
-            passed = near(_padded(windows[some], n.max()), _padded(items[some], n.max()), n)
-            for (i, item, start), ok in zip(tried[some], passed):
-                if not ok:
-                    continue
-                own, k = self.items[item], edits_allowed(len(self.items[item]))
-                region = words[i][max(0, start - k) : max(0, start + len(own) + k)].tolist()
-                edits = edit_distance(own, region, k)
-                if edits <= k:
-                    best[i, item] = min(best.get((i, item), (edits, start)), (edits, start))
+        for i, item, start in self.starts(words):
+            n, k = self.sizes[item], edits_allowed(self.sizes[item])
+            region = words[i][max(0, start - k) : max(0, start + n + k)].tolist()
+            edits = edit_distance(self.items[item], n, region, k)
+            if edits <= k:
+                best[i, item] = min(best.get((i, item), (edits, start)), (edits, start))
         return [(i, item, edits, max(0, start)) for (i, item), (edits, start) in sorted(best.items())]
 
 
@@ -165,13 +139,6 @@ def run_hashes(words: np.ndarray, g: int) -> np.ndarray:
     return h
 
 
-def _padded(rows, width: int) -> np.ndarray:
-    out = np.full((len(rows), width), PAD, np.int64)
-    for i, row in enumerate(rows):
-        out[i, : len(row)] = row
-    return out
-
-
 def _run(shared):
     def run(batches):
         index = Index(shared.value)
@@ -183,7 +150,7 @@ def _run(shared):
                     [
                         ids.take(pa.array([lo + i for i, *_ in found], pa.int64())),
                         pa.array([index.ids[item] for _, item, _, _ in found], pa.int64()),
-                        pa.array([len(index.items[item]) for _, item, _, _ in found], pa.int32()),
+                        pa.array([index.sizes[item] for _, item, _, _ in found], pa.int32()),
                         pa.array([edits for _, _, edits, _ in found], pa.int32()),
                         pa.array([start for *_, start in found], pa.int64()),
                     ],
