@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 
-#: Bytes that are hashed at once; longer texts are cut at blanks.
+#: Bytes that are hashed at once; longer texts are cut between words.
 CHUNK = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -82,18 +82,23 @@ def word_hashes(texts: list[bytes], between: np.ndarray = _BLANK) -> list[np.nda
 
 
 def _long_text(text: bytes, between: np.ndarray):
+    raw = np.frombuffer(text, np.uint8)
     start = 0
     while start < len(text):
         end = min(start + CHUNK, len(text))
         if end < len(text):
-            cut = max(text.rfind(blank, start, end) for blank in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
-            if cut > start:
-                end = cut
-            else:  # a word longer than a chunk, up to the next blank
-                later = [at for blank in b" \t\n\v\f\r" if (at := text.find(bytes([blank]), start + 1)) > 0]
-                end = min(later, default=len(text))
-                word = text[start:end].strip(b" \t\n\v\f\r")
-                yield np.array([int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")], _U)
+            cuts = np.flatnonzero(between[raw[start + 1 : end]])
+            if len(cuts):
+                end = start + 1 + int(cuts[-1])
+            else:  # a word longer than a chunk, up to its end
+                while end < len(text) and not len(cuts := np.flatnonzero(between[raw[end : end + CHUNK]])):
+                    end += CHUNK
+                end = end + int(cuts[0]) if end < len(text) else len(text)
+                word = text[start + int(between[raw[start]]) : end]
+                if len(word) > CHUNK:
+                    yield np.array([int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")], _U)
+                else:
+                    yield _hash_chunk(word, between)[0]
                 start = end
                 continue
         yield _hash_chunk(text[start:end], between)[0]
