@@ -28,6 +28,18 @@ def joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return (high.view(np.uint32).astype(np.uint64) << np.uint64(16)) | low.view(np.uint16).astype(np.uint64)
 
 
+def low_high(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper half of the bits of integers; apart, upper halves that are all alike compress to nothing."""
+    half = {8: np.int32, 4: np.int16}[x.dtype.itemsize]
+    both = np.ascontiguousarray(x).view(half).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def from_low_high(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    whole = {4: np.int64, 2: np.int32}[low.dtype.itemsize]
+    return np.stack([low, high], axis=1).ravel().view(whole)
+
+
 def flat(rows: list[dict], name: str) -> np.ndarray:
     """The lists of all rows, end to end."""
     return np.concatenate([r[name].values.to_numpy(zero_copy_only=False) for r in rows])

@@ -9,7 +9,8 @@ alone, so equal windows sample equal suffixes. Round one sorts the samples by th
 are unique and drop out. Neighbouring windows with the same sample form a run; runs whose whole byte range is equal are
 settled by the rank of that range. Round two takes what is left, runs that agree on the prefix but not on the whole
 range, and sorts the positions of their windows by pairs of doubled ranks (PREFIX, then 2 * PREFIX, then LENGTH bytes): past
-the threshold, so the rounds end.
+the threshold, so the rounds end. Windows are dealt by that pair, so that only equal ones meet: a phrase that many documents
+hold with different neighbours, of one sample, spreads over all tasks.
 
 Before each shuffle a task settles its own part and sends equal runs once, so a string that a third of all documents
 hold takes a row per task, not per document. Matches never cross documents. Nulls: a null text is empty; a null doc_id is
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from reviewlake.llm.common import NULL_ID, real_id, whole
 from reviewlake.llm.hashing import _BASE, _BYTE, mix
-from reviewlake.llm.packing import by_bucket, flat, groups, halves, joined, lists
+from reviewlake.llm.packing import by_bucket, flat, from_low_high, groups, halves, joined, lists, low_high
 from reviewlake.session import materialize
 
 LENGTH, PREFIX = 50, 20
 SAMPLES = LENGTH - PREFIX + 1
 CHUNK, UNIT, BUCKET_BYTES, PARTITION_BYTES = 1 << 16, 6 << 20, 12 << 20, 24 << 20
+BUCKET_WINDOWS, PARTITION_WINDOWS = 1 << 18, 1 << 19
 _U = np.uint64
 _EXPAND = 64  # added to the width of a run that round two is to look at
 SPANS = "doc_id long, tag int, lo array<int>, width array<tinyint>"
@@ -139,11 +141,12 @@ def _spans(doc, tag, lo, width):
 _SENT = [
     ("bucket", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("lo", pa.list_(pa.int32())),
     ("width", pa.list_(pa.int8())), ("key", pa.list_(pa.int32())), ("high", pa.list_(pa.int32())),
-    ("low", pa.list_(pa.int16())), ("doc", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32())), ("bytes", pa.binary()),
+    ("low", pa.list_(pa.int16())), ("doc_low", pa.list_(pa.int32())), ("doc_high", pa.list_(pa.int32())),
+    ("tags", pa.list_(pa.int32())), ("lo_low", pa.list_(pa.int16())), ("lo_high", pa.list_(pa.int16())),
 ]
 _SENT_SQL = (
     "bucket int, doc_id long, tag int, lo array<int>, width array<tinyint>, key array<int>, high array<int>, "
-    "low array<smallint>, doc array<long>, tags array<int>, bytes binary"
+    "low array<smallint>, doc_low array<int>, doc_high array<int>, tags array<int>, lo_low array<smallint>, lo_high array<smallint>"
 )
 
 
@@ -161,20 +164,17 @@ def _settled(buckets, doc, tag, lo, width):
         yield _batch(len(spread), bucket=spread, **dict(zip(("doc_id", "tag", "lo", "width"), columns)))
 
 
-def _to_send(buckets, key, doc, tag, lo, width, whole_range=None, context=None):
+def _to_send(buckets, key, doc, tag, lo, width, value):
     """One row per bucket: of the key the part above the bucket number, then all that the other side needs."""
     bucket = (key % _U(buckets)).astype(np.int32)
     order, cut = by_bucket(bucket)
     if not len(cut):
         return
-    more = {}
-    if whole_range is not None:
-        more["high"], more["low"] = lists(order, cut, [*halves(whole_range)])
-    if context is not None:
-        ends = np.append(cut, len(order))
-        more["bytes"] = pa.array([b"".join(context[i] for i in order[s:e].tolist()) for s, e in zip(ends[:-1], ends[1:])], pa.binary())
-    sent = lists(order, cut, [halves(key)[0], doc, tag.astype(np.int32), lo.astype(np.int32), width.astype(np.int8)])
-    yield _batch(len(cut), bucket=pa.array(bucket[order][cut]), **dict(zip(("key", "doc", "tags", "lo", "width"), sent)), **more)
+    sent = lists(order, cut, [
+        halves(key)[0], *halves(value), *low_high(doc), tag.astype(np.int32), *low_high(lo.astype(np.int32)), width.astype(np.int8)
+    ])
+    names = ("key", "high", "low", "doc_low", "doc_high", "tags", "lo_low", "lo_high", "width")
+    yield _batch(len(cut), bucket=pa.array(bucket[order][cut]), **dict(zip(names, sent)))
 
 
 def _units(batch):
@@ -229,9 +229,18 @@ def _by_bucket(batches, judge):
     yield from through
 
 
+def _received(rows):
+    """key, value, doc, tag, first window of what ``_to_send`` sent."""
+    parts = {x: flat(rows, x) for x in ("key", "high", "low", "doc_low", "doc_high", "tags", "lo_low", "lo_high")}
+    return (
+        parts["key"], joined(parts["high"], parts["low"]), from_low_high(parts["doc_low"], parts["doc_high"]), parts["tags"],
+        from_low_high(parts["lo_low"], parts["lo_high"]),
+    )
+
+
 def _judge_one(rows):
-    key, doc, tag, lo, width = (flat(rows, name) for name in ("key", "doc", "tags", "lo", "width"))
-    value = joined(flat(rows, "high"), flat(rows, "low"))
+    key, value, doc, tag, lo = _received(rows)
+    width = flat(rows, "width")
     marks = width < 0
     later, several = settle(key, value, doc, marks)
     more = several & ~later & ~marks
@@ -247,17 +256,12 @@ def _windows(doc, tag, lo, width, context):
     run = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
     a, b = pair_ranks(prefix_ranks(raw, PREFIX), starts[run] + step) if len(run) else (np.empty(0, _U), np.empty(0, _U))
-    return run, doc[run], tag[run], lo[run] + step, a, b
+    return doc[run], tag[run], lo[run] + step, a, b
 
 
 def _judge_two(rows):
-    doc, tag, lo, width = (flat(rows, name) for name in ("doc", "tags", "lo", "width"))
-    lo, width = lo.astype(np.int64), width.astype(np.int64)
-    together = b"".join(r["bytes"].as_py() for r in rows)
-    ends = np.cumsum(width + LENGTH)
-    context = [together[e - w : e] for e, w in zip(ends.tolist(), (width + LENGTH).tolist())]
-    _, doc, tag, at, a, b = _windows(doc, tag, lo, width, context)
-    later, _ = settle(a, b, doc, np.zeros(len(a), bool))
+    key, value, doc, tag, at = _received(rows)
+    later, _ = settle(key, value, doc, np.zeros(len(key), bool))
     return _spans(doc[later], tag[later], at[later], np.zeros(int(later.sum()), np.int64))
 
 
@@ -274,18 +278,13 @@ def _round_two(buckets: int):
                     continue
                 context = [texts[i][s : s + w + LENGTH] for i, s, w in zip(text.tolist(), lo.tolist(), width.tolist())]
                 doc, tag = ids[text], tags[text]
-                run_, d, t, at, a, b = _windows(doc, tag, lo, width, context)
+                d, t, at, a, b = _windows(doc, tag, lo, width, context)
                 later, _ = settle(a, b, d, np.zeros(len(a), bool))
                 yield from _settled(buckets, d[later], t[later], at[later], np.zeros(int(later.sum()), np.int64))
-                open_ = np.bincount(run_[~later], minlength=len(lo)) > 0
-                # the sample of the run, by which equal windows meet
-                starts = np.cumsum([0, *map(len, context)])[:-1]
-                ranks = prefix_ranks(np.frombuffer(b"".join(context), np.uint8), PREFIX)
-                steps = np.minimum(np.arange(SAMPLES)[None, :] + starts[:, None], len(ranks) - 1)
-                key = ranks[steps].min(axis=1)
-                at_open = np.flatnonzero(open_)
+                # each rank alone leaves out ten bytes of the window, so both deal it
+                first, pair = ~later, mix(a * _U(3) + b)
                 yield from _to_send(
-                    buckets, key[open_], doc[open_], tag[open_], lo[open_], width[open_], context=[context[i] for i in at_open.tolist()]
+                    buckets, pair[first], d[first], t[first], at[first], np.zeros(int(first.sum()), np.int64), b[first]
                 )
 
     return run
@@ -334,17 +333,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     partitions = 1 + total // PARTITION_BYTES
     lists_ = [F.flatten(F.collect_list(x)).alias(x) for x in ("lo", "width")]
 
-    def exchange(sent, judge):
+    def exchange(sent, judge, partitions):
         dealt = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket")
         return dealt.mapInArrow(lambda batches: _by_bucket(batches, judge), SPANS)
 
     # written, as round two and the cut both read it; texts are dealt once for both
     one = materialize(
-        exchange(rows.mapInArrow(_round_one(buckets), _SENT_SQL), _judge_one).groupBy("doc_id", "tag").agg(*lists_), "runs"
+        exchange(rows.mapInArrow(_round_one(buckets), _SENT_SQL), _judge_one, partitions).groupBy("doc_id", "tag").agg(*lists_), "runs"
     )
     texts = rows.repartition(partitions, "doc_id", "tag")
     open_ = one.where(F.exists("width", lambda w: w >= _EXPAND)).hint("merge")
-    two = exchange(texts.join(open_, ["doc_id", "tag"]).mapInArrow(_round_two(buckets), _SENT_SQL), _judge_two)
+    windows = open_.agg(F.sum(F.aggregate(
+        "width", F.lit(0).cast("long"), lambda n, w: n + F.when(w >= _EXPAND, w - (_EXPAND - 1)).otherwise(0)
+    ))).first()[0] or 0
+    two = exchange(
+        texts.join(open_, ["doc_id", "tag"]).mapInArrow(_round_two(1 + windows // BUCKET_WINDOWS), _SENT_SQL), _judge_two,
+        1 + windows // PARTITION_WINDOWS,
+    )
     spans = one.unionByName(two).groupBy("doc_id", "tag").agg(*lists_).hint("merge")
     cut = texts.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "lo", "width").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
