@@ -1,8 +1,10 @@
 """HTML to text by layout: a tree of open elements with implied tags and visibility rules, rendered as they close.
 
 Every visible text is kept: blocks start on new lines and keep blank lines between paragraphs, list items get
-bullets or numbers and hang under them, table cells are padded to the width of their column. Scripts, styles, the head,
-templates and hidden elements are left out; ``pre`` keeps its blanks.
+bullets or numbers and hang under them, table cells are padded to the width of their column; a row outside a table is a line
+of its own. Formulas, labels of drawings (``text`` and ``foreignObject`` of svg) and the fallback of ``object`` are text. Left out
+are scripts, styles, the head, templates, hidden elements, ``noscript``, frames' fallback, ``datalist``, and titles, descriptions and
+annotations inside svg and math; ``pre`` keeps its blanks.
 
 Nulls: a null page gives an empty text. Broken markup is taken as browsers mostly do: unknown end tags are ignored, open
 elements end with the page. Texts of any length and nesting are whole (no recursion). Repeated rows give the same text; an
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 # Fixed values of HTML: which elements are void, hidden, blocks, and which end others.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object svg math datalist".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes datalist".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset".split())
 BLOCKS = SPACED | frozenset(
     "html body div section article aside header footer main nav address form li dt dd tr caption figcaption hr "
@@ -28,6 +30,12 @@ BLOCKS = SPACED | frozenset(
 )
 TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th html body".split())
 ENDS_P = (BLOCKS | {"hr"}) - {"html", "body", "caption", "thead", "tbody", "tfoot", "tr", "option", "legend", "summary"}
+#: Inside svg and math: what is not shown, and start tags that end a drawing.
+FOREIGN_UNSEEN = frozenset("title desc metadata annotation annotation-xml".split())
+ENDS_DRAWING = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 #: A start tag ends these open elements, as far as the scope of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -47,11 +55,12 @@ BREAK = "\x00"
 class _Element:
     """An open element with what it has rendered: ("text", s), ("raw", s), or ("block", gap, lines)."""
 
-    __slots__ = ("tag", "unseen", "pre", "parts", "rows", "cells", "count", "ordered", "span")
+    __slots__ = ("tag", "unseen", "pre", "parts", "rows", "cells", "count", "ordered", "span", "foreign", "drawn")
 
-    def __init__(self, tag, unseen, pre, span=1):
+    def __init__(self, tag, unseen, pre, span=1, foreign=False, drawn=False):
         self.tag, self.unseen, self.pre, self.parts = tag, unseen, pre, []
         self.rows, self.cells, self.count, self.ordered, self.span = [], [], 0, tag == "ol", span
+        self.foreign, self.drawn = foreign, drawn  # inside svg or math; inside svg but for its texts
 
 
 def _lines(parts) -> list[str]:
@@ -122,7 +131,12 @@ def _close(stack):
                 table.rows.append(own.cells)
             if rest:
                 up.parts.append(("block", 0, rest))
-            return
+        else:
+            up.parts.append(("block", 0, [*rest, *_table([own.cells])]))
+        return
+    if own.tag == "text" and up.drawn:
+        up.parts.extend([("text", " "), *own.parts, ("text", " ")])
+        return
     found = None
     if own.tag == "table":
         found = _lines([*own.parts, ("block", 0, _table(own.rows))])
@@ -150,7 +164,10 @@ def render(page: str | None) -> str:
     open_tags: dict[str, int] = {}
 
     def push(tag, unseen=False, pre=False, span=1):
-        stack.append(_Element(tag, stack[-1].unseen or unseen, stack[-1].pre or pre, span))
+        up = stack[-1]
+        foreign = tag in ("svg", "math") or up.foreign and tag != "foreignobject"
+        drawn = tag == "svg" or up.drawn and tag not in ("text", "foreignobject")
+        stack.append(_Element(tag, up.unseen or unseen, up.pre or pre, span, foreign, drawn))
         open_tags[tag] = open_tags.get(tag, 0) + 1
 
     def pop():
@@ -175,7 +192,7 @@ def render(page: str | None) -> str:
 
     def say(s):
         own = stack[-1]
-        if s and not own.unseen:
+        if s and not own.unseen and not own.drawn:
             s = html.unescape(s) if "&" in s else s
             own.parts.append(("raw" if own.pre else "text", s.replace(BREAK, "�")))
 
@@ -197,6 +214,8 @@ def render(page: str | None) -> str:
             elif open_tags.get(tag):
                 end({tag}, BLOCKS | {"td", "th"})  # an inline end tag doesn't close a block
             continue
+        while stack[-1].drawn and tag in ENDS_DRAWING:
+            end({"svg"}, set())
         if tag == "br":
             if not stack[-1].unseen:
                 stack[-1].parts.append(("raw" if stack[-1].pre else "text", BREAK))
@@ -207,7 +226,7 @@ def render(page: str | None) -> str:
             end({"p"}, {"table", "td", "th", "button", "object"})
         if tag in ("td", "th") and open_tags.get("table") and not _inside(stack, "tr", "table"):
             push("tr")
-        unseen, span = tag in UNSEEN, 1
+        unseen, span = tag in UNSEEN or stack[-1].foreign and tag in FOREIGN_UNSEEN, 1
         if found[3] and not unseen:
             given = found[3]
             low = given.lower()
@@ -216,7 +235,7 @@ def render(page: str | None) -> str:
                 unseen = "hidden" in values or bool(HIDES.search(values.get("style", "")))
                 if tag in ("td", "th") and (n := values.get("colspan", "")).isdecimal():
                     span = min(max(int(n), 1), 1000)  # the limit of HTML itself
-        if tag in VOID or (found[3] or "").endswith("/") and tag in ("svg", "math", "path"):
+        if tag in VOID or (found[3] or "").endswith("/") and (stack[-1].foreign or tag in ("svg", "math", "path")):
             if tag == "hr" and not unseen:
                 stack[-1].parts.append(("block", 1, []))
             continue
