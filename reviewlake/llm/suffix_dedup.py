@@ -1,15 +1,14 @@
-"""Exact substring dedup by distributed prefix doubling over sampled suffixes.
+"""Exact substring dedup by winnowing and two rounds of hash matching, in place of prefix doubling over all suffixes.
 
 A byte goes if a ``LENGTH``-byte string covers it that also starts in a document with a smaller doc_id.
 
-Ranks are hashes of prefixes, doubled inside each text: the pair of a position's rank and the rank at a growing offset
-gives the rank of the longer prefix. Of all positions only the sampled suffixes are sorted by Spark: each window of
-``LENGTH`` bytes samples the position with the least rank of ``PREFIX`` bytes in it, which depends on the window's bytes
-alone, so equal windows sample equal suffixes. Round one sorts the samples by that rank; those that no other document has
+Ranks are hashes of prefixes, computed to full length inside each text; they are equal for equal bytes (but for collisions) and say
+nothing of order. Spark deals packed rows by bucket and sorts them by bucket number only; nothing is ranked anew across documents.
+Each window of ``LENGTH`` bytes samples the position with the least rank of ``PREFIX`` bytes in it, which depends on the window's
+bytes alone, so equal windows sample equal prefixes. Round one brings equal samples together; those that no other document has
 are unique and drop out. Neighbouring windows with the same sample form a run; runs whose whole byte range is equal are
 settled by the rank of that range. Round two takes what is left, runs that agree on the prefix but not on the whole
-range, and sorts the positions of their windows by pairs of doubled ranks (PREFIX, then 2 * PREFIX, then LENGTH bytes): past
-the threshold, so the rounds end. Windows are dealt by that pair, so that only equal ones meet: a phrase that many documents
+range, and compares their windows by pairs of ranks that cover all ``LENGTH`` bytes, so two rounds are enough. Windows are dealt by that pair, so that only equal ones meet: a phrase that many documents
 hold with different neighbours, of one sample, spreads over all tasks.
 
 Before each shuffle a task settles its own part and sends equal runs once, so a string that a third of all documents
