@@ -4,6 +4,7 @@ Documents come in batches. A batch is reduced to one entry per line key; keys th
 keys that some run holds go into the batch's own run, marked as fresh or not. Runs are bucketed and sorted by
 key, so that these joins read runs without shuffling them, and ``fan_in`` runs of a level are compacted into one of
 the next. Entries of a key add up over the runs: documents that hold it, and the largest doc_id.
+``drop_repeated_lines`` counts over all documents at once, so there the anti join and the levels change no result.
 
 A key is a line without blanks at its ends, A-Z lower-cased, of at least ``min_chars`` code points, as two 64-bit
 hashes. Nulls: a null text is one empty line; a null doc_id counts as one document, smaller than all others. Rows that
