@@ -296,12 +296,28 @@ def link_group(nodes: list[int], sets: list[np.ndarray], block: np.ndarray, i: i
     return [(nodes[k], best[r]) for k, r in enumerate(root.tolist()) if nodes[k] != best[r]]
 
 
-def _groups(percent: int):
+def links_of_group(nodes: list[int], sets: list[np.ndarray], block: np.ndarray, i: int, j: int, percent: int):
+    """All pairs (smaller node, larger node) that link among blocks i and j of a group."""
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    x = Tree([sets[k] for k in left])
+    y = x if i == j else Tree([sets[k] for k in right])
+    at_x, at_y = left[x.order], right[y.order]
+    found = []
+
+    def link(a, b):
+        u, v = nodes[at_x[a]], nodes[at_y[b]]
+        found.append((min(u, v), max(u, v)))
+
+    tree_join(x, y, percent, link, lambda a, b: np.arange(len(a)))
+    return found
+
+
+def _groups(percent: int, of_group=link_group):
     """Rows come sorted by (c, i, j); a group may go on over several batches."""
 
     def stars(key, rows):
         nodes, blobs, blocks = zip(*rows)
-        found = link_group(list(nodes), [np.frombuffer(b, _U) for b in blobs], np.array(blocks), key[1], key[2], percent)
+        found = of_group(list(nodes), [np.frombuffer(b, _U) for b in blobs], np.array(blocks), key[1], key[2], percent)
         return pa.RecordBatch.from_arrays(
             [pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"]
         )
@@ -334,8 +350,8 @@ def _set_rows(n: int):
     return run
 
 
-def components(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links reach from the document, itself included."""
+def _candidates(docs: DataFrame, n: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with their classes, and the rows of candidate groups, dealt and sorted by pair of blocks."""
     texts = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), whole(F.col("text")).alias("text")
     )
@@ -362,7 +378,13 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOC
     rows = rows.select(
         "c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "own"
     )
-    stars = rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(_groups(percent), "u long, v long")
+    return classed, rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
+
+
+def components(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links reach from the document, itself included."""
+    classed, rows = _candidates(docs, n, percent, block)
+    stars = rows.mapInArrow(_groups(percent), "u long, v long")
     found = connected(stars, "links")
     labelled = classed.join(found, "node", "left")
     return labelled.select(
@@ -371,6 +393,29 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOC
     )
 
 
+def links(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): every pair of linked classes once, as ``class_a`` < ``class_b``, and doc_id, n_shingles, ``class_id``.
+
+    A class is the documents of one set of shingles, named by their smallest doc_id; all of them are linked to each other and to all
+    of each linked class. Ids are to be given and not repeated, as classes go by them.
+    """
+    classed, rows = _candidates(docs, n, percent, block)
+    pairs = rows.mapInArrow(_groups(percent, links_of_group), "class_a long, class_b long").distinct()
+    return pairs, classed.select(real_id(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("node").alias("class_id"))
+
+
+def links_per_document(docs: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, n_links: how many other documents link to each, counted by class sizes without making the pairs."""
+    pairs, members = links(docs, n, percent, block)
+    sizes = members.where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("size"))
+    both = pairs.unionByName(pairs.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
+    others = both.join(sizes, both["class_b"] == sizes["class_id"]).groupBy("class_a").agg(F.sum("size").alias("others"))
+    own = sizes.join(others, sizes["class_id"] == others["class_a"], "left").select(
+        "class_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    )
+    return members.join(own, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents but for those that reach one of a smaller doc_id over links; of repeated rows one stays.
 
