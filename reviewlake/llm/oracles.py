@@ -100,8 +100,21 @@ SELECT doc_id, source, copy::INT AS copy, copies::INT AS copies, round(rate, 9)
 FROM copied
 """
 
+OP11 = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), holders AS (
+  SELECT digest, max(page_id) AS holder FROM payloads WHERE n >= 1000 GROUP BY digest
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM payloads LEFT JOIN holders USING (digest)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat_formatting": OP4, "op5_line_dedup": OP5, "op6_quality_rules": OP6, "op9_mixing": OP9,
+        "op11_warc_bundles": OP11,
     }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlake.llm import (
     chat_format, decontaminate, html_text, jaccard_join, language_id, line_dedup, mixing, quality_rules, sharding,
-    suffix_dedup,
+    suffix_dedup, warc,
 )
 from reviewlake.llm.common import whole
 
@@ -85,5 +85,10 @@ def op10_jaccard_join(spark, sf_dir):
     return joined.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_warc_bundles(spark, sf_dir):
+    records = warc.archive_and_read(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
