@@ -112,9 +112,34 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM payloads LEFT JOIN holders USING (digest)
 """
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+WITH words AS (
+  SELECT doc_id, unnest({_TERMS}) AS term FROM documents
+), counts AS (
+  SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term
+), sizes AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id
+), total AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, total GROUP BY term, docs
+), wanted AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+), scores AS (
+  SELECT item_id, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM wanted JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), total
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat_formatting": OP4, "op5_line_dedup": OP5, "op6_quality_rules": OP6, "op9_mixing": OP9,
-        "op11_warc_bundles": OP11,
+        "op11_warc_bundles": OP11, "op12_lexical_search": OP12,
     }
