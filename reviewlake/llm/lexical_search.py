@@ -62,12 +62,12 @@ def term_lists(text: str | None):
 
 
 def read_items(some: DataFrame) -> list[tuple[int | None, list[bytes]]]:
-    """(item_id, its terms), by id."""
+    """(item_id, its terms), by id, without items that have no terms."""
     found: dict[int | None, set[bytes]] = {}
     for item_id, text in some.collect():
         for terms in term_lists(text):
             found.setdefault(item_id, set()).update(terms)
-    return [(i, sorted(found[i])) for i in sorted(found, key=lambda i: NULL_ID if i is None else i)]
+    return [(i, sorted(found[i])) for i in sorted(filter(found.get, found), key=lambda i: NULL_ID if i is None else i)]
 
 
 def _count(vocabulary):

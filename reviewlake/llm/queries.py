@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlake.llm import (
-    chat_format, decontaminate, html_text, jaccard_join, language_id, lexical_search, line_dedup, mixing, quality_rules,
-    sharding, suffix_dedup, warc,
+    align, chat_format, decontaminate, html_text, jaccard_join, language_id, lexical_search, line_dedup, mixing,
+    quality_rules, sharding, suffix_dedup, warc,
 )
 from reviewlake.llm.common import whole
 
@@ -94,5 +94,9 @@ def op12_lexical_search(spark, sf_dir):
     return lexical_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_alignment(spark, sf_dir):
+    return align.align_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
