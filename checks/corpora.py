@@ -194,6 +194,20 @@ SELECT c_custkey AS change_id, 'team/app' AS repo, CAST(c_custkey AS INTEGER) AS
 FROM customer
 """
 
+# One rule per part: an assignment, a function of Python files, a remark in either of two words, or two lines.
+PART_RULES = """
+SELECT concat('part_', CAST(p_partkey AS STRING)) AS name,
+       CASE p_partkey % 4
+            WHEN 0 THEN concat(chr(92), 'bx', chr(92), 's*=', chr(92), 's*', CAST(p_partkey + 1000 AS STRING), chr(92), 'b')
+            WHEN 1 THEN concat('short_', CAST(p_partkey + 1000 AS STRING), chr(92), 'b')
+            WHEN 2 THEN concat('(?:later|note) ', CAST(p_partkey + 1000 AS STRING), chr(92), 'b')
+            ELSE concat('later ', CAST(p_partkey + 1000 AS STRING), chr(92), 'n# note') END AS pattern,
+       CASE WHEN p_partkey % 4 = 3 THEN 'high' ELSE 'low' END AS severity, p_name AS description,
+       p_brand AS recommendation,
+       CASE WHEN p_partkey % 4 = 1 THEN array('.py', '.rb') END AS extensions, p_partkey % 4 = 3 AS multiline
+FROM part
+"""
+
 # Long files: 440 to 560 lines per part.
 LONG_FILES = f"""
 SELECT p_partkey AS file_id, {_filename("p_partkey")} AS filename,
@@ -202,6 +216,21 @@ SELECT p_partkey AS file_id, {_filename("p_partkey")} AS filename,
 FROM part
 """
 
+# Texts that are written one after the other into a file per size.
+PART_TEXTS = f"SELECT p_size, p_partkey, {_content('p_partkey', 'p_size')} AS content FROM part"
+
+
+def size_name(size: str) -> str:
+    return f"concat('src/size_', CAST({size} AS STRING), {pick(size, EXTENSIONS)})"
+
+
+# What those files hold, for the check SQL.
+SIZE_FILES = f"""
+SELECT CAST(p_size AS BIGINT) AS file_id, {size_name("p_size")} AS filename,
+       concat(string_agg(content, chr(10) ORDER BY p_partkey), chr(10)) AS content
+FROM ({PART_TEXTS}) GROUP BY p_size
+"""
+
 # The prose, web, chat and benchmark tables as they are, under a source suffix.
 RAW_FILES = """
 SELECT doc_id AS file_id,

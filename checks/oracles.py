@@ -465,6 +465,33 @@ UNION ALL {marked("split_statement", r"==\s*\n\s*\w+", "medium", "TRUE")}
 UNION ALL {marked("last_word", r"\w+$", "info", "ext = '.sql'")}"""
 
 
+def _part_rules() -> str:
+    """Every number a rule could be about, looked up among the parts; the rules themselves are not run."""
+
+    def numbers(pattern, family, scope="TRUE", lines="lines"):
+        found = f"regexp_extract_all(line_text, '(?i){pattern}', {{}})"
+        return f"""
+SELECT file_id, line, line_text, {family} AS family, unnest({found.format(0)}) AS matched,
+       unnest({found.format(1)}) AS number, generate_subscripts({found.format(1)}, 1) AS nth
+FROM {lines} WHERE {scope}"""
+
+    two_lines = (
+        f"(SELECT file_id, line, concat(line_text, {NEWLINE}, lead(line_text) OVER (PARTITION BY file_id ORDER BY line)) "
+        "AS line_text FROM lines)"
+    )
+    stripped = f"CASE WHEN family = 3 THEN string_split(line_text, {NEWLINE})[1] ELSE {strip('line_text')} END"
+    return _with(_files()) + rf""",
+hits AS ({numbers(r"\bx\s*=\s*(\d+)\b", 0)}
+  UNION ALL {numbers(r"short_(\d+)\b", 1, "ext IN ('.py', '.rb')")}
+  UNION ALL {numbers(r"(?:later|note) (\d+)\b", 2)}
+  UNION ALL {numbers(r"later (\d+)\n# note", 3, lines=two_lines)})
+SELECT concat('part_', p_partkey) AS issue, file_id, CASE WHEN family = 3 THEN 'high' ELSE 'low' END AS severity,
+       p_name AS description, p_brand AS recommendation, line, {stripped} AS code, matched,
+       CAST(row_number() OVER (PARTITION BY p_partkey, file_id, CASE WHEN family < 3 THEN line END ORDER BY line, nth) - 1
+            AS INTEGER) AS match_ord
+FROM hits JOIN part ON p_partkey % 4 = family AND CAST(p_partkey + 1000 AS VARCHAR) = number"""
+
+
 def _hunks() -> str:
     """Hunks by running count of header lines over the numbered lines of each patch."""
     kind = (
@@ -532,6 +559,14 @@ found AS (SELECT {keys}, severity, issue, line, code, matched
           SELECT {keys}, severity, issue, line, code, CAST(NULL AS VARCHAR) FROM textqual)"""
 
 
+def _long_file_parts() -> str:
+    columns = "file_id, severity, issue, description, line, code"
+    return _with(source(corpora.SIZE_FILES, FILE_KEYS), text_quality(FILE_KEYS)) + f"""
+SELECT {columns}, matched FROM ({all_rule_hits(keys=FILE_KEYS)} UNION ALL {file_check_hits(FILE_KEYS)})
+UNION ALL
+SELECT {columns}, CAST(NULL AS VARCHAR) FROM textqual"""
+
+
 def oracle_sql() -> dict[str, str]:
     found = {
         "file_ext": _with(f"files AS ({corpora.FILES})")
@@ -553,6 +588,8 @@ FROM ({_binary()}) WHERE file_id % 4 = 1 OR file_id % 17 = 3""",
         "scan_rules_as_coded": _with(_files()) + f" SELECT issue, {_LINE} FROM ("
         + all_rule_hits([(at, rule) for at, rule in enumerate(catalog.RULES) if rule.extensions]) + ")",
         "scan_user_rules": _user_rules(),
+        "scan_rules_join": _part_rules(),
+        "long_file_parts": _long_file_parts(),
         "scan_rules_table": f"SELECT * FROM ({_user_rules()}) WHERE severity <> 'unusual'",
     }
     for rule in catalog.RULES:

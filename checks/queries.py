@@ -9,12 +9,14 @@ from reviewlake import catalog
 from reviewlake.catalog import Rule
 from reviewlake.functions import text
 from reviewlake.operators import (
-    listings, patches, python_structure, quality, render, reports, scan, summaries,
+    listings, patches, python_structure, quality, render, reports, rule_index, scan, summaries,
     verdict,
 )
 from reviewlake.plans import review
 from reviewlake.session import materialize, new_folder, spread
-from reviewlake.sources import changes as change_source, files as file_source, rules as rule_source, snapshots
+from reviewlake.sources import (
+    changes as change_source, files as file_source, long_files, rules as rule_source, snapshots,
+)
 from reviewlake.sources.corpus import read_corpus, write_corpus
 from reviewlake.streaming import scan as streaming
 
@@ -143,6 +145,13 @@ def scan_rules_table(spark, sf_dir):
     return found.select("issue", "file_id", "severity", "line", "code", "matched")
 
 
+def scan_rules_join(spark, sf_dir):
+    """A rule for each part, as rows of an index."""
+    rules = rule_source.rules_from_table(_sql(spark, sf_dir, corpora.PART_RULES))
+    found = rule_index.scan_index(files(spark, sf_dir), rule_index.index_rules(spark, rules))
+    return found.select("issue", "file_id", "severity", "description", "recommendation", "line", "code", "matched", "match_ord")
+
+
 def rule_query(rule: Rule):
     def query(spark, sf_dir):
         found = scan.scan(files(spark, sf_dir), [rule], quality=False, whole_file=False)
@@ -176,6 +185,22 @@ def long_file(spark, sf_dir):
     return found.where(F.col("issue") == "long_file").select("file_id", "severity", "description")
 
 
+def long_file_parts(spark, sf_dir):
+    """All line and whole-file checks on files that are read in parts, one file per size of parts."""
+    folder = new_folder(spark, "long-files")
+    rows = _sql(spark, sf_dir, corpora.PART_TEXTS).repartition("p_size").sortWithinPartitions("p_size", "p_partkey")
+    rows.select("p_size", F.col("content").alias("value")).write.partitionBy("p_size").text(folder)
+    pieces = long_files.read_pieces(spark, folder, least=1, part_bytes=2000)
+    size = F.regexp_extract("path", r"p_size=(\d+)", 1).alias("file_size")
+    named = F.concat(F.lit(f"{folder}/"), F.expr(corpora.size_name("file_size")))
+    pieces = materialize(pieces.withColumn("file_size", size.cast("int")).withColumn("path", named).drop("file_size"), "pieces")
+    found = scan.scan_parts(long_files.parts_of(pieces, folder))
+    return found.select(
+        F.regexp_extract("filename", r"size_(\d+)", 1).cast("long").alias("file_id"), "severity", "issue", "description",
+        "line", "code", "matched",
+    )
+
+
 def raw_quality(spark, sf_dir):
     found = scan.text_quality_findings(raw_files(spark, sf_dir))
     return found.select("file_id", "severity", "issue", "description", "line", "code")
@@ -481,6 +506,7 @@ def queries():
         "scan_rules_as_coded": scan_rules_as_coded,
         "scan_user_rules": scan_user_rules,
         "scan_rules_table": scan_rules_table,
+        "scan_rules_join": scan_rules_join,
     }
     for rule in catalog.RULES:
         found[f"rule_{rule.name}"] = rule_query(rule)
@@ -491,6 +517,7 @@ def queries():
     found["rule_high_comment_ratio"] = quality_query(catalog.COMMENT_RATIO, whole_file=True)
     found |= {
         "long_file": long_file,
+        "long_file_parts": long_file_parts,
         "raw_quality": raw_quality,
         "unsafe_pickle": file_check_query(catalog.UNSAFE_PICKLE),
         "missing_https": file_check_query(catalog.MISSING_HTTPS),

@@ -204,26 +204,33 @@ def _marked_lines(content: Column) -> Column:
 # --- file level ----------------------------------------------------------------------------------
 
 
-def _file_checks() -> list[tuple[catalog.Check, int, Column]]:
+def _needles() -> dict[str, Column]:
+    """What the whole-file security checks look for in a text."""
+    content = F.col("content")
+    return {
+        "pickle": F.contains(content, F.lit("pickle")), "safe": F.contains(F.lower(content), F.lit("safe")),
+        "flask": F.contains(content, F.lit("Flask")), "ssl": F.contains(content, F.lit("ssl_context")),
+        "eval": content.rlike(java_pattern(catalog.EVAL_PATTERN)),
+        "inner_html": content.rlike(java_pattern(catalog.INNER_HTML_PATTERN)),
+        "select_star": content.rlike(java_pattern(catalog.SELECT_STAR_PATTERN, ignore_case=True)),
+    }
+
+
+def _file_checks(needles: dict[str, Column]) -> list[tuple[catalog.Check, int, Column]]:
     """Whole-file security checks: what, its place in the order, and the condition."""
-    content, ext = F.col("content"), F.col("ext")
-    python = ext.isin(*catalog.PYTHON_EXTENSIONS)
+    python, has = F.col("ext").isin(*catalog.PYTHON_EXTENSIONS), needles
     return [
-        (catalog.UNSAFE_PICKLE, 0,
-         python & F.contains(content, F.lit("pickle")) & ~F.contains(F.lower(content), F.lit("safe"))),
-        (catalog.MISSING_HTTPS, 1,
-         python & F.contains(content, F.lit("Flask")) & ~F.contains(content, F.lit("ssl_context"))),
-        (catalog.EVAL_USAGE, 0, _is_script() & content.rlike(java_pattern(catalog.EVAL_PATTERN))),
-        (catalog.INNER_HTML, 1,
-         _is_script() & content.rlike(java_pattern(catalog.INNER_HTML_PATTERN))),
-        (catalog.SELECT_STAR, 0, ext.isin(*catalog.SQL_EXTENSIONS)
-         & content.rlike(java_pattern(catalog.SELECT_STAR_PATTERN, ignore_case=True))),
+        (catalog.UNSAFE_PICKLE, 0, python & has["pickle"] & ~has["safe"]),
+        (catalog.MISSING_HTTPS, 1, python & has["flask"] & ~has["ssl"]),
+        (catalog.EVAL_USAGE, 0, _is_script() & has["eval"]),
+        (catalog.INNER_HTML, 1, _is_script() & has["inner_html"]),
+        (catalog.SELECT_STAR, 0, F.col("ext").isin(*catalog.SQL_EXTENSIONS) & has["select_star"]),
     ]
 
 
-def _file_flags() -> Column:
+def _file_flags(needles: dict[str, Column]) -> Column:
     """The whole-file checks as one bit mask, so that lines carry an integer and not the text."""
-    bits = [F.when(hit, 1 << at).otherwise(0) for at, (_, _, hit) in enumerate(_file_checks())]
+    bits = [F.when(hit, 1 << at).otherwise(0) for at, (_, _, hit) in enumerate(_file_checks(needles))]
     return reduce(Column.__add__, bits)
 
 
@@ -232,7 +239,7 @@ def _file_detectors() -> list[Detector]:
     return [
         Detector(check, "security", FILE_PHASE, rule_ord,
                  **_single(f"pos = 0 and getbit(flags, {at}) = 1"), facts={}, by_line=False)
-        for at, (check, rule_ord, _) in enumerate(_file_checks())
+        for at, (check, rule_ord, _) in enumerate(_file_checks(_needles()))
     ]
 
 
@@ -284,7 +291,7 @@ def scan(
         if not rule.multiline or rule.within_line
     ]
     if security and whole_file:
-        carried.append(_file_flags().alias("flags"))
+        carried.append(_file_flags(_needles()).alias("flags"))
         detectors += _file_detectors()
     if quality:
         marked = F.when(_is_script(), _marked_lines(F.col("content")))
@@ -312,10 +319,15 @@ def _line_scan(by_file: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
     counted = by_file.withColumn("lines_of_code", F.size("lines"))
     kept = [name for name in counted.columns if name != "lines"]
     by_line = counted.select(*kept, F.posexplode_outer("lines").alias("pos", "entry"))
+    first_line = "first_line" if "first_line" in kept else "1"
     by_line = by_line.selectExpr(
-        *kept, "pos", "pos + 1 as line_no", "entry.*", "lower(entry.line_text) as lower_text",
+        *kept, "pos", f"pos + {first_line} as line_no", "entry.*", "lower(entry.line_text) as lower_text",
         "octet_length(entry.line_text) = length(entry.line_text) as is_ascii",
     )
+    return _detect(by_line, keys, detectors)
+
+
+def _detect(by_line: DataFrame, keys: Sequence[str], detectors: Sequence[Detector]) -> DataFrame:
     # Each detector runs once, as a column; a line without a hit goes no further than that.
     facts = {name: fact for detector in detectors for name, fact in detector.facts.items()}
     known = by_line.select("*", *[fact.alias(name) for name, fact in facts.items()])
@@ -328,6 +340,55 @@ def _line_scan(by_file: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
     return _to_findings(hit_lines, detectors)
 
 
+def scan_parts(
+    parts: DataFrame,
+    rules: Sequence[Rule] = RULES,
+    security: bool = True,
+    quality: bool = True,
+    wildcard: str = "documented",
+) -> DataFrame:
+    """``scan`` of files that are too long for one value, given in parts (see ``sources.long_files``).
+
+    Lines count from ``first_line``, the number of a part's first one. Whole-file checks look at what the parts of a
+    file hold together; flags and counts are all that is grouped. Rules that may match over several lines need the
+    whole text and are refused.
+    """
+    rules = select_rules(rules, wildcard) if security else ()
+    across = [rule.name for rule in rules if rule.multiline and not rule.within_line]
+    if across:
+        raise ValueError(f"rules over several lines need whole texts: {', '.join(across)}")
+    source = code_files(parts).where(F.col("content").isNotNull())
+    keys = file_keys(source)
+    lines = [text.split_lines(F.col("content")).alias("line_text")]
+    detectors = [_rule_detector(rule, at) for at, rule in enumerate(rules)]
+    if quality:
+        marked = F.when(_is_script(), _marked_lines(F.col("content")))
+        lines.append(F.coalesce(marked, F.array().cast("array<string>")).alias("marked"))
+        detectors += _quality_detectors()
+    found = []
+    if detectors:
+        found.append(_line_scan(source.select(*keys, "first_line", F.arrays_zip(*lines).alias("lines")), detectors))
+
+    held = list(_needles())
+    facts = source.select(
+        *keys, *(has.alias(name) for name, has in _needles().items()),
+        text.comment_lines(F.col("content"), F.col("ext")).alias("comment_lines"),
+        text.non_blank_lines(F.col("content")).alias("non_blank_lines"), F.size(lines[0]).alias("lines_of_code"),
+    )
+    counts = [F.sum(name).alias(name) for name in ("comment_lines", "non_blank_lines", "lines_of_code")]
+    by_file = facts.groupBy(*keys).agg(*(F.bool_or(name).alias(name) for name in held), *counts)
+    by_file = by_file.select(
+        *keys, _file_flags({name: F.col(name) for name in held}).alias("flags"), "comment_lines", "non_blank_lines",
+        "lines_of_code", F.lit(0).alias("pos"), F.lit(1).alias("line_no"), F.lit("").alias("line_text"),
+    )
+    whole = (_file_detectors() if security else []) + (_file_quality_detectors() if quality else [])
+    if whole:
+        found.append(_detect(by_file, keys, whole))
+    if not found:
+        raise ValueError("nothing to scan for: no rules and no checks are selected")
+    return reduce(DataFrame.unionByName, found)
+
+
 def _to_findings(hit_lines: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
     """Explodes ``hits`` and fills in what is fixed about each check.
 
@@ -352,6 +413,13 @@ def _to_findings(hit_lines: DataFrame, detectors: Sequence[Detector]) -> DataFra
     )
 
 
+def lines_of_marks(marked: Column) -> Column:
+    """For each mark in an array of lines, the number of its line."""
+    return F.flatten(F.transform(
+        marked, lambda line, at: F.array_repeat(at + 1, F.regexp_count(line, F.lit("\x01")))
+    ))
+
+
 def _whole_text_scan(source: DataFrame, rule: Rule, rule_ord: int) -> DataFrame:
     """Hits of a rule that may match across line breaks.
 
@@ -361,15 +429,12 @@ def _whole_text_scan(source: DataFrame, rule: Rule, rule_ord: int) -> DataFrame:
     pattern = java_pattern(rule.pattern, ignore_case=True, multiline=True)
     markable = F.translate("content", "\x01", "\x02")
     marked = text.split_lines(F.regexp_replace(markable, pattern, "\x01$0"))
-    line_of_match = F.flatten(F.transform(
-        marked, lambda line, at: F.array_repeat(at + 1, F.regexp_count(line, F.lit("\x01")))
-    ))
     if rule.extensions is not None:
         source = source.where(F.col("ext").isin(*rule.extensions))
     matched = source.select(
         *file_keys(source), text.split_lines(F.col("content")).alias("lines"),
         F.arrays_zip(
-            line_of_match.alias("line_no"),
+            lines_of_marks(marked).alias("line_no"),
             F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("matched"),
         ).alias("matches"),
     )

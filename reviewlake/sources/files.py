@@ -4,26 +4,31 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reviewlake.functions import text
 
-# A Spark value cannot be longer than this.
+# A Spark value cannot be longer than this; sources.long_files reads what is.
 MAX_BYTES = 2**31 - 1
 
 
+def relative_name(path: Column, root: str) -> Column:
+    """A file's path from ``root`` on, so that the root's own name never decides what is a code file."""
+    plain = re.sub(r"\A[a-zA-Z0-9]+:/+", "/", root).rstrip("/") + "/"
+    path = F.regexp_replace(path, r"\A[a-zA-Z0-9]+:/+", "/")
+    at = F.instr(path, plain)
+    return F.when(at > 0, F.substring(path, at + len(plain), F.length(path))).otherwise(path)
+
+
 def read_folder(spark: SparkSession, root: str) -> DataFrame:
-    """``filename``, ``size`` and ``data`` of every file below ``root``.
+    """``filename``, ``size`` and ``data`` of every file below ``root``, the name as from there.
 
-    The name is relative to ``root``, so that the root's own name never decides what is a code file.
+    A file that is longer than a value has no data here; ``long_files.read_parts`` gives it in parts.
     """
-    plain = re.sub(r"\A[a-zA-Z0-9]+:/+", "/", root).rstrip("/") + "/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     small = found.where(F.col("length") <= MAX_BYTES)
     large = found.where(F.col("length") > MAX_BYTES)
-    path = F.regexp_replace("path", r"\A[a-zA-Z0-9]+:/+", "/")
-    at = F.instr(path, plain)
-    name = F.when(at > 0, F.substring(path, at + len(plain), F.length(path))).otherwise(path).alias("filename")
+    name = relative_name(F.col("path"), root).alias("filename")
     return small.select(name, F.col("length").alias("size"), F.col("content").alias("data")).unionByName(
         large.select(name, F.col("length").alias("size"), F.lit(None).cast("binary").alias("data"))
     )
