@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake.llm.common import NULL_ID, real_id, whole
 from reviewlake.llm.hashing import _BASE, _BYTE, mix
@@ -32,9 +32,11 @@ LENGTH, PREFIX = 50, 20
 SAMPLES = LENGTH - PREFIX + 1
 CHUNK, UNIT, BUCKET_BYTES, PARTITION_BYTES = 1 << 16, 6 << 20, 12 << 20, 24 << 20
 BUCKET_WINDOWS, PARTITION_WINDOWS = 1 << 18, 1 << 19
+#: Bits of the set of ids that come again.
+ID_BITS = 1 << 20
 _U = np.uint64
 _EXPAND = 64  # added to the width of a run that round two is to look at
-SPANS = "doc_id long, tag int, lo array<int>, width array<tinyint>"
+SPANS = "doc_id long, tag long, lo array<int>, width array<tinyint>"
 
 
 def prefix_ranks(raw: np.ndarray, n: int) -> np.ndarray:
@@ -138,14 +140,15 @@ def _spans(doc, tag, lo, width):
 
 
 _SENT = [
-    ("bucket", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("lo", pa.list_(pa.int32())),
+    ("bucket", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("lo", pa.list_(pa.int32())),
     ("width", pa.list_(pa.int8())), ("key", pa.list_(pa.int32())), ("high", pa.list_(pa.int32())),
     ("low", pa.list_(pa.int16())), ("doc_low", pa.list_(pa.int32())), ("doc_high", pa.list_(pa.int32())),
-    ("tags", pa.list_(pa.int32())), ("lo_low", pa.list_(pa.int16())), ("lo_high", pa.list_(pa.int16())),
+    ("tag_low", pa.list_(pa.int32())), ("tag_high", pa.list_(pa.int32())), ("lo_low", pa.list_(pa.int16())), ("lo_high", pa.list_(pa.int16())),
 ]
 _SENT_SQL = (
-    "bucket int, doc_id long, tag int, lo array<int>, width array<tinyint>, key array<int>, high array<int>, "
-    "low array<smallint>, doc_low array<int>, doc_high array<int>, tags array<int>, lo_low array<smallint>, lo_high array<smallint>"
+    "bucket int, doc_id long, tag long, lo array<int>, width array<tinyint>, key array<int>, high array<int>, "
+    "low array<smallint>, doc_low array<int>, doc_high array<int>, tag_low array<int>, tag_high array<int>, "
+    "lo_low array<smallint>, lo_high array<smallint>"
 )
 
 
@@ -170,9 +173,10 @@ def _to_send(buckets, key, doc, tag, lo, width, value):
     if not len(cut):
         return
     sent = lists(order, cut, [
-        halves(key)[0], *halves(value), *low_high(doc), tag.astype(np.int32), *low_high(lo.astype(np.int32)), width.astype(np.int8)
+        halves(key)[0], *halves(value), *low_high(doc), *low_high(tag), *low_high(lo.astype(np.int32)),
+        width.astype(np.int8),
     ])
-    names = ("key", "high", "low", "doc_low", "doc_high", "tags", "lo_low", "lo_high", "width")
+    names = ("key", "high", "low", "doc_low", "doc_high", "tag_low", "tag_high", "lo_low", "lo_high", "width")
     yield _batch(len(cut), bucket=pa.array(bucket[order][cut]), **dict(zip(names, sent)))
 
 
@@ -230,10 +234,11 @@ def _by_bucket(batches, judge):
 
 def _received(rows):
     """key, value, doc, tag, first window of what ``_to_send`` sent."""
-    parts = {x: flat(rows, x) for x in ("key", "high", "low", "doc_low", "doc_high", "tags", "lo_low", "lo_high")}
+    names = ("key", "high", "low", "doc_low", "doc_high", "tag_low", "tag_high", "lo_low", "lo_high")
+    parts = {x: flat(rows, x) for x in names}
     return (
-        parts["key"], joined(parts["high"], parts["low"]), from_low_high(parts["doc_low"], parts["doc_high"]), parts["tags"],
-        from_low_high(parts["lo_low"], parts["lo_high"]),
+        parts["key"], joined(parts["high"], parts["low"]), from_low_high(parts["doc_low"], parts["doc_high"]),
+        from_low_high(parts["tag_low"], parts["tag_high"]), from_low_high(parts["lo_low"], parts["lo_high"]),
     )
 
 
@@ -320,13 +325,29 @@ def _cut(batches):
         )
 
 
+def _tag(ids: DataFrame, doc_id: Column, text: Column) -> Column:
+    """Tells the texts of one id apart: a hash of the text where the id may come again, and 0 for all others.
+
+    Ids that come again are known by a set of ``ID_BITS`` bits; an id that only shares its bit has a tag to no harm.
+    """
+    def bit(x):
+        return F.pmod(F.xxhash64(x), F.lit(ID_BITS)).cast("int")
+
+    again = ids.groupBy("doc_id").count().where("count > 1").select(bit("doc_id").alias("bit"))
+    words = again.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)))).alias("bits")
+    )
+    every = ids.sparkSession.range(ID_BITS // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    known = F.get(every.agg(in_order["bits"].alias("bits")).scalar(), F.shiftright(bit(doc_id), 6))
+    return F.when(F.getbit(known, bit(doc_id).bitwiseAND(F.lit(63))) == 1, F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes ``kept`` of every document."""
     text = whole(F.col("text"))
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-        F.hash(text).alias("tag"), text.alias("text"),
-    )
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    rows = docs.select(doc_id.alias("doc_id"), _tag(docs.select(doc_id.alias("doc_id")), doc_id, text).alias("tag"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + total // BUCKET_BYTES
     partitions = 1 + total // PARTITION_BYTES

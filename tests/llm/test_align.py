@@ -1,5 +1,6 @@
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -57,10 +58,12 @@ def _expected(rows, tokens):
                 own[at] = i
             ends.append(own)
         links = [(ends[0][e], ends[1][e]) for e in ends[0] if e in ends[1]]
-        groups, at = [], 0
-        for e in sorted(ends[0].keys() & ends[1].keys()):
-            groups.append("|".join(",".join(str(i) for p, i in own.items() if at < p <= e) for own in ends))
-            at = e
+        cuts = sorted(ends[0].keys() & ends[1].keys())
+        sides = [[[], []] for _ in cuts]
+        for side, own in enumerate(ends):
+            for p, i in own.items():
+                sides[bisect_left(cuts, p)][side].append(str(i))
+        groups = ["|".join(",".join(own) for own in both) for both in sides]
         counts.update(links)
         all_.append((len(both[0]), len(both[1]), links, groups))
     best = defaultdict(int)
