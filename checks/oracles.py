@@ -400,19 +400,23 @@ def _template(template: str, **values: str) -> str:
     ) + ")"
 
 
-def _object(fields) -> str:
+def _object(fields, null_where: str = "FALSE") -> str:
     entries = ", ".join(
-        f"CASE WHEN {name} IS NULL THEN NULL ELSE concat('    \"{name}\": ', "
+        f"CASE WHEN {name} IS NULL THEN {absent(name, null_where)} ELSE concat('    \"{name}\": ', "
         f"{f'to_json({name})' if is_text else name}) END" for name, is_text in fields
     )
     return f"concat('  {{', chr(10), concat_ws(concat(',', chr(10)), {entries}), chr(10), '  }}')"
 
 
-def _json_list(table: str, where: str, order: str, n: int, fields, name: str) -> str:
+def absent(name: str, null_where: str) -> str:
+    return f"CASE WHEN {null_where} THEN '    \"line\": null' END" if name == "line" else "NULL"
+
+
+def _json_list(table: str, where: str, order: str, n: int, fields, name: str, null_where: str = "FALSE") -> str:
     return f"""
 {name} AS (SELECT change_id, concat('[', chr(10), string_agg(entry, concat(',', chr(10)) ORDER BY rank),
              chr(10), ']') AS {name}
-  FROM (SELECT change_id, {_object(fields)} AS entry,
+  FROM (SELECT change_id, {_object(fields, null_where)} AS entry,
                row_number() OVER (PARTITION BY change_id ORDER BY {order}) AS rank
         FROM {table} WHERE {where}) WHERE rank <= {n} GROUP BY change_id)"""
 
@@ -428,7 +432,7 @@ def _review_prompt() -> str:
                    [("filename", True), ("status", True), ("additions", False), ("deletions", False)],
                    "files_json"),
         _json_list("(SELECT *, 'security' AS type FROM sec)", "severity = 'critical'", _ORDER, 5,
-                   [(name, name in texts) for name in order], "critical_json"),
+                   [(name, name in texts) for name in order], "critical_json", "tool IN ('bandit', 'semgrep')"),
         _json_list("(SELECT *, 'quality' AS type FROM qual)", "severity IN ('high', 'medium')", _ORDER,
                    5, [(name, name in texts) for name in quality_order], "quality_json"),
     ]
@@ -492,6 +496,21 @@ SELECT concat('part_', p_partkey) AS issue, file_id, CASE WHEN family = 3 THEN '
 FROM hits JOIN part ON p_partkey % 4 = family AND CAST(p_partkey + 1000 AS VARCHAR) = number"""
 
 
+def _duplication() -> str:
+    """CTEs: four stripped lines in a row, in words rather than hashes, and the regions of those that come again."""
+    return _with(_files()) + f""",
+filled AS (SELECT file_id, line, {strip("line_text")} AS t,
+                  row_number() OVER (PARTITION BY file_id ORDER BY line) AS pos
+           FROM lines WHERE {strip("line_text")} <> ''),
+fours AS (SELECT file_id, pos, line AS first_line, lead(line, 3) OVER w AS last_line,
+                 concat(t, chr(10), lead(t, 1) OVER w, chr(10), lead(t, 2) OVER w, chr(10), lead(t, 3) OVER w) AS body
+          FROM filled WINDOW w AS (PARTITION BY file_id ORDER BY pos)),
+counted AS (SELECT *, count(*) OVER (PARTITION BY body) AS copies FROM fours WHERE last_line IS NOT NULL),
+islands AS (SELECT *, pos - row_number() OVER (PARTITION BY file_id ORDER BY pos) AS island FROM counted WHERE copies > 1),
+regions AS (SELECT file_id, min(first_line) AS first_line, max(last_line) AS last_line, count(*) + 3 AS lines,
+                   max(copies) AS copies FROM islands GROUP BY file_id, island)"""
+
+
 def _hunks() -> str:
     """Hunks by running count of header lines over the numbered lines of each patch."""
     kind = (
@@ -588,6 +607,19 @@ FROM ({_binary()}) WHERE file_id % 4 = 1 OR file_id % 17 = 3""",
         "scan_rules_as_coded": _with(_files()) + f" SELECT issue, {_LINE} FROM ("
         + all_rule_hits([(at, rule) for at, rule in enumerate(catalog.RULES) if rule.extensions]) + ")",
         "scan_user_rules": _user_rules(),
+        "scan_incremental": _quality() + f"""
+SELECT change_id, file_id, 'security' AS type, severity, issue, description, line, code, matched
+FROM ({all_rule_hits()} UNION ALL {file_check_hits()})
+UNION ALL
+SELECT change_id, file_id, 'quality', severity, issue, CASE WHEN issue <> 'syntax_error' THEN description END, line, code,
+       CAST(NULL AS VARCHAR) FROM qual""",
+        "duplication": _duplication() + " SELECT * FROM regions",
+        "duplication_ratio": _duplication() + """
+, sizes AS (SELECT src.file_id, count(pos) AS lines FROM src LEFT JOIN filled USING (file_id) GROUP BY src.file_id),
+copied AS (SELECT file_id, sum(lines)::BIGINT AS duplicated FROM regions GROUP BY file_id)
+SELECT file_id, lines, coalesce(duplicated, 0) AS duplicated,
+       CASE WHEN lines > 0 THEN coalesce(duplicated, 0) / lines ELSE 0.0 END AS ratio
+FROM sizes LEFT JOIN copied USING (file_id)""",
         "scan_rules_join": _part_rules(),
         "long_file_parts": _long_file_parts(),
         "scan_rules_table": f"SELECT * FROM ({_user_rules()}) WHERE severity <> 'unusual'",
@@ -736,6 +768,8 @@ FROM changes LEFT JOIN changed USING (change_id)""",
         "snippet_prompt": _security() + " SELECT file_id, issue, line, " + _template(
             catalog.SNIPPET_PROMPT, issue_type="'security'") + " AS prompt FROM sec WHERE code IS NOT NULL",
         "stream_scan": _stream() + " SELECT file_id, severity, issue, line, code, matched FROM found",
+        "stream_first10": _with(_files(), f"sec AS ({all_rule_hits()} UNION ALL {file_check_hits()})")
+        + _first("sec", ("critical", "high"), 10, "change_id"),
         "stream_windows": _stream() + """
 SELECT strftime(ts, '%Y-%m-%d') AS day, severity, count(*) AS findings FROM found GROUP BY ALL""",
     }

@@ -9,10 +9,10 @@ from reviewlake import catalog
 from reviewlake.catalog import Rule
 from reviewlake.functions import text
 from reviewlake.operators import (
-    listings, patches, python_structure, quality, render, reports, rule_index, scan, summaries,
+    duplication, listings, patches, python_structure, quality, render, reports, rule_index, scan, summaries,
     verdict,
 )
-from reviewlake.plans import review
+from reviewlake.plans import incremental, review
 from reviewlake.session import materialize, new_folder, spread
 from reviewlake.sources import (
     changes as change_source, files as file_source, long_files, rules as rule_source, snapshots,
@@ -185,6 +185,15 @@ def long_file(spark, sf_dir):
     return found.where(F.col("issue") == "long_file").select("file_id", "severity", "description")
 
 
+def scan_incremental(spark, sf_dir):
+    """A second review of the same files: the first one fills the store, this one scans no text."""
+    source, store = files(spark, sf_dir), incremental.open_store(new_folder(spark, "store"))
+    store.add(scan.reviewable(source).withColumn("content_sha", F.sha2("content", 256)))
+    found = incremental.scan_incremental(source, store)
+    known = F.when(F.col("issue") != "syntax_error", F.col("description")).alias("description")
+    return found.select("change_id", "file_id", "type", "severity", "issue", known, "line", "code", "matched")
+
+
 def long_file_parts(spark, sf_dir):
     """All line and whole-file checks on files that are read in parts, one file per size of parts."""
     folder = new_folder(spark, "long-files")
@@ -230,6 +239,14 @@ def js_functions(spark, sf_dir):
     return rows.select("file_id", "functions")
 
 
+def duplicated_regions(spark, sf_dir):
+    return duplication.duplicated_regions(files(spark, sf_dir))
+
+
+def duplication_ratio(spark, sf_dir):
+    return duplication.duplication_ratio(files(spark, sf_dir))
+
+
 # --- Python structure ----------------------------------------------------------------------------
 
 
@@ -487,14 +504,23 @@ def stream_scan(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     once = _arrivals(spark, sf_dir)
     twice = once.unionByName(once)
-    found = scan.scan(streaming.with_version(twice))
-    windows = streaming.severity_windows(streaming.distinct_deliveries(found, "40 days"))
-    table = streaming.run_to_table(streaming.upsert_windows, windows, "stream-windows")
-    latest = streaming.latest_windows(spark.read.parquet(table))
+    counts = streaming.delivery_counts(twice, "40 days")
+    table = streaming.run_to_table(streaming.add_windows, counts, "stream-windows")
+    latest = streaming.windows_table(table).read(spark)
     day = F.date_format("window_start", "yyyy-MM-dd").alias("day")
     return latest.select(day, "severity", "findings")
 
 
+def stream_first10(spark, sf_dir):
+    """The changed files as a stream of small batches; what batch ``change_first10_security`` lists, without reports."""
+    batch = files(spark, sf_dir)
+    folder = _written[spark.sparkContext.applicationId, sf_dir, "FILES"]
+    arriving = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 3).parquet(folder)
+    found = scan.security_findings(arriving)
+    table = streaming.run_to_table(streaming.add_first_security, found, "stream-first")
+    return streaming.read_first_security(spark, table, found).select("change_id", *_LISTED)
+
+
 def queries():
     found = {
         "file_ext": file_ext,
@@ -524,6 +550,9 @@ def queries():
         "eval_usage": file_check_query(catalog.EVAL_USAGE),
         "inner_html": file_check_query(catalog.INNER_HTML),
         "select_star": file_check_query(catalog.SELECT_STAR),
+        "scan_incremental": scan_incremental,
+        "duplication": duplicated_regions,
+        "duplication_ratio": duplication_ratio,
         "comment_ratio": comment_ratio,
         "lines_of_code": lines_of_code,
         "js_functions": js_functions,
@@ -574,5 +603,6 @@ def queries():
         "snippet_prompt": snippet_prompt,
         "stream_scan": stream_scan,
         "stream_windows": stream_windows,
+        "stream_first10": stream_first10,
     }
     return found

@@ -76,20 +76,43 @@ def fill_if_present(template: str) -> Column:
 # --- JSON lists inside the review prompt -----------------------------------------------------------
 
 
+_SHORT_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\f": "\\f", "\b": "\\b"}
+
+
+def _code_unit(number: Column) -> Column:
+    return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(number), 4, "0")))
+
+
+def _json_character(char: Column) -> Column:
+    """As Python's ``json`` writes it: printable ASCII for itself, all else as one or two code units of UTF-16."""
+    number = F.ascii(char)
+    above = number - 0x10000
+    pair = F.concat(
+        _code_unit(F.shiftright(above, 10) + 0xD800), _code_unit(above.bitwiseAND(F.lit(0x3FF)) + 0xDC00)
+    )
+    escaped = F.when(number > 0xFFFF, pair).when((number < 32) | (number > 126), _code_unit(number)).otherwise(char)
+    for plain, short in reversed(_SHORT_ESCAPES.items()):
+        escaped = F.when(char == plain, F.lit(short)).otherwise(escaped)
+    return escaped
+
+
 def json_string(value: Column) -> Column:
-    """A JSON string literal. Characters beyond ASCII are kept as they are."""
-    wrapped = F.to_json(F.struct(value.cast("string").alias("v")))
-    return F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
+    """A JSON string literal in ASCII; most texts have nothing to escape and are taken as they are."""
+    text = value.cast("string")
+    escaped = F.array_join(F.transform(F.split(text, ""), _json_character), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(r'[^ !#-\[\]-~]'), escaped).otherwise(text), F.lit('"'))
 
 
-def json_object(fields: Sequence[tuple[str, Column, bool]]) -> Column:
-    """An indented JSON object of (name, value, is text); fields that are NULL are absent."""
-    entries = [
-        F.concat(F.lit(f'    "{name}": '), json_string(value) if is_text else value.cast("string"))
-        for name, value, is_text in fields
-    ]
-    present = [F.when(value.isNotNull(), entry) for (_, value, _), entry in zip(fields, entries)]
-    return F.concat(F.lit("  {\n"), F.concat_ws(",\n", *present), F.lit("\n  }"))
+def json_object(fields: Sequence[tuple[str, Column, bool]], kept: dict[str, Column] | None = None) -> Column:
+    """An indented JSON object of (name, value, is text). A NULL field is absent, or null where ``kept`` says so."""
+    entries = []
+    for name, value, is_text in fields:
+        written = json_string(value) if is_text else value.cast("string")
+        entry = F.when(value.isNotNull(), F.concat(F.lit(f'    "{name}": '), written))
+        if kept and name in kept:
+            entry = F.coalesce(entry, F.when(kept[name], F.lit(f'    "{name}": null')))
+        entries.append(entry)
+    return F.concat(F.lit("  {\n"), F.concat_ws(",\n", *entries), F.lit("\n  }"))
 
 
 _FINDING_FIELDS = (
@@ -101,8 +124,13 @@ _QUALITY_FIELDS = tuple(
 )
 
 
-def _object_of(names: Sequence[str], numbers: Sequence[str]) -> Column:
-    return json_object([(name, F.col(name), name not in numbers) for name in names])
+def _object_of(names: Sequence[str], numbers: Sequence[str], kept: dict[str, Column] | None = None) -> Column:
+    return json_object([(name, F.col(name), name not in numbers) for name in names], kept)
+
+
+def critical_object() -> Column:
+    """A security finding; a scanner's has its line even where its report gives none."""
+    return _object_of(_FINDING_FIELDS, ("line",), {"line": F.col("tool").isin(*catalog.REPORT_TOOLS)})
 
 
 def json_lists(ranked: DataFrame, entry: Column, name: str) -> DataFrame:
@@ -124,8 +152,7 @@ def review_prompts(
         json_lists(prompt_files(files), _object_of(
             ("filename", "status", "additions", "deletions"), ("additions", "deletions")),
             "files_json"),
-        json_lists(prompt_critical(security), _object_of(_FINDING_FIELDS, ("line",)),
-                   "critical_json"),
+        json_lists(prompt_critical(security), critical_object(), "critical_json"),
         json_lists(prompt_quality(quality), _object_of(_QUALITY_FIELDS, ("line",)),
                    "quality_json"),
     ]

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewlake.operators import listings, render, summaries, verdict
 from reviewlake.plans import review
@@ -136,3 +137,32 @@ def test_review_of_files(make_files):
         "hardcoded_password", "command_injection"]
     assert {r.severity: r.findings for r in result.severity_histogram.collect()} == {"low": 3, "critical": 1}
     assert result.first_quality.count() == 0  # critical quality findings are not listed
+
+
+TEXTS = ["plain", 'quote " and \\ back', "tab\tline\nreturn\rfeed\x0cback\b", "\x00\x01\x1b\x1f\x7f", "é ñ ß İ ſ", "  ￿",
+         "\U0001f600 a\U0010ffff\U00010000", "</script>&<>'/", "", "x" * 300 + "é"]
+
+
+def test_prompt_json_is_that_of_python(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string")
+    written = rows.select("i", render.json_string(F.col("t")).alias("json")).collect()
+    assert {r.i: r.json for r in written} == {i: json.dumps(t) for i, t in enumerate(TEXTS)}
+
+
+def test_prompt_objects_are_those_of_python(spark):
+    schema = ("change_id long, rank int, tool string, type string, severity string, issue string, description string, "
+              "filename string, line int, code string, matched string, confidence string, recommendation string")
+    found = [
+        {"tool": "semgrep", "type": "security", "severity": "critical", "issue": "Unknown", "description": "dé \U0001f600",
+         "filename": "a.py", "line": None, "code": "", "recommendation": 'say "x"'},
+        {"tool": "bandit", "type": "security", "severity": "critical", "issue": "B1", "description": "d", "filename": "a.py",
+         "line": 3, "code": "\tx", "confidence": "HIGH", "recommendation": "r"},
+        {"tool": "pattern-matcher", "type": "security", "severity": "critical", "issue": "i", "description": "d",
+         "filename": "日.py", "recommendation": "r"},
+        {"tool": "pattern-matcher", "type": "security", "severity": "critical", "issue": "i", "description": "d",
+         "filename": "a.py", "line": 7, "code": "c\\d", "matched": "\x7f", "recommendation": "r"},
+    ]
+    names = [part.split()[0] for part in schema.split(", ")]
+    rows = [(1, at + 1, *(f.get(name) for name in names[2:])) for at, f in enumerate(found)]
+    listed = render.json_lists(spark.createDataFrame(rows, schema), render.critical_object(), "found").first().found
+    assert listed == json.dumps(found, indent=2)
