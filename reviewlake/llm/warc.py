@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlake.llm.common import NULL_ID, real_id, whole
-from reviewlake.session import new_folder
+from reviewlake.session import materialize, new_folder
 
 #: Payloads below this size are always written in full.
 REVISIT_BYTES = 1000
@@ -191,9 +191,10 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
         F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page_id"), url.alias("url"),
         payload.alias("payload"), F.sha1(payload).alias("digest"),
     ).withColumn("n", F.octet_length("payload"))
-    several = rows.where(F.col("n") >= least).groupBy("digest", "n").agg(
+    # written, as Spark splits a hot payload only between two sides that it has dealt for the join itself
+    several = materialize(rows.where(F.col("n") >= least).groupBy("digest", "n").agg(
         F.max("page_id").alias("first"), F.count("*").alias("copies")
-    ).where("copies > 1").drop("copies")
+    ).where("copies > 1").drop("copies"), "equal-payloads")
     joined = rows.join(several, ["digest", "n"], "left")
     return joined.select(
         "page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to")
