@@ -314,6 +314,29 @@ SELECT event_id AS file_id, 'semgrep' AS tool, {_report("event_id", _SEMGREP_ITE
 FROM events
 """
 
+# One report of each scanner per change request, over all of its files, which the items name in two spellings.
+TREE_REPORTS = f"""
+SELECT change_id, tool, concat('{{"results": [', array_join(collect_list(item), ', '), ']}}') AS report
+FROM (SELECT change_id, 'bandit' AS tool, concat('{{"filename": "./', filename, '", "test_id": "B1", "issue_severity": "HIGH", '
+               '"line_number": ', CAST(file_id % 90 AS STRING), '}}') AS item FROM ({FILES})
+      UNION ALL
+      SELECT change_id, 'semgrep' AS tool, concat('{{"path": "', filename, '", "check_id": "r", "start": {{"line": ',
+               CAST(file_id % 70 AS STRING), '}}, "extra": {{"severity": "ERROR", "lines": "x"}}}}') AS item FROM ({FILES}))
+GROUP BY change_id, tool
+"""
+
+# Exported changes with their files nested; some lines are cut off.
+EXPORTED = f"""
+SELECT CASE WHEN change_id % 17 = 3 THEN concat('{{"change_id": ', CAST(change_id AS STRING), ', "title": "cut')
+            ELSE to_json(struct(change_id, max(author) AS author, max(title) AS title,
+                 transform(array_sort(collect_list(file)), f -> struct(f.filename, f.status, f.additions, f.deletions)) AS files))
+       END AS value
+FROM (SELECT c.change_id, author, title, CASE WHEN f.file_ord IS NOT NULL THEN
+             struct(f.file_ord, f.filename, f.status, f.additions, f.deletions) END AS file
+      FROM ({CHANGES}) c LEFT JOIN ({FILES}) f ON f.change_id = c.change_id)
+GROUP BY change_id
+"""
+
 # Three states of one tree: 0 is HEAD, 1 the index, 2 the work tree.
 IN_SNAPSHOT = ["doc_id % 10 <> 0", "doc_id % 11 <> 3 AND doc_id % 17 <> 5", "doc_id % 13 <> 4"]
 STAGED, EDITED = "doc_id % 7 = 1", "doc_id % 5 = 2"

@@ -750,6 +750,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY file_ord) AS
         + " SELECT file_id, filename FROM src WHERE file_id NOT IN (SELECT file_id FROM sec)",
         "security_listing": _security() + _listing("sec", ("critical", "high"), True),
         "quality_listing": _quality() + _listing("qual", ("high", "medium"), False),
+        "report_files": _with(f"files AS ({corpora.FILES})") + f"""
+SELECT change_id, file_id, filename, 'semgrep' AS tool, 'high' AS severity, 'r' AS issue, CAST(file_id % 70 AS INTEGER) AS line
+FROM files WHERE {IS_CODE}
+UNION ALL
+SELECT change_id, file_id, filename, 'bandit', 'high', 'B1', CAST(file_id % 90 AS INTEGER)
+FROM files WHERE {IS_CODE} AND {EXT} = '.py'""",
+        "change_export": _with(f"files AS ({corpora.FILES})", f"changes AS ({corpora.CHANGES})") + """
+SELECT c.change_id, author, title,
+       CASE WHEN f.file_id IS NOT NULL THEN row_number() OVER (PARTITION BY c.change_id ORDER BY f.file_ord) - 1 END AS file_ord,
+       filename, status, additions, deletions
+FROM changes c LEFT JOIN files f USING (change_id) WHERE c.change_id % 17 <> 3""",
+        "change_rejects": f"""
+SELECT concat('{{"change_id": ', change_id, ', "title": "cut') AS text FROM ({corpora.CHANGES}) WHERE change_id % 17 = 3""",
         "change_content": _change_content(),
         "snapshot_diff": _snapshot_diff(),
         "change_header": _with(f"files AS ({corpora.FILES})", f"changes AS ({corpora.CHANGES})") + f"""

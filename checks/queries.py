@@ -301,6 +301,12 @@ def report_query(tool):
     return query
 
 
+def report_files(spark, sf_dir):
+    """Reports over all files of a change, each item brought to its own file."""
+    found = reports.tool_findings(_sql(spark, sf_dir, corpora.TREE_REPORTS), files(spark, sf_dir))
+    return found.select("change_id", "file_id", "filename", "tool", "severity", "issue", "line")
+
+
 # --- summaries -----------------------------------------------------------------------------------
 
 
@@ -449,6 +455,23 @@ def change_content(spark, sf_dir):
     return with_content.select("change_id", "filename", "status", "patch", "content", "decode_error")
 
 
+def _export(spark, sf_dir):
+    folder = new_folder(spark, "export")
+    _sql(spark, sf_dir, corpora.EXPORTED).write.text(folder)
+    return change_source.read_export(spark, folder)
+
+
+def change_export(spark, sf_dir):
+    """Headers with their files, from one nested export."""
+    exported = _export(spark, sf_dir)
+    rows = exported.changes.join(exported.files, "change_id", "left")
+    return rows.select("change_id", "author", "title", "file_ord", "filename", "status", "additions", "deletions")
+
+
+def change_rejects(spark, sf_dir):
+    return _export(spark, sf_dir).rejects
+
+
 def snapshot_diff(spark, sf_dir):
     head, index, work = [_sql(spark, sf_dir, corpora.snapshot(at)) for at in range(3)]
     return snapshots.local_changes(head, index, work).select(
@@ -571,6 +594,7 @@ def queries():
         "patch_lines": patch_lines,
         "bandit_findings": report_query("bandit"),
         "semgrep_findings": report_query("semgrep"),
+        "report_files": report_files,
         "tool_summary": tool_summary,
         "security_summary": security_summary,
         "security_summary_rollup": security_summary_rollup,
@@ -595,6 +619,8 @@ def queries():
         "security_listing": security_listing,
         "quality_listing": quality_listing,
         "change_content": change_content,
+        "change_export": change_export,
+        "change_rejects": change_rejects,
         "snapshot_diff": snapshot_diff,
         "change_header": change_header,
         "summary_markdown": summary_markdown,

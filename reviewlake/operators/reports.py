@@ -98,28 +98,52 @@ _READERS = {
 }
 
 
+#: Where an item of a report names the file that it is about.
+_NAMES = {"bandit": "filename", "semgrep": "path"}
+
+
+def relative_to(name: Column, root: str | None) -> Column:
+    """A scanned file's name as from ``root`` on, which scanners may have been given in several spellings."""
+    name = F.regexp_replace(name, r"\A(?:\./)+", "")
+    if root is None:
+        return name
+    plain = root.removeprefix("./").rstrip("/") + "/"
+    return F.when(name.startswith(plain), F.substring(name, F.lit(len(plain) + 1), F.length(name))).otherwise(name)
+
+
 def tool_findings(
-    reports: DataFrame, files: DataFrame, tools: Sequence[str] = catalog.REPORT_TOOLS
+    reports: DataFrame, files: DataFrame, tools: Sequence[str] = catalog.REPORT_TOOLS, root: str | None = None
 ) -> DataFrame:
     """Findings of the scanners. A report that is not JSON, or has no results, gives none.
 
     All tools are read in one pass and joined once. Reports are parsed and taken apart before the
     join; the files side brings the names of code files and no text, as a report is there only for a
     file that had one. Bandit reports count for Python files alone, as only those are given to it.
-    Reports without ``file_id``, as read from disk, belong to the file of their ``filename``.
+
+    A report with a ``file_id`` is about that file. Without one, as read from disk, it may be about a whole tree:
+    each of its items belongs to the file that the item names (relative to ``root``, if given), an item that names none to the
+    report's ``filename``. Where files are of changes, such reports must tell their ``change_id``, since a name may be in
+    several of them.
     """
-    if "file_id" not in reports.columns:
-        reports = reports.join(files.select("filename", "file_id"), "filename")
-    items = reports.where(F.col("tool").isin(*tools)).select("file_id", "tool", *[
+    by_name = "file_id" not in reports.columns
+    keys = ["file_id"] if not by_name else ["change_id", "filename"] if "change_id" in files.columns else ["filename"]
+    if by_name and "change_id" in keys and "change_id" not in reports.columns:
+        raise ValueError("reports on files of changes need a file_id or a change_id")
+    about = [name for name in keys if name in reports.columns]
+    items = reports.where(F.col("tool").isin(*tools)).select(*about, "tool", *[
         F.when(F.col("tool") == tool, F.from_json("report", _READERS[tool][0])["results"]).alias(tool)
         for tool in tools
     ])
     # Both arrays are zipped so that one explode serves all tools; only one of them is ever filled.
     zipped = F.arrays_zip(*[F.coalesce(tool, F.array()).alias(tool) for tool in tools])
-    exploded = items.select("file_id", "tool", F.posexplode_outer(zipped).alias("idx", "item"))
+    exploded = items.select(*about, "tool", F.posexplode_outer(zipped).alias("idx", "item"))
     exploded = exploded.where(F.col("item").isNotNull())
+    if by_name:
+        own = F.coalesce(*(F.col("item")[tool][_NAMES[tool]] for tool in tools))
+        name = F.coalesce(relative_to(own, root), F.col("filename") if "filename" in about else F.lit(None).cast("string"))
+        exploded = exploded.withColumn("filename", name)
     scanned = code_files(files)
-    joined = exploded.join(scanned.select(*file_keys(scanned)), "file_id").where(
+    joined = exploded.join(scanned.select(*file_keys(scanned)), keys).where(
         (F.col("tool") != "bandit") | F.col("ext").isin(*catalog.PYTHON_EXTENSIONS)
     )
     found = F.lit(None).cast(FINDING)

@@ -31,6 +31,14 @@ CHANGED_FILES = T.StructType([
     T.StructField("raw_url", T.StringType()),
 ])
 
+# An exported change: its header and its files, in order, as one JSON object.
+EXPORT = T.StructType([
+    *CHANGES.fields,
+    T.StructField("files", T.ArrayType(T.StructType([
+        field for field in CHANGED_FILES.fields if field.name not in ("change_id", "file_ord", "file_id")
+    ]))),
+])
+
 # Columns a file may carry; whichever are present go through every operator unchanged.
 FILE_KEYS = ("change_id", "file_ord", "file_id", "filename", "ext", "ts", "content_sha")
 
@@ -63,6 +71,7 @@ BANDIT_REPORT = T.StructType([T.StructField("results", T.ArrayType(T.StructType(
     T.StructField("code", T.StringType()),
     T.StructField("issue_confidence", T.StringType()),
     T.StructField("more_info", T.StringType()),
+    T.StructField("filename", T.StringType()),
 ])))])
 
 SEMGREP_REPORT = T.StructType([T.StructField("results", T.ArrayType(T.StructType([
@@ -78,4 +87,5 @@ SEMGREP_REPORT = T.StructType([T.StructField("results", T.ArrayType(T.StructType
             T.StructField("owasp", T.StringType()),
         ])),
     ])),
+    T.StructField("path", T.StringType()),
 ])))])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from reviewlake.functions import text
-from reviewlake.schemas import CHANGED_FILES, CHANGES
+from reviewlake.schemas import CHANGED_FILES, CHANGES, EXPORT
+from reviewlake.session import materialize
 
 
 def read_changes(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -16,6 +19,38 @@ def read_changed_files(spark: SparkSession, path: str, fmt: str = "parquet") ->
     return spark.read.format(fmt).schema(CHANGED_FILES).load(path)
 
 
+@dataclass(frozen=True)
+class Export:
+    """What an export held: headers, changed files, and the texts that are not a change."""
+
+    changes: DataFrame
+    files: DataFrame
+    rejects: DataFrame
+
+
+def read_export(spark: SparkSession, path: str) -> Export:
+    """An export of one JSON object per line, a change with its ``files`` nested in their order.
+
+    It is read and parsed once, into a table that the three parts select from. A line that is not such an object, or whose
+    ``change_id`` is missing, is kept as a reject with its text; blank lines are nothing. A change without files
+    is a change all the same.
+    """
+    schema = T.StructType([*EXPORT.fields, T.StructField("_text", T.StringType())])
+    rows = spark.read.text(path, recursiveFileLookup=True).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_text"}
+    parsed = rows.select("value", F.from_json("value", schema, options).alias("change"))
+    parsed = materialize(parsed.select("value", "change.*"), "export")
+    known = parsed.where("_text is null and change_id is not null")
+    listed = known.select("change_id", F.posexplode("files").alias("file_ord", "file")).select(
+        "change_id", F.col("file_ord").cast("long").alias("file_ord"),
+        F.xxhash64("change_id", "file.filename", "file_ord").alias("file_id"), "file.*",
+    )
+    return Export(
+        known.select(*CHANGES.fieldNames()), listed.where("filename is not null"),
+        parsed.where("_text is not null or change_id is null").select(F.col("value").alias("text")),
+    )
+
+
 def changed_code_files(files: DataFrame) -> DataFrame:
     """Changed code files; a missing patch is an empty one."""
     kept = files.where(text.is_code_file(F.col("filename")))

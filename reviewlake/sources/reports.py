@@ -1,4 +1,4 @@
-"""Scanner reports: one JSON text per file and tool."""
+"""Scanner reports: one JSON text each, about one file or a whole tree."""
 
 from __future__ import annotations
 
@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_reports(spark: SparkSession, path: str, tool: str) -> DataFrame:
-    """``filename``, ``tool`` and ``report`` of every file below ``path``, one report per scanned file.
+    """``filename``, ``change_id``, ``tool`` and ``report`` of every file below ``path``.
 
-    The name is the one the report gives for what it scanned; a report without results has none to
-    give, and no findings either, so it keeps its own.
+    Items say themselves which file they are about; ``filename`` is the report's own name, for those that don't. A report
+    in a folder named ``change_id=12`` is about change 12; elsewhere ``change_id`` is NULL.
     """
     texts = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    results = F.from_json("value", "results array<struct<filename: string, path: string>>")["results"]
-    scanned = F.coalesce(F.get(results, F.lit(0))["filename"], F.get(results, F.lit(0))["path"])
+    change = F.regexp_extract("_metadata.file_path", r"/change_id=(\d+)/", 1)
     return texts.select(
-        F.coalesce(scanned, F.col("_metadata.file_name")).alias("filename"), F.lit(tool).alias("tool"),
-        F.col("value").alias("report"),
+        F.col("_metadata.file_name").alias("filename"), F.nullif(change, F.lit("")).cast("long").alias("change_id"),
+        F.lit(tool).alias("tool"), F.col("value").alias("report"),
     )

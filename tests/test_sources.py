@@ -144,3 +144,30 @@ def test_one_parse_per_file(make_files):
     counts = python_structure.python_counts(python_structure.python_trees(make_files([("a.py", "def f(): pass")])))
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_nested_export(spark, tmp_path, hits):
+    lines = [
+        '{"change_id": 1, "title": "a", "created_at": "2024-01-02T03:04:05Z", "files": [{"filename": "b.py", "status": "added", '
+        '"additions": 3}, {"filename": "a.py"}, {"status": "odd"}], "more": [1]}',
+        '{"change_id": 2, "files": []}', "", "   ", '{"change_id": 3, "files": [', '{"title": "no id"}', "[1, 2]", "text",
+        '{"change_id": "x", "files": []}', '{"change_id": 4}',
+    ]
+    (tmp_path / "a.json").write_text("\n".join(lines[:5]))
+    (tmp_path / "b.json").write_text("\n".join(lines[5:]) + "\n")
+    found = changes.read_export(spark, str(tmp_path))
+    assert hits(found.changes, "change_id", "title") == [(1, "a"), (2, None), (4, None)]
+    assert str(found.changes.where("change_id = 1").first().created_at) == "2024-01-02 03:04:05"
+    assert hits(found.files, "change_id", "file_ord", "filename", "status", "additions") == [
+        (1, 0, "b.py", "added", 3), (1, 1, "a.py", None, None)]
+    assert sorted(r.text for r in found.rejects.collect()) == sorted([lines[4], lines[5], lines[6], lines[7], lines[8]])
+    assert found.files.select("file_id").distinct().count() == 2
+
+
+def test_snapshots_are_hashed_once(spark, tmp_path):
+    for name in ("head", "index", "work"):
+        spark.createDataFrame([("a.py", name)], "filename string, content string").write.parquet(str(tmp_path / name))
+    trees = [spark.read.parquet(str(tmp_path / name)) for name in ("head", "index", "work")]
+    plan = snapshots.changed_names(*trees)._jdf.queryExecution().executedPlan().toString()
+    initial = plan[plan.index("Initial Plan"):] if "Initial Plan" in plan else plan
+    assert initial.count("FileScan parquet") == 3 and initial.count("Exchange hashpartitioning") == 1
