@@ -60,6 +60,31 @@ def row_key(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+#: Bits of a set of keys that come again.
+SET_BITS = 1 << 20
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SET_BITS)).cast("int")
+
+
+def repeated_keys(keys: DataFrame) -> Column:
+    """The set of the values of the one column that come again, as bits in 64-bit words: one value for a whole plan."""
+    name = keys.columns[0]
+    again = keys.groupBy(name).count().where("count > 1").select(_bit(F.col(name)).alias("bit"))
+    words = again.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)))).alias("bits")
+    )
+    every = keys.sparkSession.range(SET_BITS // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return every.agg(in_order["bits"].alias("bits")).scalar()
+
+
+def may_be_in(key: Column, bits: Column) -> Column:
+    """True for all keys of the set, and for the few that only share the bit of one."""
+    return F.getbit(F.get(bits, F.shiftright(_bit(key), 6)), _bit(key).bitwiseAND(F.lit(63))) == 1
+
+
 def real_id(doc_id: Column) -> Column:
     """Back from the stand-in of a null id."""
     return F.when(doc_id != NULL_ID, doc_id)

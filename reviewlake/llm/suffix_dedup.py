@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewlake.llm.common import NULL_ID, real_id, whole
+from reviewlake.llm.common import NULL_ID, may_be_in, real_id, repeated_keys, whole
 from reviewlake.llm.hashing import _BASE, _BYTE, mix
 from reviewlake.llm.packing import by_bucket, flat, from_low_high, groups, halves, joined, lists, low_high
 from reviewlake.session import materialize
@@ -32,8 +32,6 @@ LENGTH, PREFIX = 50, 20
 SAMPLES = LENGTH - PREFIX + 1
 CHUNK, UNIT, BUCKET_BYTES, PARTITION_BYTES = 1 << 16, 6 << 20, 12 << 20, 24 << 20
 BUCKET_WINDOWS, PARTITION_WINDOWS = 1 << 18, 1 << 19
-#: Bits of the set of ids that come again.
-ID_BITS = 1 << 20
 _U = np.uint64
 _EXPAND = 64  # added to the width of a run that round two is to look at
 SPANS = "doc_id long, tag long, lo array<int>, width array<tinyint>"
@@ -326,21 +324,8 @@ def _cut(batches):
 
 
 def _tag(ids: DataFrame, doc_id: Column, text: Column) -> Column:
-    """Tells the texts of one id apart: a hash of the text where the id may come again, and 0 for all others.
-
-    Ids that come again are known by a set of ``ID_BITS`` bits; an id that only shares its bit has a tag to no harm.
-    """
-    def bit(x):
-        return F.pmod(F.xxhash64(x), F.lit(ID_BITS)).cast("int")
-
-    again = ids.groupBy("doc_id").count().where("count > 1").select(bit("doc_id").alias("bit"))
-    words = again.groupBy(F.shiftright("bit", 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)))).alias("bits")
-    )
-    every = ids.sparkSession.range(ID_BITS // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
-    in_order = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    known = F.get(every.agg(in_order["bits"].alias("bits")).scalar(), F.shiftright(bit(doc_id), 6))
-    return F.when(F.getbit(known, bit(doc_id).bitwiseAND(F.lit(63))) == 1, F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+    """Tells the texts of one id apart: a hash of the text where the id may come again, and 0 for all others."""
+    return F.when(may_be_in(doc_id, repeated_keys(ids)), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
