@@ -748,6 +748,20 @@ FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY file_ord) AS
         "prompt_quality": _quality() + _first("qual", ("high", "medium"), 5, "change_id"),
         "clean_files": _security()
         + " SELECT file_id, filename FROM src WHERE file_id NOT IN (SELECT file_id FROM sec)",
+        "security_panels": _security() + f"""
+, tools AS (SELECT change_id, tool, count(*) AS n, min(row(file_ord, phase, rule_ord, pos, match_ord)) AS first
+            FROM sec GROUP BY change_id, tool),
+listed AS (SELECT change_id, string_agg(concat(tool, ': ', n), ', ' ORDER BY first) AS tools FROM tools GROUP BY change_id)
+SELECT change_id, concat('Security Issues (', count(*), ' total)') AS title,
+       concat('Critical: ', count(*) FILTER (severity = 'critical'), {NEWLINE}, 'High: ', count(*) FILTER (severity = 'high'), {NEWLINE},
+              'Medium: ', count(*) FILTER (severity = 'medium'), {NEWLINE}, 'Low: ', count(*) FILTER (severity = 'low'),
+              {NEWLINE}, {NEWLINE}, 'Tools: ', any_value(tools)) AS panel
+FROM sec JOIN listed USING (change_id) GROUP BY change_id""",
+        "quality_panels": _quality() + f"""
+SELECT change_id, concat('Quality Issues (', count(*), ' total)') AS title,
+       concat('High: ', count(*) FILTER (severity = 'high'), {NEWLINE}, 'Medium: ', count(*) FILTER (severity = 'medium'), {NEWLINE},
+              'Low: ', count(*) FILTER (severity = 'low'), {NEWLINE}, 'Info: ', count(*) FILTER (severity = 'info')) AS panel
+FROM qual GROUP BY change_id""",
         "security_listing": _security() + _listing("sec", ("critical", "high"), True),
         "quality_listing": _quality() + _listing("qual", ("high", "medium"), False),
         "report_files": _with(f"files AS ({corpora.FILES})") + f"""
@@ -774,6 +788,11 @@ SELECT change_id, concat('Title: ', coalesce(title, ''), chr(10), 'Author: ', au
 FROM changes LEFT JOIN changed USING (change_id)""",
         "summary_markdown": _changes() + " SELECT change_id, "
         + _template(catalog.SUMMARY_TEXT, lines_of_code="total_additions") + " AS summary FROM verdicts",
+        "review_output": _changes() + f", changes AS ({corpora.CHANGES}), summed AS (SELECT change_id, "
+        + _template(catalog.SUMMARY_TEXT, lines_of_code="total_additions") + " AS summary FROM verdicts)" + f"""
+SELECT change_id, CASE WHEN change_id % 3 = 0 AND author IS NOT NULL
+       THEN concat(summary, {NEWLINE}, {NEWLINE}, 'Review of ', author) ELSE summary END AS text
+FROM summed LEFT JOIN changes USING (change_id)""",
         "review_prompt": _review_prompt(),
         "file_prompt": _with(_files()) + " SELECT file_id, filename, " + _template(
             catalog.FILE_PROMPT, context_line="CASE WHEN file_id % 2 = 0 THEN "

@@ -14,6 +14,7 @@ from reviewlake.operators import (
 )
 from reviewlake.plans import incremental, review
 from reviewlake.session import materialize, new_folder, spread
+from reviewlake.sinks import reviews
 from reviewlake.sources import (
     changes as change_source, files as file_source, long_files, rules as rule_source, snapshots,
 )
@@ -173,16 +174,15 @@ def quality_query(check, whole_file=False):
     columns = ("file_id", "filename", "severity", "description", "recommendation")
 
     def query(spark, sf_dir):
-        found = scan.text_quality_findings(files(spark, sf_dir))
-        rows = found.where(F.col("issue") == check.name)
+        rows = scan.text_quality_findings(files(spark, sf_dir), [check.name])
         return rows.select(*columns) if whole_file else rows.select(*columns, "line", "code")
 
     return query
 
 
 def long_file(spark, sf_dir):
-    found = scan.text_quality_findings(corpus(spark, sf_dir, "LONG_FILES"))
-    return found.where(F.col("issue") == "long_file").select("file_id", "severity", "description")
+    found = scan.text_quality_findings(corpus(spark, sf_dir, "LONG_FILES"), [catalog.LONG_FILE.name])
+    return found.select("file_id", "severity", "description")
 
 
 def scan_incremental(spark, sf_dir):
@@ -217,8 +217,7 @@ def raw_quality(spark, sf_dir):
 
 def file_check_query(check):
     def query(spark, sf_dir):
-        found = scan.security_findings(files(spark, sf_dir), rules=())
-        rows = found.where(F.col("issue") == check.name)
+        rows = scan.scan(files(spark, sf_dir), (), quality=False, checks=[check.name])
         return rows.select("file_id", "filename", "severity", "description", "recommendation")
 
     return query
@@ -434,6 +433,14 @@ def quality_listing(spark, sf_dir):
     return rows.select("rank", "listing")
 
 
+def security_panels(spark, sf_dir):
+    return render.security_panels(materialize(_security(spark, sf_dir), "security"))
+
+
+def quality_panels(spark, sf_dir):
+    return render.quality_panels(_quality(spark, sf_dir))
+
+
 # --- changes -------------------------------------------------------------------------------------
 
 
@@ -497,6 +504,16 @@ def review_prompt(spark, sf_dir):
     ).prompts
 
 
+def review_output(spark, sf_dir):
+    """What is written per change, with a review text from outside for some; read back from the written table."""
+    summaries_ = render.summary_markdown(verdict.with_verdict(_change_counts(spark, sf_dir)))
+    given = changes(spark, sf_dir).where("change_id % 3 = 0").select(
+        "change_id", F.concat(F.lit("Review of "), "author").alias("review"))
+    folder = new_folder(spark, "reviews")
+    reviews.write_reviews(reviews.review_texts(summaries_, given), folder)
+    return spark.read.schema("change_id long, text string").parquet(folder)
+
+
 def file_prompt(spark, sf_dir):
     rows = scan.reviewable(files(spark, sf_dir))
     context = F.when(F.col("file_id") % 2 == 0, F.concat(F.lit("change "), F.col("change_id")))
@@ -616,6 +633,8 @@ def queries():
         "prompt_critical": prompt_critical,
         "prompt_quality": prompt_quality,
         "clean_files": clean_files,
+        "security_panels": security_panels,
+        "quality_panels": quality_panels,
         "security_listing": security_listing,
         "quality_listing": quality_listing,
         "change_content": change_content,
@@ -624,6 +643,7 @@ def queries():
         "snapshot_diff": snapshot_diff,
         "change_header": change_header,
         "summary_markdown": summary_markdown,
+        "review_output": review_output,
         "review_prompt": review_prompt,
         "file_prompt": file_prompt,
         "snippet_prompt": snippet_prompt,

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake import catalog
 from reviewlake.operators.listings import prompt_critical, prompt_files, prompt_quality
+from reviewlake.schemas import ORDER_KEY
 
 
 def fill(template: str, **columns: Column) -> Column:
@@ -47,10 +48,41 @@ def change_header(changes: DataFrame, totals: DataFrame) -> DataFrame:
     return rows.withColumn("header", header)
 
 
-def severity_panel(summary: DataFrame, severities: Sequence[str]) -> DataFrame:
+def _panel_counts(findings: DataFrame, severities: Sequence[str]) -> DataFrame:
+    counts = [F.count_if(F.col("severity") == name).alias(name) for name in severities]
+    return findings.groupBy("change_id").agg(F.count("*").alias("total"), *counts)
+
+
+def _severity_lines(severities: Sequence[str]) -> Column:
     """One line per severity, as in ``Critical: 3``."""
-    lines = [fill(f"{name.capitalize()}: {{{name}}}") for name in severities]
-    return summary.withColumn("panel", F.concat_ws("\n", *lines))
+    return F.concat_ws("\n", *(fill(f"{name.capitalize()}: {{{name}}}") for name in severities))
+
+
+def security_panels(findings: DataFrame) -> DataFrame:
+    """``title`` and ``panel`` of each change with security findings: counts by severity, then by tool.
+
+    Tools come in the order in which they first found something. Only counts of a few tools are ever gathered.
+    """
+    severities = ("critical", "high", "medium", "low")
+    tools = findings.groupBy("change_id", F.coalesce("tool", F.lit("unknown")).alias("tool")).agg(
+        F.min(F.struct(*ORDER_KEY)).alias("first"), F.count("*").alias("n")
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("first", "tool", "n")))
+    named = F.transform(in_order, lambda t: F.concat(t["tool"], F.lit(": "), t["n"].cast("string")))
+    listed = tools.groupBy("change_id").agg(F.array_join(named, ", ").alias("tools"))
+    rows = _panel_counts(findings, severities).join(listed, "change_id")
+    panel = F.concat(_severity_lines(severities), F.lit("\n\nTools: "), "tools")
+    return rows.select("change_id", fill("Security Issues ({total} total)").alias("title"), panel.alias("panel"))
+
+
+def quality_panels(findings: DataFrame) -> DataFrame:
+    """``title`` and ``panel`` of each change with quality findings; one without a severity counts as info."""
+    severities = ("high", "medium", "low", "info")
+    known = findings.withColumn("severity", F.coalesce("severity", F.lit("info")))
+    rows = _panel_counts(known, severities)
+    return rows.select(
+        "change_id", fill("Quality Issues ({total} total)").alias("title"), _severity_lines(severities).alias("panel")
+    )
 
 
 def finding_text(findings: DataFrame) -> DataFrame:

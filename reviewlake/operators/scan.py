@@ -12,7 +12,7 @@ explode from one constant array.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -276,31 +276,34 @@ def scan(
     quality: bool = True,
     wildcard: str = "documented",
     whole_file: bool = True,
+    checks: Collection[str] | None = None,
 ) -> DataFrame:
     """Findings of all text detectors (everything but Python structure and scanner reports).
 
     ``files`` needs ``filename`` and ``content``; ``change_id``, ``file_ord`` and ``file_id`` go
-    through if they are there.
+    through if they are there. ``checks`` names the only checks to run, besides the rules given: what the others need
+    is not worked out.
     """
     rules = select_rules(rules, wildcard) if security else ()
     source = reviewable(files)
-    detectors, carried = [], []
-    parts = [text.split_lines(F.col("content")).alias("line_text")]
-    detectors += [
+    own = (_file_detectors() if security and whole_file else []) + (
+        _quality_detectors() + _file_quality_detectors() if quality else [])
+    detectors = [
         _rule_detector(rule, at) for at, rule in enumerate(rules)
         if not rule.multiline or rule.within_line
-    ]
-    if security and whole_file:
+    ] + [detector for detector in own if checks is None or detector.check.name in checks]
+    running = {detector.check.name for detector in detectors}
+    carried, parts = [], [text.split_lines(F.col("content")).alias("line_text")]
+    if running & {check.name for check, _, _ in _file_checks(_needles())}:
         carried.append(_file_flags(_needles()).alias("flags"))
-        detectors += _file_detectors()
-    if quality:
+    if running & {catalog.VAR_USAGE.name, catalog.LOOSE_EQUALITY.name}:
         marked = F.when(_is_script(), _marked_lines(F.col("content")))
         parts.append(F.coalesce(marked, F.array().cast("array<string>")).alias("marked"))
+    if catalog.COMMENT_RATIO.name in running:
         carried += [
             text.comment_lines(F.col("content"), F.col("ext")).alias("comment_lines"),
             text.non_blank_lines(F.col("content")).alias("non_blank_lines"),
         ]
-        detectors += _quality_detectors() + _file_quality_detectors()
 
     by_file = source.select(*file_keys(source), *carried, F.arrays_zip(*parts).alias("lines"))
     found = [_line_scan(by_file, detectors)] if detectors else []
@@ -454,5 +457,5 @@ def security_findings(files: DataFrame, rules: Sequence[Rule] = RULES, wildcard:
     return scan(files, rules, quality=False, wildcard=wildcard)
 
 
-def text_quality_findings(files: DataFrame) -> DataFrame:
-    return scan(files, security=False)
+def text_quality_findings(files: DataFrame, checks: Collection[str] | None = None) -> DataFrame:
+    return scan(files, security=False, checks=checks)

@@ -11,8 +11,9 @@ from reviewlake.catalog import RULES, Rule
 from reviewlake.operators import listings, render, summaries, verdict
 from reviewlake.operators.python_structure import python_findings, python_trees
 from reviewlake.operators.reports import tool_findings
-from reviewlake.operators.scan import scan
+from reviewlake.operators.scan import scan, with_ext
 from reviewlake.session import materialize
+from reviewlake.sources.changes import changed_code_files, with_head_content
 
 
 def all_findings(
@@ -81,13 +82,22 @@ class ChangeReview:
     findings_by_tool: DataFrame
     first_security: DataFrame
     first_quality: DataFrame
+    security_panels: DataFrame
+    quality_panels: DataFrame
 
 
 def review_changes(
     changes: DataFrame, files: DataFrame, reports: DataFrame | None = None,
-    prompts_enabled: bool = True, **options,
+    prompts_enabled: bool = True, contents: DataFrame | None = None, **options,
 ) -> ChangeReview:
-    """Review of many change requests at once, each with its own listing, verdict and prompt."""
+    """Review of many change requests at once, each with its own listing, verdict and prompt.
+
+    ``files`` are a table with the texts, or, with ``contents``, changed files whose texts at the head revision are
+    there: these are joined once and written, and all steps read that table.
+    """
+    if contents is not None:
+        joined = with_head_content(changed_code_files(files), contents)
+        files = materialize(with_ext(joined).sortWithinPartitions("ext"), "changed-files")
     found = find(files, reports, **options)
     counters = summaries.change_summary(files, found.written)
     verdicts = verdict.with_verdict(counters)
@@ -102,4 +112,6 @@ def review_changes(
         findings_by_tool=summaries.findings_by_tool(found.security, by=["change_id"]),
         first_security=listings.first_security(found.security, "change_id"),
         first_quality=listings.first_quality(found.quality, "change_id"),
+        security_panels=render.security_panels(found.security),
+        quality_panels=render.quality_panels(found.quality),
     )

@@ -15,7 +15,7 @@ def review_texts(summaries: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def write_reviews(texts: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Parquet or JSON with all columns, or plain text with one folder per change."""
+    """Parquet or JSON with all columns, in as many files as tasks; or plain text with one folder per change, for few changes."""
     if fmt == "text":
         texts.select("change_id", "text").write.partitionBy("change_id").text(path)
     else:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.operators import listings, render, summaries, verdict
+from reviewlake.operators import listings, render, scan, summaries, verdict
 from reviewlake.plans import review
 from reviewlake.sinks import reviews
 
@@ -166,3 +166,37 @@ def test_prompt_objects_are_those_of_python(spark):
     rows = [(1, at + 1, *(f.get(name) for name in names[2:])) for at, f in enumerate(found)]
     listed = render.json_lists(spark.createDataFrame(rows, schema), render.critical_object(), "found").first().found
     assert listed == json.dumps(found, indent=2)
+
+
+def test_panels(findings):
+    rows = {r.change_id: (r.title, r.panel) for r in render.security_panels(findings.where("type = 'security'")).collect()}
+    assert rows[1] == ("Security Issues (14 total)", "Critical: 7\nHigh: 6\nMedium: 0\nLow: 0\n\nTools: t: 11, unknown: 3")
+    assert rows[3][0] == "Security Issues (1 total)" and set(rows) == {1, 2, 3}
+    rows = {r.change_id: (r.title, r.panel) for r in render.quality_panels(findings.where("type = 'quality'")).collect()}
+    assert rows == {2: ("Quality Issues (5 total)", "High: 0\nMedium: 3\nLow: 0\nInfo: 0"),
+                    4: ("Quality Issues (11 total)", "High: 0\nMedium: 0\nLow: 11\nInfo: 0")}
+
+
+def test_contents_are_joined_once(spark, make_files, hits):
+    files = make_files([("a.py", None), ("b.js", None), ("c.md", None)])
+    listed = files.drop("content").withColumn("patch", F.lit(None).cast("string"))
+    contents = spark.createDataFrame(
+        [(1, "a.py", b'password = "x"\neval(a + b)'), (1, "b.js", b"var a = 1"), (1, "z.py", b"md5")],
+        "change_id long, filename string, data binary")
+    headers = spark.createDataFrame([(1, None, None, "ann")], "change_id long, title string, description string, author string")
+    result = review.review_changes(headers, listed, contents=contents)
+    assert hits(result.findings.written, "filename", "issue") == [
+        ("a.py", "command_injection"), ("a.py", "hardcoded_password"), ("a.py", "unsafe_deserialization"), ("b.js", "var_usage")]
+    assert result.verdicts.first().verdict and result.prompts.count() == 1
+    plan = result.prompts._jdf.queryExecution().optimizedPlan().toString()
+    assert "data#" not in plan  # no step looks at the contents again
+
+
+def test_named_checks_work_out_nothing_else(make_files, hits):
+    files = make_files([("a.js", "var a = 42\n// TODO: x"), ("b.py", "x == 1")])
+    whole = scan.scan(files)
+    for name in ("var_usage", "todo_comment", "magic_number", "high_comment_ratio", "eval_usage"):
+        found = scan.scan(files, (), checks=[name])
+        assert hits(found, "filename", "issue", "line") == hits(whole.where(F.col("issue") == name), "filename", "issue", "line")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("comment_lines" in plan) == (name == "high_comment_ratio") and ("marked" in plan) == (name == "var_usage")
