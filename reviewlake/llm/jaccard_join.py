@@ -111,10 +111,10 @@ def _signatures(n: int, percent: int):
             at = [[_at_level(h, level) for level, *_ in levels(percent, len(s))] for h, s in zip(h1, own)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array(h1, pa.int64()),
-                    pa.array(h2, pa.int64()), pa.array(at, pa.list_(pa.int64())),
+                    part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in own], pa.int64()),
+                    pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(at, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "h1", "h2", "at"],
+                names=["doc_id", "text_key", "n", "h1", "h2", "at"],
             )
 
     return run
@@ -353,24 +353,33 @@ def _set_rows(n: int):
 def _candidates(docs: DataFrame, n: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Documents with their classes, and the rows of candidate groups, dealt and sorted by pair of blocks."""
     texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), whole(F.col("text")).alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), whole(F.col("text")).alias("text"),
+        F.xxhash64(whole(F.col("text"))).alias("text_key"),
+    )
+    signed = materialize(texts.mapInArrow(
+        _signatures(n, percent), "doc_id long, text_key long, n long, h1 long, h2 long, at array<long>"
+    ), "signatures")
+    # a class is named by its smallest doc_id, and stands by one text: texts without an id, or of one id, share the name only
+    least = F.min(F.struct("doc_id", "text_key"))
+    classes = signed.where("n > 0").groupBy("n", "h1", "h2").agg(least.alias("least"), F.first("at").alias("at"))
+    classes = classes.select("n", "h1", "h2", F.col("least.doc_id").alias("node"), F.col("least.text_key").alias("key"), "at")
+    classed = materialize(
+        signed.drop("at").join(classes, ["n", "h1", "h2"], "left").select("doc_id", "text_key", "n", "node", "key", "at"), "classes"
     )
-    signed = materialize(texts.mapInArrow(_signatures(n, percent), "doc_id long, n long, h1 long, h2 long, at array<long>"), "signatures")
-    classes = signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), F.first("at").alias("at"))
-    # a document with its class, named by the smallest doc_id
-    classed = materialize(signed.drop("at").join(classes, ["n", "h1", "h2"], "left").select("doc_id", "n", "node", "at"), "classes")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, partitions = 1 + total // BUCKET_BYTES, 1 + total // PARTITION_BYTES
     keyed = texts.mapInArrow(
         _keys(n, percent, buckets), "bucket int, high array<int>, low array<smallint>, set array<long>, u long, v long"
     )
     pairs = keyed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, "u long, v long").distinct()
-    name = classed.where("doc_id = node").select("node", F.explode("at").alias("at")).distinct()
+    stands = classed.where("doc_id = node and text_key = key")
+    name = stands.select("node", "key", F.explode("at").alias("at")).distinct()
     together = connected(pairs, "candidates").select(F.col("node").alias("at"), F.col("label").alias("c"))
-    groups_ = together.join(name, "at").select("node", "c")
+    groups_ = together.join(name, "at").select("node", "key", "c")
     sizes = groups_.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sized = groups_.join(sizes, "c").hint("merge")  # grows with the corpus: never broadcast, at any size
-    member = texts.join(sized, texts["doc_id"] == sized["node"]).select("c", "node", "blocks", "text")
+    one_text = (texts["doc_id"] == sized["node"]) & (texts["text_key"] == sized["key"])
+    member = texts.join(sized, one_text).select("c", "node", "blocks", "text")
     rows = member.mapInArrow(_set_rows(n), "c long, node long, blocks int, own binary").where(F.octet_length("own") > 0)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -28,3 +28,15 @@ def test_links(spark, block):
     assert {(a, b) for a, b in linked if of[a] == of[b]} == {(0, 50), (3, 51)}
     n = {r.doc_id: r.n_links for r in jaccard_join.links_per_document(table, 3, 80, block).collect()}
     assert n == {i: sum(i in pair for pair in linked) for i in sets}
+
+
+def test_texts_without_an_id_make_linear_rows(spark):
+    """Unlike texts under the null id meet the texts of their own groups only."""
+    def rows_of(m):
+        rows = [(None, f"{' '.join(f'w{i}x{k}' for k in range(30))} tail{c}") for i in range(m) for c in range(2)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        _, candidates = jaccard_join._candidates(docs, 3, 80, 8192)
+        return candidates.count()
+
+    few, many = rows_of(20), rows_of(80)
+    assert 20 <= few <= 20 * 4 and many <= 5 * few
