@@ -30,7 +30,7 @@ from reviewlake.session import materialize
 
 LENGTH, PREFIX = 50, 20
 SAMPLES = LENGTH - PREFIX + 1
-CHUNK, UNIT, BUCKET_BYTES, PARTITION_BYTES = 1 << 16, 6 << 20, 12 << 20, 24 << 20
+CHUNK, UNIT, BUCKET_BYTES, PARTITION_BYTES = 1 << 16, 4 << 20, 12 << 20, 24 << 20
 BUCKET_WINDOWS, PARTITION_WINDOWS = 1 << 18, 1 << 19
 _U = np.uint64
 _EXPAND = 64  # added to the width of a run that round two is to look at
