@@ -2,7 +2,7 @@
 
 Every visible text is kept: blocks start on new lines and keep blank lines between paragraphs, list items get
 bullets or numbers and hang under them, table cells are padded to the width of their column; a row outside a table is a line
-of its own. Formulas, labels of drawings (``text`` and ``foreignObject`` of svg) and the fallback of ``object`` are text. Left out
+of its own. Blanks are layout and bounded: lines are indented by ``DEEPEST`` at most, cells padded to ``WIDEST``. Formulas, labels of drawings (``text`` and ``foreignObject`` of svg) and the fallback of ``object`` are text. Left out
 are scripts, styles, the head, templates, hidden elements, ``noscript``, frames' fallback, ``datalist``, and titles, descriptions and
 annotations inside svg and math; ``pre`` keeps its blanks.
 
@@ -50,6 +50,8 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 BREAK = "\x00"
+#: The most blanks before a line, and the width to which cells are padded at most.
+DEEPEST, WIDEST = 64, 100
 
 
 class _Element:
@@ -89,7 +91,10 @@ def _lines(parts) -> list[str]:
     def add(found, own):
         nonlocal gap, started
         out.extend([""] * (max(gap, own) if started else 0))
-        out.extend(found)
+        if len(found) > 4:
+            out.append(_Inset(found, "", 0))  # as it is: lines are not copied at each level
+        else:
+            out.extend(found)
         gap, started = own, True
 
     for part in parts:
@@ -103,13 +108,51 @@ def _lines(parts) -> list[str]:
     return out
 
 
+class _Inset:
+    """Lines within others: the first one after a mark, the others further in by so many blanks."""
+
+    __slots__ = ("lines", "mark", "indent")
+
+    def __init__(self, lines, mark: str, indent: int):
+        self.lines, self.mark, self.indent = lines, mark, indent
+
+
+def _written(lines) -> list[str]:
+    """The lines with all marks and indents. Each line is written once, however deep it stands."""
+    out: list[str] = []
+    # what is still to come of each level, its indent, and the marks that its first line has to carry
+    levels = [(iter(lines), 0, None)]
+    while levels:
+        rest, indent, marks = levels[-1]
+        line = next(rest, None)
+        if line is None:
+            levels.pop()
+            continue
+        before = marks if marks is not None else (None, " " * min(indent, DEEPEST))
+        if marks is not None:
+            levels[-1] = (rest, indent, None)
+        if isinstance(line, _Inset):
+            levels.append((iter(line.lines), indent + line.indent, (before, line.mark)))
+        else:
+            found = [line] if line else []
+            while before is not None:
+                before, mark = before
+                if found or mark.strip():  # a line without text takes the mark of its item, and no blanks alone
+                    found.append(mark)
+            found = "".join(reversed(found))
+            blanks = len(found) - len(found.lstrip(" "))
+            own = len(line) - len(line.lstrip(" "))
+            out.append(found[max(0, blanks - own - DEEPEST) :])
+    return out
+
+
 def _table(rows) -> list[str]:
     width: list[int] = []
     for cells in rows:
         for i, (cell, _) in enumerate(cells):
             if i == len(width):
                 width.append(0)
-            width[i] = max(width[i], len(cell))
+            width[i] = min(WIDEST, max(width[i], len(cell)))
     return [" | ".join(cell.ljust(width[i]) for i, (cell, _) in enumerate(cells)).rstrip() for cells in rows if cells]
 
 
@@ -120,7 +163,7 @@ def _close(stack):
     if own.tag in ("td", "th"):
         row = next((e for e in reversed(stack) if e.tag in ("tr", "table")), None)
         if row is not None and row.tag == "tr":
-            row.cells.append((" ".join(x for x in _lines(own.parts) if x), own.span))
+            row.cells.append((" ".join(x for x in _written(_lines(own.parts)) if x), own.span))
             row.cells.extend([("", 1)] * (own.span - 1))
             return
     if own.tag == "tr":
@@ -145,9 +188,10 @@ def _close(stack):
         of = next((e for e in reversed(stack) if e.tag in ("ul", "ol", "menu")), up)
         of.count += 1
         mark = f"{of.count}. " if of.ordered else "- "
-        found = [(mark if i == 0 else " " * len(mark)) + x if x or i == 0 else x for i, x in enumerate(found)] if found else []
+        found = [_Inset(found, mark, len(mark))] if found else []
     elif own.tag in ("blockquote", "dd"):
-        found = ["  " + x if x else x for x in _lines(own.parts)]
+        found = _lines(own.parts)
+        found = [_Inset(found, "  ", 2)] if found else []
     elif own.tag in BLOCKS:
         found = _lines(own.parts)
     if found is None:
@@ -247,7 +291,7 @@ def render(page: str | None) -> str:
     say(page[at:])
     while len(stack) > 1:
         pop()
-    return "\n".join(_lines(stack[0].parts))
+    return "\n".join(_written(_lines(stack[0].parts)))
 
 
 def _inside(stack, tag, scope) -> bool:
