@@ -1,10 +1,11 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-Documents come in batches. A batch is reduced to one entry per line key; keys that no run holds yet (anti join) and
-keys that some run holds go into the batch's own run, marked as fresh or not. Runs are bucketed and sorted by
-key, so that these joins read runs without shuffling them, and ``fan_in`` runs of a level are compacted into one of
-the next. Entries of a key add up over the runs: documents that hold it, and the largest doc_id.
-``drop_repeated_lines`` counts over all documents at once, so there the anti join and the levels change no result.
+Documents come in batches, by falling doc_id. A batch is reduced to one entry per line key. Keys that no run holds yet
+(anti join) go into the batch's own run with the document that keeps the line, the largest of the batch and so of all; keys that
+some run holds go into it with their counts alone. Runs are bucketed and sorted by key, so that these joins read runs
+without shuffling them, and ``fan_in`` runs of a level are compacted into one of the next. Entries of a key add up over the
+runs: documents that hold it, and the one that keeps it. Callers that add batches as they arrive get the first
+batch's document as the keeper.
 
 A key is a line without blanks at its ends, A-Z lower-cased, of at least ``min_chars`` code points, as two 64-bit
 hashes. Nulls: a null text is one empty line; a null doc_id counts as one document, smaller than all others. Rows that
@@ -18,8 +19,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewlake.llm.common import ascii_lower, kept_positions, lines, real_id, row_key, strip
-from reviewlake.session import new_folder
+from reviewlake.llm.common import NULL_ID, ascii_lower, kept_positions, lines, real_id, row_key, strip
+from reviewlake.session import materialize, new_folder
 
 MIN_CHARS, MIN_DOCS, BATCHES, FAN_IN = 40, 5, 4, 2
 KEY = ["k1", "k2"]
@@ -35,17 +36,16 @@ class LineRuns:
     def add(self, entries: DataFrame) -> DataFrame:
         """Adds the entries of one batch (k1, k2, n_docs, max_doc) as a run, and returns that run."""
         runs = self.all()
-        known = entries.withColumn("fresh", F.lit(True))
         if runs is not None:
             held = runs.select(*KEY).distinct()
-            known = entries.join(held, KEY, "left_anti").withColumn("fresh", F.lit(True)).unionByName(
-                entries.join(held, KEY, "left_semi").withColumn("fresh", F.lit(False))
-            )
-        run = self._write(known, 0)
+            again = entries.join(held, KEY, "left_semi").withColumn("max_doc", F.lit(None).cast("long"))
+            entries = entries.join(held, KEY, "left_anti").unionByName(again)
+        run = self._write(entries, 0)
         level = 0
         while len(self.levels[level]) >= self.fan_in:
             full, self.levels[level] = self.levels[level], []
             self._write(_merged(_union([self.spark.table(name) for name in full])), level + 1)
+            self._drop(full)
             level += 1
         return run
 
@@ -57,6 +57,15 @@ class LineRuns:
     def totals(self) -> DataFrame:
         return _merged(self.all())
 
+    def drop(self) -> None:
+        """Takes the runs out of the catalog; tables that were read from them before must be written."""
+        self._drop([name for level in self.levels for name in level])
+        self.levels = [[]]
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def _write(self, entries: DataFrame, level: int) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
         rows = entries.repartition(self.buckets, *KEY)
@@ -77,9 +86,7 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 
 def _merged(entries: DataFrame) -> DataFrame:
-    return entries.groupBy(*KEY).agg(
-        F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.bool_or("fresh").alias("fresh")
-    )
+    return entries.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -99,17 +106,23 @@ def drop_repeated_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fan_in: int = FAN_IN
 ) -> DataFrame:
     """doc_id, text, n_lines, n_dropped: every document without the lines that ``min_docs`` documents hold, but for those
-    in the largest doc_id that holds them. All documents with one id are in one batch."""
+    in the largest doc_id that holds them. All documents with one id are in one batch, batches are ranges of ids."""
     spark = docs.sparkSession
     folder = new_folder(spark, "line-keys")
-    line_keys(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).write.partitionBy(
+    shares = [1 - (at + 1) / batches for at in range(batches - 1)]
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"))
+    cuts = (ids.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] if shares else None) or []
+    batch = sum((F.when(F.col("doc_id") <= cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    line_keys(docs, min_chars).withColumn("batch", batch).write.partitionBy(
         "batch"
     ).parquet(folder)
     keys = spark.read.schema("doc_id long, text_key long, pos int, k1 long, k2 long, batch int").parquet(folder)
     runs = LineRuns(spark, fan_in)
     for batch in range(batches):
         runs.add(entries(keys.where(F.col("batch") == batch)))
-    repeated = runs.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc")
+    # written: then the runs can go, and Spark can split a hot line between two sides that it deals for the join itself
+    repeated = materialize(runs.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "max_doc"), "repeated-lines")
+    runs.drop()
     gone = keys.join(repeated, KEY).where("doc_id <> max_doc").groupBy("doc_id", "text_key").agg(
         F.collect_set("pos").alias("gone")
     )
