@@ -9,7 +9,8 @@ CHECKED = [
     "file_ext", "binary_ingest", "scan_rules_documented", "scan_user_rules", "raw_quality", "raw_weak_crypto",
     "long_file", "py_complexity", "hunks", "semgrep_findings", "security_summary_rollup", "quality_summary",
     "change_first10_security", "clean_files", "snapshot_diff", "change_content", "verdict", "review_prompt",
-    "stream_windows", "scan_rules_table", "change_severity_histogram", "change_findings_by_tool",
+    "stream_windows", "scan_rules_table", "change_severity_histogram", "change_findings_by_tool", "scan_rules_join", "duplication",
+    "long_file_parts", "scan_incremental", "report_files", "change_export", "stream_first10", "security_panels", "review_output",
 ]
 
 
