@@ -148,8 +148,8 @@ def scan_rules_table(spark, sf_dir):
 
 def scan_rules_join(spark, sf_dir):
     """A rule for each part, as rows of an index."""
-    rules = rule_source.rules_from_table(_sql(spark, sf_dir, corpora.PART_RULES))
-    found = rule_index.scan_index(files(spark, sf_dir), rule_index.index_rules(spark, rules))
+    index = rule_index.index_table(_sql(spark, sf_dir, corpora.PART_RULES))
+    found = rule_index.scan_index(files(spark, sf_dir), index)
     return found.select("issue", "file_id", "severity", "description", "recommendation", "line", "code", "matched", "match_ord")
 
 

@@ -5,6 +5,7 @@ import pytest
 from reviewlake.catalog import RULES, Rule
 from reviewlake.functions.literals import FOLDED, FOLDED_TO, required_literals
 from reviewlake.operators import rule_index, scan
+from reviewlake.sources import rules as rule_source
 
 COLUMNS = ("issue", "severity", "file_id", "line", "code", "matched", "description", "recommendation", "rule_ord", "pos",
            "match_ord", "type", "tool", "phase")
@@ -97,3 +98,31 @@ def test_large_index_is_joined_without_a_broadcast(spark, make_files, hits):
 def test_no_rules(spark, make_files):
     with pytest.raises(ValueError, match="no rules"):
         rule_index.scan_index(make_files(TEXTS), rule_index.index_rules(spark, []))
+
+
+def _table(spark, rules):
+    rows = [(r.name, r.pattern, r.severity, r.description, r.recommendation, r.extensions and list(r.extensions), r.multiline) for r in rules]
+    return spark.createDataFrame(rows, rule_source.RULES)
+
+
+def test_table_is_filed_by_tasks(spark, make_files, hits, monkeypatch):
+    files = make_files(TEXTS + [("j.py", "call_1234567() call_12345()\nx = 54321")])
+    many = [Rule(f"r{i:05}", rf"call_{i}\(", "low", "d", "r", (".py",)) for i in range(12000, 13000)] + [
+        Rule("n7", r"call_1234567\b", "low", "d", "r"), Rule("n5", r"x\s*=\s*54321\b", "low", "d", "r")]
+    table = _table(spark, (*OWN, *many)).repartition(7)
+    wanted = rule_index.scan_index(files, rule_index.index_rules(spark, rule_source.rules_from_table(table)))
+    wanted = hits(wanted, *COLUMNS)
+    # the driver works out no pattern of its own, but for the rules without a literal
+    monkeypatch.setattr(rule_index, "check_rules", None)
+    found = rule_index.scan_index(files, rule_index.index_table(table))
+    assert hits(found, *COLUMNS) == wanted and {"n5", "n7", "r12345", "two_lines"} <= {row[0] for row in wanted}
+
+
+@pytest.mark.parametrize("wrong, message", [
+    (Rule("bad", "abcd(", "low", "d", "r"), "'bad'"), (Rule("bad", "abcd", "odd", "d", "r"), "severity"),
+    (Rule("bad", "abcd", "low", None, "r"), "must be given"), (Rule("good", "abcd", "low", "d", "r"), "must differ"),
+    (Rule("bad", "(?<=ab*)cdef", "low", "d", "r"), "'bad'"),
+])
+def test_table_refuses_what_cannot_run(spark, wrong, message):
+    with pytest.raises(ValueError, match=message):
+        rule_index.index_table(_table(spark, [Rule("good", "good", "low", "d", "r"), wrong]))
