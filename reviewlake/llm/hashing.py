@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 
 #: Bytes that are hashed at once; longer texts are cut between words.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BLANK = np.zeros(256, bool)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reviewlake.llm.common import NULL_ID, real_id, whole
@@ -28,7 +29,8 @@ from reviewlake.session import materialize
 BLOCK, FANOUT, BITMAP_WORDS, PAIRS = 8192, 8, 16, 1 << 14
 #: One spare part for so many differences.
 SPARE = 4
-BUCKET_BYTES, PARTITION_BYTES = 12 << 20, 24 << 20
+#: Of text: whose keys make a bucket, whose buckets make a partition, and whose sets a task holds at once.
+BUCKET_BYTES, PARTITION_BYTES, PART_BYTES = 4 << 20, 16 << 20, 8 << 20
 _U = np.uint64
 
 
@@ -89,9 +91,15 @@ def _sets(texts, n):
 
 
 def _parts_of(batches, size: int = 512):
+    """Batches in parts of so many rows, or fewer if their texts are long; a text of any length is a part at least."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, size):
-            yield batch.slice(lo, size)
+        ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo, done = 0, 0
+        while lo < batch.num_rows:
+            hi = min(max(int(np.searchsorted(ends, done + PART_BYTES, "right")), lo + 1), lo + size)
+            part = batch.slice(lo, hi - lo)
+            yield part
+            lo, done = lo + part.num_rows, int(ends[lo + part.num_rows - 1])
 
 
 def _set_hash(own: np.ndarray, salt: int) -> int:
@@ -340,12 +348,10 @@ def _groups(percent: int, of_group=link_group):
 
 def _set_rows(n: int):
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                own = [s.tobytes() for s in _sets(part.column("text").to_pylist(), n)]
-                rest = [part.column(x) for x in ("c", "node", "blocks")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(own, pa.binary())], names=["c", "node", "blocks", "own"])
+        for part in _parts_of(batches):
+            own = [s.tobytes() for s in _sets(part.column("text").to_pylist(), n)]
+            rest = [part.column(x) for x in ("c", "node", "blocks")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(own, pa.binary())], names=["c", "node", "blocks", "own"])
 
     return run
 
@@ -367,11 +373,14 @@ def _candidates(docs: DataFrame, n: int, percent: int, block: int) -> tuple[Data
         signed.drop("at").join(classes, ["n", "h1", "h2"], "left").select("doc_id", "text_key", "n", "node", "key", "at"), "classes"
     )
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, partitions = 1 + total // BUCKET_BYTES, 1 + total // PARTITION_BYTES
+    buckets = 1 + total // BUCKET_BYTES
+    partitions = min(buckets, 1 + total // PARTITION_BYTES)
     keyed = texts.mapInArrow(
         _keys(n, percent, buckets), "bucket int, high array<int>, low array<smallint>, set array<long>, u long, v long"
     )
-    pairs = keyed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, "u long, v long").distinct()
+    # neighbouring buckets together: a hash would deal some partitions several times the keys of others
+    dealt = keyed.repartitionById(partitions, F.expr(f"cast(bucket * {partitions}L div {buckets}L as int)"))
+    pairs = dealt.sortWithinPartitions("bucket").mapInArrow(_match, "u long, v long").distinct()
     stands = classed.where("doc_id = node and text_key = key")
     name = stands.select("node", "key", F.explode("at").alias("at")).distinct()
     together = connected(pairs, "candidates").select(F.col("node").alias("at"), F.col("label").alias("c"))

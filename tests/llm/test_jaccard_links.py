@@ -1,9 +1,11 @@
 """All links against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reviewlake.llm import jaccard_join
+from reviewlake.llm.components import connected
 
 
 @pytest.mark.parametrize("block", [8192, 3])
@@ -40,3 +42,35 @@ def test_texts_without_an_id_make_linear_rows(spark):
 
     few, many = rows_of(20), rows_of(80)
     assert 20 <= few <= 20 * 4 and many <= 5 * few
+
+
+def test_parts_of_long_texts_are_bounded():
+    """A task holds the sets of so many bytes of text at once, and of one text that is longer."""
+    size = jaccard_join.PART_BYTES
+    texts = ["a" * (size // 4)] * 9 + [None, "b" * (2 * size), "", "c"]
+    parts = list(jaccard_join._parts_of([pa.RecordBatch.from_pydict({"text": texts})], 4096))
+    assert [t for part in parts for t in part.column("text").to_pylist()] == texts
+    assert [part.num_rows for part in parts] == [4, 4, 2, 1, 2]
+    short = pa.RecordBatch.from_pydict({"text": ["d"] * 10})
+    assert [part.num_rows for part in jaccard_join._parts_of([short, short], 4)] == [4, 4, 2] * 2
+    assert list(jaccard_join._parts_of([short.slice(0, 0)])) == []
+
+
+def test_keys_are_dealt_evenly(spark, monkeypatch):
+    """Each task has its share of the buckets of keys."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(jaccard_join, "PARTITION_BYTES", 4000)
+    seen = []
+
+    def count(batches):
+        import pyarrow
+
+        n = sum(len(own.values) for batch in batches for own in batch.column("set") if own.is_valid)
+        yield pyarrow.RecordBatch.from_arrays([pyarrow.array([n]), pyarrow.array([0])], names=["u", "v"])
+
+    monkeypatch.setattr(jaccard_join, "_match", count)
+    monkeypatch.setattr(jaccard_join, "connected", lambda pairs, name: seen.append(pairs) or connected(pairs, name))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(100))) for i in range(200)]
+    jaccard_join._candidates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80, 8192)
+    sizes = [r.u for r in seen[0].collect()]
+    assert len(sizes) > 10 and max(sizes) < 2 * sum(sizes) / len(sizes)
