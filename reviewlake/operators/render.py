@@ -129,10 +129,16 @@ def _json_character(char: Column) -> Column:
 
 
 def json_string(value: Column) -> Column:
-    """A JSON string literal in ASCII; most texts have nothing to escape and are taken as they are."""
+    """A JSON string literal in ASCII. Texts with nothing to escape are taken as they are; only those with characters that have
+    no short escape are written character by character."""
     text = value.cast("string")
     escaped = F.array_join(F.transform(F.split(text, ""), _json_character), "")
-    return F.concat(F.lit('"'), F.when(text.rlike(r'[^ !#-\[\]-~]'), escaped).otherwise(text), F.lit('"'))
+    short = F.replace(text, F.lit("\\"), F.lit(_SHORT_ESCAPES["\\"]))  # first, as the others bring backslashes
+    for plain, written in _SHORT_ESCAPES.items():
+        if plain != "\\":
+            short = F.replace(short, F.lit(plain), F.lit(written))
+    body = F.when(text.rlike(r"[^ -~\n\r\t\f\x08]"), escaped).when(text.rlike(r'[^ !#-\[\]-~]'), short).otherwise(text)
+    return F.concat(F.lit('"'), body, F.lit('"'))
 
 
 def json_object(fields: Sequence[tuple[str, Column, bool]], kept: dict[str, Column] | None = None) -> Column:

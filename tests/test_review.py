@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,18 @@ def test_named_checks_work_out_nothing_else(make_files, hits):
         assert hits(found, "filename", "issue", "line") == hits(whole.where(F.col("issue") == name), "filename", "issue", "line")
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert ("comment_lines" in plan) == (name == "high_comment_ratio") and ("marked" in plan) == (name == "var_usage")
+
+
+def test_short_escapes_need_no_step_per_character(spark):
+    text = F.concat(F.repeat(F.lit('say "x" \\ or\n'), 30), F.col("id").cast("string"))
+    rows = spark.range(0, 20_000, 1, 2).select(text.alias("t")).cache()
+    rows.count()
+    by_character = F.array_join(F.transform(F.split("t", ""), render._json_character), "")
+
+    def seconds(written):
+        start = time.perf_counter()
+        rows.select(F.sum(F.length(written))).collect()
+        return time.perf_counter() - start
+
+    seconds(render.json_string(F.col("t")))
+    assert seconds(render.json_string(F.col("t"))) < seconds(by_character) / 2
