@@ -257,6 +257,7 @@ CONSOLE_PATTERN = r"console\.(log|debug|info)"
 VAR_PATTERN = r"\bvar\s+\w+"
 LOOSE_EQUALITY_PATTERN = r"[^=!<>]={2}[^=]"
 TODO_PATTERN = r"(TODO|FIXME|HACK|XXX):"
+TODO_LITERALS = ("todo:", "fixme:", "hack:", "xxx:")
 NUMBER_PATTERN = r"\b(\d+\.?\d*)\b"
 ALLOWED_NUMBERS = ("0", "1", "100", "0.0", "1.0")
 SCRIPT_FUNCTION_PATTERNS = (

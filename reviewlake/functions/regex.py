@@ -45,7 +45,8 @@ def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = Fals
                 raise ValueError(f"{token} inside [...] is not supported: {pattern!r}")
             pieces.append((_INSIDE if in_class else _OUTSIDE).get(token, token))
             if token == r"\b" and not in_class and _WORD_NEXT.match(pattern, at + 2):
-                pieces[-1] = f"(?<![{_WORD}])"  # the next character settles the other half
+                # the next character settles the other half; looked at first, it saves the look back at most places
+                pieces[-1] = f"(?={pattern[at + 2]})(?<![{_WORD}])"
             at += 2
             continue
         if in_class:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 from reviewlake import catalog
 from reviewlake.functions.regex import SPACE_CLASS, STRIP
 
+_ASCII_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 # White space at the start of a line, never running into the next line.
 _LINE_INDENT = rf"(?Udm)^[{SPACE_CLASS}&&[^\n]]*+"
 
@@ -34,13 +35,18 @@ def has_content(content: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Strip Unicode white space and the separators ``\\x1c``-``\\x1f`` (``trim`` only strips spaces)."""
-    return F.regexp_replace(text, STRIP, "")
+    """Strip Unicode white space and the separators ``\\x1c``-``\\x1f``; ASCII takes a faster way to the same result."""
+    is_ascii = F.octet_length(text) == F.length(text)
+    return F.when(is_ascii, F.btrim(text, F.lit(_ASCII_SPACE))).otherwise(F.regexp_replace(text, STRIP, ""))
 
 
 def strip_sql(column: str) -> str:
     """``strip`` as SQL text."""
-    return f"regexp_replace({column}, r'{STRIP}', '')"
+    ascii_space = "".join(f"\\u{ord(char):04x}" for char in _ASCII_SPACE)
+    return (
+        f"if(octet_length({column}) = length({column}), btrim({column}, '{ascii_space}'), "
+        f"regexp_replace({column}, r'{STRIP}', ''))"
+    )
 
 
 def split_lines(content: Column) -> Column:

@@ -143,12 +143,16 @@ def _rule_detector(rule: Rule, rule_ord: int) -> Detector:
 
 def _first_number() -> Column:
     """First number on the line that is not one of the allowed ones; NULL on ``#`` lines."""
-    literals = F.regexp_extract_all(
-        "line_text", F.lit(java_pattern(catalog.NUMBER_PATTERN)), F.lit(1)
-    )
+    def numbers(pattern: str) -> Column:
+        return F.regexp_extract_all("line_text", F.lit(pattern), F.lit(1))
+
+    # The classes of Unicode are slow; on ASCII lines those of ASCII find the same.
+    in_ascii = r"(?=[0-9])(?<![0-9A-Za-z_])([0-9]+\.?[0-9]*)(?:(?<=[0-9])(?![0-9A-Za-z_])|(?<=\.)(?=[0-9A-Za-z_]))"
+    literals = F.when(F.col("is_ascii"), numbers(in_ascii)).otherwise(numbers(java_pattern(catalog.NUMBER_PATTERN)))
     first = F.get(F.filter(literals, lambda number: ~number.isin(*catalog.ALLOWED_NUMBERS)), 0)
     hash_line = F.col("line_text").rlike(r"(?U)\A[\s\x1c-\x1f]*+#")
-    return F.when(F.col("line_text").rlike(r"\p{Nd}") & ~hash_line, first)
+    has_digit = F.when(F.col("is_ascii"), F.col("line_text").rlike("[0-9]")).otherwise(F.col("line_text").rlike(r"\p{Nd}"))
+    return F.when(has_digit & ~hash_line, first)
 
 
 def _quality_detectors() -> list[Detector]:
@@ -164,9 +168,9 @@ def _quality_detectors() -> list[Detector]:
         _is_script() & F.contains("line_text", F.lit("console.")),
         count("line_text", java_pattern(catalog.CONSOLE_PATTERN)),
     )
-    todo = F.contains("line_text", F.lit(":")) & line.rlike(
-        java_pattern(catalog.TODO_PATTERN, ignore_case=True)
-    )
+    todo = F.contains("line_text", F.lit(":")) & (
+        _contains_any("lower_text", catalog.TODO_LITERALS) | ~F.col("is_ascii")
+    ) & line.rlike(java_pattern(catalog.TODO_PATTERN, ignore_case=True))
     length_text = "format_string('{}', line_no, line_length)".format(
         catalog.LONG_LINE.description.replace("{}", "%d"))
     number_text = "format_string('{}', number)".format(

@@ -159,3 +159,15 @@ def test_a_scan_reads_once_and_does_not_shuffle(make_files, spark, tmp_path):
     plan = scan.scan(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 1 and "Exchange" not in plan and "raw_url" not in plan
     assert plan.count("Generate") == 2
+
+
+def test_numbers_of_ascii_and_other_lines(make_files):
+    """The ASCII way finds what Python's pattern finds, and so does the other one, next to a character beyond ASCII."""
+    lines = [f"{a}{n}{b}" for a in ("", "x", "_", ".", " ", "-") for n in ("7", "7.", "7.5", "7.5.6", "100", "1e5", "0x1F", "1_0")
+             for b in ("", "x", ".", "_", " 42", ".foo")]
+    lines += [f"{line} é" for line in lines] + [f"é{line}" for line in lines] + ["٣", "x٣", "٣.7x"]
+    files = make_files([(f"f{at}.js", line) for at, line in enumerate(lines)])
+    found = {r.file_id: r.description for r in scan.text_quality_findings(files, [catalog.MAGIC_NUMBER.name]).collect()}
+    for at, line in enumerate(lines):
+        first = next((n for n in re.findall(catalog.NUMBER_PATTERN, line) if n not in catalog.ALLOWED_NUMBERS), None)
+        assert found.get(at) == (None if first is None else catalog.MAGIC_NUMBER.description.format(first)), line

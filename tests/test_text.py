@@ -64,3 +64,13 @@ def test_decoding(spark):
     rows = spark.createDataFrame([(b"a\r\nb\rc",), (b"\xc3\x28",), ("é".encode(),)], "d binary")
     decoded = [r[0] for r in rows.select(text.unify_newlines(text.decode_utf8(F.col("d")))).collect()]
     assert decoded == ["a\nb\nc", None, "é"]
+
+
+def test_strip_of_ascii_and_other_texts(spark):
+    blanks = [chr(i) for i in range(128)] + ["\x85", "\xa0", " ", "　", "​"]
+    texts = [f"{a}x{a} y{a}" for a in blanks] + [f"{a}{b}" for a in blanks for b in (" ", "\x1f", "é")] + ["", " \t"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = rows.select("i", text.strip(F.col("t")).alias("a"), F.expr(text.strip_sql("t")).alias("b")).collect()
+    for r in found:
+        assert r.a == r.b == texts[r.i].strip(), texts[r.i]
+    assert rows.select(text.strip(F.lit(None).cast("string"))).first()[0] is None
