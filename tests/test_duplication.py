@@ -43,6 +43,50 @@ def test_regions(spark, make_files):
     assert ratio[43] == (9, 9, 1.0) and ratio[42] == (0, 3, 0.0) and ratio[41] == (0, 0, 0.0) and 40 not in ratio
 
 
+def test_places_of_a_file_are_one_row(spark, make_files):
+    """Places are written and read as arrays: rows grow with the files, not with their lines."""
+    texts = ["\n".join(f"line {i}" for i in range(n)) for n in (0, 3, 4, 500, 2000)] + [" \n\t\n"]
+    found = duplication.shingles(make_files([(f"f{i}.py", t) for i, t in enumerate(texts)]))
+    assert sorted(r.file_id for r in found.collect()) == [1, 2, 3, 4, 5]  # one without content, two without a shingle
+
+
+def test_region_over_several_rows_of_a_long_file(spark, make_files):
+    n = duplication.CHUNK + 4000
+    text = "\n".join(f"line {i}" for i in range(n))
+    files = make_files([("a.py", text), ("b.py", "first\n\n" + text), ("c.py", "x")])
+    found = duplication.duplicated_regions(files).select("file_id", "first_line", "last_line", "lines", "copies")
+    assert sorted(map(tuple, found.collect())) == [(0, 1, n, n, 2), (1, 3, n + 2, n, 2)]
+    ratio = duplication.duplication_ratio(files).select("file_id", "lines", "duplicated")
+    assert sorted(map(tuple, ratio.collect())) == [(0, n, n), (1, n + 1, n), (2, 1, 0)]
+
+
+def test_frequent_and_other_shingles(spark, make_files):
+    """The same regions whether all, some or no hashes may be broadcast; blanks of all kinds are stripped."""
+    dice = random.Random(7)
+    blocks = [[f"zeile \u00e4 {b} {i}" for i in range(dice.randint(1, 7))] for b in range(9)]
+    blanks = ["", " ", "\t", "\x0b", "\x1c", "\x85", "\u00a0", "\u2028", "\u3000 \r"]
+    texts = ["\n".join(dice.choice(blanks) + x + dice.choice(blanks) for b in dice.choices(blocks, k=5)
+                       for x in [*b, *([dice.choice(blanks)] * dice.randint(0, 2))]) for _ in range(60)]
+    files = make_files([(f"f{i}.py", t) for i, t in enumerate(texts)])
+    named = files.withColumn("file_id", F.concat(F.lit("id "), "file_id"))
+    expected, key = _plain(list(enumerate(texts)), 4), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        for limit in ("-1", "320", before, "1g"):
+            spark.conf.set(key, limit)
+            found = duplication.duplicated_regions(files).select("file_id", "first_line", "last_line", "lines", "copies")
+            assert sorted(map(tuple, found.collect())) == expected, limit
+    finally:
+        spark.conf.set(key, before)
+    found = duplication.duplicated_regions(named).select("file_id", "first_line", "last_line", "lines", "copies")
+    assert sorted((int(i[3:]), *rest) for i, *rest in map(tuple, found.collect())) == expected
+
+
+def test_no_files(spark, make_files):
+    files = make_files([("n.py", None), ("f.md", "x\n" * 9)])
+    assert duplication.duplicated_regions(files).collect() == [] == duplication.duplication_ratio(files).collect()
+
+
 def test_shingle_of_a_third_of_the_files_is_split(spark, make_files):
     """The join of a hot hash is dealt to several tasks, and no group of its places is ever gathered."""
     hot = "\n".join(f"licence {i}" for i in range(4))
