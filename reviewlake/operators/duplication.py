@@ -20,7 +20,6 @@ import pyarrow.compute as pc
 from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from reviewlake.functions import text
 from reviewlake.operators.scan import reviewable
 from reviewlake.session import materialize
 
@@ -51,8 +50,9 @@ def duplicated_regions(files: DataFrame, lines: int = LINES) -> DataFrame:
 
 def duplication_ratio(files: DataFrame, lines: int = LINES) -> DataFrame:
     """Per code file with content: its lines that are not blank, those in duplicated regions, and their share."""
-    regions = duplicated_regions(files, lines).groupBy("file_id").agg(F.sum("lines").alias("duplicated"))
-    sizes = reviewable(files).select("file_id", text.non_blank_lines(F.col("content")).cast("long").alias("lines"))
+    found = materialize(shingles(files, lines), "shingles")
+    regions = _regions(found, lines).groupBy("file_id").agg(F.sum("lines").alias("duplicated"))
+    sizes = found.where("start = 0").select("file_id", F.col("own").cast("long").alias("lines"))
     joined = sizes.join(regions, "file_id", "left").withColumn("duplicated", F.coalesce("duplicated", F.lit(0).cast("long")))
     return joined.withColumn("ratio", F.when(F.col("lines") > 0, F.col("duplicated") / F.col("lines")).otherwise(0.0))
 

@@ -109,3 +109,12 @@ def test_shingle_of_a_third_of_the_files_is_split(spark, make_files):
         for key, value in before.items():
             spark.conf.set(key, value)
     assert len(rows) == 4000 and {r.copies for r in rows} == {4000} and "skew=true" in plan
+
+
+def test_ratio_reads_texts_once(spark, make_files, tmp_path):
+    """Sizes of files come from the written table: the plan does not go back to the files."""
+    folder = str(tmp_path / "files")
+    make_files([("a.py", "a\nb\n\nc\nd"), ("b.py", "a\nb\nc\nd\n \ne"), ("c.py", "\n")]).write.parquet(folder)
+    found = duplication.duplication_ratio(spark.read.parquet(folder))
+    assert sorted(map(tuple, found.select("file_id", "lines", "duplicated").collect())) == [(0, 4, 4), (1, 5, 4), (2, 0, 0)]
+    assert folder not in " ".join(found.inputFiles())
