@@ -7,9 +7,11 @@ nothing of order. Spark deals packed rows by bucket and sorts them by bucket num
 Each window of ``LENGTH`` bytes samples the position with the least rank of ``PREFIX`` bytes in it, which depends on the window's
 bytes alone, so equal windows sample equal prefixes. Round one brings equal samples together; those that no other document has
 are unique and drop out. Neighbouring windows with the same sample form a run; runs whose whole byte range is equal are
-settled by the rank of that range. Round two takes what is left, runs that agree on the prefix but not on the whole
-range, and compares their windows by pairs of ranks that cover all ``LENGTH`` bytes, so two rounds are enough. Windows are dealt by that pair, so that only equal ones meet: a phrase that many documents
-hold with different neighbours, of one sample, spreads over all tasks.
+settled by the rank of that range. What is left, runs that agree on the prefix but not on the whole range, is cut into parts of up to
+``PART`` windows by their distance from the sample; parts are compared in the same way, by the bytes that all windows at these distances
+share and by their whole range. Round two takes what agrees on the first but not on the second, and
+compares windows by pairs of ranks that cover all ``LENGTH`` bytes, so no more rounds are needed. Windows are dealt by that pair, so that only equal ones meet: a phrase that many documents
+hold with different neighbours, of one sample, spreads over all tasks. Each round is written and its shuffles go before the next one.
 
 Before each shuffle a task settles its own part and sends equal runs once, so a string that a third of all documents
 hold takes a row per task, not per document. Matches never cross documents. Nulls: a null text is empty; a null doc_id is
@@ -30,6 +32,7 @@ from reviewlake.session import materialize
 
 LENGTH, PREFIX = 50, 20
 SAMPLES = LENGTH - PREFIX + 1
+PART = 8  # distances from the sample that are one part of a run; LENGTH - PART + 1 bytes have to be covered by three prefixes
 CHUNK, UNIT, BUCKET_BYTES, PARTITION_BYTES = 1 << 16, 4 << 20, 12 << 20, 24 << 20
 BUCKET_WINDOWS, PARTITION_WINDOWS = 1 << 18, 1 << 19
 _U = np.uint64
@@ -70,6 +73,14 @@ def pair_ranks(ranks: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return double(at), double(at + LENGTH - 2 * PREFIX)
 
 
+def range_ranks(ranks: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Ranks of all bytes of the windows from ``lo`` to ``hi``, and of where the sample is in them."""
+    a, b = pair_ranks(ranks, lo)
+    c, d = pair_ranks(ranks, hi)
+    shape = ((at - lo).astype(_U) << _U(8)) + (hi - lo).astype(_U)
+    return mix(mix(mix(a + shape) + b) + mix(c * _U(3) + d))
+
+
 def _chunks(texts: list[bytes]):
     """(bytes, text number of each piece, its start in that text, its length), windows beginning in a piece being whole."""
     parts, of, start, size = [], [], [], 0
@@ -99,10 +110,7 @@ def runs(texts: list[bytes]):
         cut = np.flatnonzero((np.diff(own) != 0) | (np.diff(window) != 1))
         lo, hi = window[np.append(0, cut + 1)], window[np.append(cut, len(window) - 1)]
         at = sample[lo]
-        a, b = pair_ranks(ranks, lo)
-        c, d = pair_ranks(ranks, hi)
-        shape = ((at - lo).astype(_U) << _U(8)) + (hi - lo).astype(_U)
-        whole_range = mix(mix(mix(a + shape) + b) + mix(c * _U(3) + d))
+        whole_range = range_ranks(ranks, at, lo, hi)
         piece = np.searchsorted(ends, lo, side="right")
         first = lo - (ends - lengths)[piece] + start[piece]
         out.append((ranks[at], whole_range, of[piece], first, hi - lo))
@@ -111,6 +119,26 @@ def runs(texts: list[bytes]):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def parts(context: list[bytes], width: np.ndarray):
+    """Of runs given by their bytes, cut by distance from the sample: rank of the shared bytes, rank of the whole range, run, first
+    window in it, windows less one."""
+    size = np.array([*map(len, context)], np.int64)
+    start = np.cumsum(size) - size
+    ranks = prefix_ranks(np.frombuffer(b"".join(context), np.uint8), PREFIX)
+    at = sampled(ranks)[start]
+    # the nearest and the farthest part that a run has windows of, the farthest coming first in the text
+    far, near = (at - start) // PART, (at - start - width) // PART
+    n = far - near + 1
+    run = np.repeat(np.arange(len(n)), n)
+    part = far[run] - (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n))
+    at, start = at[run].astype(np.int64), start[run]
+    lo = np.maximum(at - part * PART - (PART - 1), start)
+    hi = np.minimum(at - part * PART, start + width[run])
+    shared = at - part * PART
+    key = mix(mix(ranks[shared] * _U(5) + ranks[shared + PREFIX]) + ranks[shared + LENGTH - PART + 1 - PREFIX] * _U(3) + part.astype(_U))
+    return key, range_ranks(ranks, at, lo, hi), run, lo - start, hi - lo
+
+
 def settle(key: np.ndarray, value: np.ndarray, doc: np.ndarray, marks: np.ndarray):
     """(later, several): whether a smaller document has the same key and value, and whether the key has more values.
 
@@ -195,21 +223,48 @@ def _round_one(buckets: int):
         for batch in batches:
             for ids, tags, texts, _ in _units(batch):
                 key, value, text, lo, width = runs(texts)
-                doc, tag = ids[text], tags[text]
-                later, several = settle(key, value, doc, np.zeros(len(key), bool))
-                more = several & ~later
-                yield from _settled(
-                    buckets, *(np.concatenate([x[later], x[more]]) for x in (doc, tag, lo)),
-                    np.concatenate([width[later], width[more] + _EXPAND]),
-                )
-                alone = ~later & ~several
-                marks = np.unique(key[several])
-                none = np.zeros(len(marks), np.int64)
-                yield from _to_send(
-                    buckets, np.concatenate([key[alone], marks]), np.concatenate([doc[alone], none]),
-                    np.concatenate([tag[alone], none]), np.concatenate([lo[alone], none]),
-                    np.concatenate([width[alone], none - 1]), np.concatenate([value[alone], none.astype(_U)]),
-                )
+                yield from _own_part(buckets, key, value, ids[text], tags[text], lo, width)
+
+    return run
+
+
+def _own_part(buckets, key, value, doc, tag, lo, width):
+    """What a task can settle of its own runs, or parts of runs, and what it has to send."""
+    later, several = settle(key, value, doc, np.zeros(len(key), bool))
+    more = several & ~later
+    yield from _settled(
+        buckets, *(np.concatenate([x[later], x[more]]) for x in (doc, tag, lo)),
+        np.concatenate([width[later], width[more] + _EXPAND]),
+    )
+    alone = ~later & ~several
+    marks = np.unique(key[several])
+    none = np.zeros(len(marks), np.int64)
+    yield from _to_send(
+        buckets, np.concatenate([key[alone], marks]), np.concatenate([doc[alone], none]),
+        np.concatenate([tag[alone], none]), np.concatenate([lo[alone], none]),
+        np.concatenate([width[alone], none - 1]), np.concatenate([value[alone], none.astype(_U)]),
+    )
+
+
+def _open_runs(batch):
+    """Of the runs, or parts of runs, that are still open, by units of text: doc, tag, first window, windows less one, and their bytes."""
+    for ids, tags, texts, rows in _units(batch):
+        n = rows.column("lo").value_lengths().to_numpy()
+        text = np.repeat(np.arange(len(texts)), n)
+        lo, width = (rows.column(x).flatten().to_numpy().astype(np.int64) for x in ("lo", "width"))
+        pick = width >= _EXPAND
+        text, lo, width = text[pick], lo[pick], width[pick] - _EXPAND
+        if len(lo):
+            context = [texts[i][s : s + w + LENGTH] for i, s, w in zip(text.tolist(), lo.tolist(), width.tolist())]
+            yield ids[text], tags[text], lo, width, context
+
+
+def _round_parts(buckets: int):
+    def run(batches):
+        for batch in batches:
+            for doc, tag, lo, width, context in _open_runs(batch):
+                key, value, of, first, width = parts(context, width)
+                yield from _own_part(buckets, key, value, doc[of], tag[of], lo[of] + first, width)
 
     return run
 
@@ -270,16 +325,7 @@ def _judge_two(rows):
 def _round_two(buckets: int):
     def run(batches):
         for batch in batches:
-            for ids, tags, texts, rows in _units(batch):
-                n = rows.column("lo").value_lengths().to_numpy()
-                text = np.repeat(np.arange(len(texts)), n)
-                lo, width = (rows.column(x).flatten().to_numpy().astype(np.int64) for x in ("lo", "width"))
-                pick = width >= _EXPAND
-                text, lo, width = text[pick], lo[pick], width[pick] - _EXPAND
-                if not len(lo):
-                    continue
-                context = [texts[i][s : s + w + LENGTH] for i, s, w in zip(text.tolist(), lo.tolist(), width.tolist())]
-                doc, tag = ids[text], tags[text]
+            for doc, tag, lo, width, context in _open_runs(batch):
                 d, t, at, a, b = _windows(doc, tag, lo, width, context)
                 later, _ = settle(a, b, d, np.zeros(len(a), bool))
                 yield from _settled(buckets, d[later], t[later], at[later], np.zeros(int(later.sum()), np.int64))
@@ -340,23 +386,31 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def exchange(sent, judge, partitions):
         dealt = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(lambda batches: _by_bucket(batches, judge), SPANS)
-
-    # written, as round two and the cut both read it; texts are dealt once for both
-    one = materialize(
-        exchange(rows.mapInArrow(_round_one(buckets), _SENT_SQL), _judge_one, partitions).groupBy("doc_id", "tag").agg(*lists_), "runs"
-    )
-    texts = rows.repartition(partitions, "doc_id", "tag")
-    open_ = one.where(F.exists("width", lambda w: w >= _EXPAND)).hint("merge")
-    windows = open_.agg(F.sum(F.aggregate(
-        "width", F.lit(0).cast("long"), lambda n, w: n + F.when(w >= _EXPAND, w - (_EXPAND - 1)).otherwise(0)
-    ))).first()[0] or 0
-    two = exchange(
-        texts.join(open_, ["doc_id", "tag"]).mapInArrow(_round_two(1 + windows // BUCKET_WINDOWS), _SENT_SQL), _judge_two,
-        1 + windows // PARTITION_WINDOWS,
-    )
-    spans = one.unionByName(two).groupBy("doc_id", "tag").agg(*lists_).hint("merge")
-    cut = texts.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "lo", "width").mapInArrow(
+        return dealt.mapInArrow(lambda batches: _by_bucket(batches, judge), SPANS).groupBy("doc_id", "tag").agg(*lists_)
+
+    def dealt():
+        return rows.repartition(partitions, "doc_id", "tag")
+
+    def open_of(found, count):
+        """The rows with runs that are still open, with their texts, and what ``count`` makes of such a run's width, summed up."""
+        open_ = found.where(F.exists("width", lambda w: w >= _EXPAND))
+        n = open_.agg(F.sum(F.aggregate(
+            "width", F.lit(0).cast("long"), lambda n, w: n + F.when(w >= _EXPAND, count(w - _EXPAND)).otherwise(0)
+        ))).first()[0] or 0
+        return dealt().join(open_.hint("merge"), ["doc_id", "tag"]), n
+
+    # each round is written and its shuffles go; texts are dealt again for the next, so that the disk holds one round at a time
+    one = materialize(exchange(rows.mapInArrow(_round_one(buckets), _SENT_SQL), _judge_one, partitions), "runs", drop_shuffles=True)
+    texts, n = open_of(one, lambda w: F.floor((w + 2 * PART - 1) / PART))
+    cut_up = materialize(exchange(
+        texts.mapInArrow(_round_parts(1 + n // BUCKET_WINDOWS), _SENT_SQL), _judge_one, 1 + n // PARTITION_WINDOWS
+    ), "parts", drop_shuffles=True)
+    texts, n = open_of(cut_up, lambda w: w + 1)
+    two = materialize(exchange(
+        texts.mapInArrow(_round_two(1 + n // BUCKET_WINDOWS), _SENT_SQL), _judge_two, 1 + n // PARTITION_WINDOWS
+    ), "windows", drop_shuffles=True)
+    spans = one.unionByName(cut_up).unionByName(two).groupBy("doc_id", "tag").agg(*lists_).hint("merge")
+    cut = dealt().join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "lo", "width").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
     return cut.withColumn("doc_id", real_id(F.col("doc_id")))

@@ -24,14 +24,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Spark's own setting to remove the shuffle files of a query when the query ends.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     """Write a table that several later steps read, and read it back.
 
-    A written table survives the loss of executors and keeps column pruning for its readers.
+    A written table survives the loss of executors and keeps column pruning for its readers. With ``drop_shuffles`` the files of
+    the shuffles behind it go as soon as it is written, not when the driver happens to collect its garbage.
     """
-    folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = new_folder(spark, name)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    try:
+        if drop_shuffles:
+            spark.conf.set(_DROP_SHUFFLES, "true")
+        df.write.parquet(folder)
+    finally:
+        if drop_shuffles:
+            spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame) -> DataFrame:
