@@ -7,6 +7,7 @@ and everything it matches stays the same.
 from __future__ import annotations
 
 import re
+from re import _compiler as compiler
 
 _SPACE = r"\s\x1c-\x1f"
 _WORD = r"\p{L}\p{N}_"
@@ -29,13 +30,16 @@ SPACE_CLASS = f"[{_SPACE}]"
 STRIP = rf"(?U)\A[{_SPACE}]+|(?<![{_SPACE}])[{_SPACE}]+\z"
 
 
-def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
-    """The Java spelling of a Python pattern, with its flags in front.
+def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = False, tree=None) -> str:
+    """The Java spelling of a Python pattern, with its flags in front. ``tree`` is the parsed pattern, where there is one.
 
     ``U`` gives Unicode classes and case folding, ``d`` makes ``\\n`` the only line break. What Java has no counterpart
     for is refused.
     """
-    re.compile(pattern)
+    if tree is None:
+        re.compile(pattern)
+    elif "(?<" in pattern:  # what the parser lets through and the compiler refuses is in looks back only
+        compiler.compile(tree)
     pieces, in_class, at = [], False, 0
     while at < len(pattern):
         char = pattern[at]

@@ -126,3 +126,46 @@ def test_table_is_filed_by_tasks(spark, make_files, hits, monkeypatch):
 def test_table_refuses_what_cannot_run(spark, wrong, message):
     with pytest.raises(ValueError, match=message):
         rule_index.index_table(_table(spark, [Rule("good", "good", "low", "d", "r"), wrong]))
+
+
+def test_lines_and_texts_are_looked_up_in_one_pass(spark, make_files):
+    index = rule_index.index_rules(spark, OWN[:1] + OWN[3:5])
+    assert index.by_line and index.by_text and not index.open_rules
+    plan = _plan(rule_index.scan_index(make_files(TEXTS), index))
+    assert plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_grams_across_slices_are_found(spark, make_files, hits, monkeypatch, size):
+    files = make_files(TEXTS)
+    rules = (*RULES, *OWN)
+    wanted = hits(scan.scan(files, rules, quality=False, whole_file=False), *COLUMNS)
+    monkeypatch.setattr(rule_index, "SLICE", size)
+    assert hits(rule_index.scan_index(files, rule_index.index_rules(spark, rules)), *COLUMNS) == wanted
+
+
+def test_only_places_where_a_gram_begins_are_hashed(monkeypatch):
+    """Of a text of 200,000 bytes, the longer hashes are taken of the few places whose first bytes begin a filed gram."""
+    import numpy as np
+    import pyarrow as pa
+
+    hashed = []
+    step = rule_index._step
+    monkeypatch.setattr(rule_index, "_step", lambda value, byte: hashed.append(len(value)) or step(value, byte))
+    gram = next(rule_index._gram_hashes([pa.RecordBatch.from_pydict({"gram": ["call_123"]})])).to_pylist()[0]
+    hashed.clear()
+
+    def table(places, bits):
+        held = np.zeros(1 << bits, np.uint8)
+        held[places] = 1
+        return np.packbits(held, bitorder="little").tobytes()
+
+    class Tables:
+        value = [(table([gram["head"]], rule_index.HEAD_BITS),
+                  table([(gram["hash"] << skip) % 2**64 >> 64 - 12 for skip in rule_index.PLACES], 12)), (table([], rule_index.HEAD_BITS), table([], 10))]
+
+    content = "x = some_other_name\n" * 10_000 + "y\ncall_123() call_124()"
+    batch = pa.RecordBatch.from_pydict({"file_id": [5], "content": [content], "folded": [content]})
+    found = pa.Table.from_batches(rule_index._hits([8], [12, 10], Tables)([batch])).to_pylist()
+    assert {"file_id": 5, "line_no": 10_002, "unit": "call_123() call_124()", "multiline": False, "hash": gram["hash"]} in found
+    assert sum(hashed) < 1000
